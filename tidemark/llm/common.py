@@ -81,3 +81,14 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: pa.Schema, make
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *made], names=[*keep, *schema.names])
 
     return cut.mapInArrow(run, out)
+
+
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
+    """The rows of df, with all their columns, for whose text a function of ``make`` says true."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = make()
+        for piece, texts in text_chunks(batches, text):
+            yield piece.filter(pa.array(keep(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -18,10 +18,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import filter_texts, text_chunks
 
 
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -111,11 +112,18 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text:
     time: larger benchmarks are dealt by hash into more blocks, each searched in
     its own pass over the same rows.
     """
-    spark = docs.sparkSession
+    done = docs.select(*keep, F.col(text).alias("_text"), F.lit(None).cast("string").alias("_found"))
+    blocks = list(pattern_blocks(items, item_text, item_id, width, block_bytes))
+    for b, shared in enumerate(blocks):
+        done = search_block(done, keep, shared, first=b == 0, last=b == len(blocks) - 1)
+    return done
+
+
+def pattern_blocks(items: DataFrame, item_text: str, item_id: str, width: int, block_bytes: int) -> Iterator[Broadcast]:
+    """The patterns of all items in broadcast blocks of bounded text, one at least."""
     items = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("t")).where(F.col("t").isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    done = docs.select(*keep, F.col(text).alias("_text"), F.lit(None).cast("string").alias("_found"))
     for b in range(blocks):
         patterns: dict[tuple[str, ...], list] = {}
         for r in items.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == b).toLocalIterator():
@@ -123,9 +131,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, keep: list[str], text:
                 own = patterns.setdefault(w, [])
                 if r["id"] is not None and r["id"] not in own:
                     own.append(r["id"])
-        shared = spark.sparkContext.broadcast(patterns)
-        done = search_block(done, keep, shared, first=b == 0, last=b == blocks - 1)
-    return done
+        yield items.sparkSession.sparkContext.broadcast(patterns)
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text", item_id: str = "item_id", width: int = 10, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, with their columns, in which no window occurs."""
+    for shared in pattern_blocks(items, item_text, item_id, width, block_bytes):
+
+        def make(shared=shared):
+            search = WuManber(shared.value)
+            return lambda texts: [next(search.find(words_of(t)), None) is None for t in texts]
+
+        docs = filter_texts(docs, text, make)
+    return docs
 
 
 def search_block(docs: DataFrame, keep: list[str], shared, first: bool, last: bool) -> DataFrame:

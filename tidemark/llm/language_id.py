@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, text_chunks
+from .common import filter_texts, map_texts, text_chunks, written
 
 ORDERS = (2, 3, 4)
 HASHES = 2
@@ -141,8 +141,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
 
     counted = sample.select("lang", "_text").mapInArrow(count, "k int, h long, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
-    from .common import written
-
     counted = written(counted, "grams")
     totals = {r["k"]: r["n"] for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*[F.lit(x) for k in totals for x in (k, float(totals[k]))])[F.col("k")] if totals else F.lit(0.0)
@@ -182,3 +180,20 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     """Learn from the labelled rows of docs and predict all: doc_id, held_out, lang_pred, score, known."""
     out = predict(docs, learn(docs, text, lang, doc_id, **how), [doc_id], text)
     return out.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "lang_pred", "score", "known")
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least_known: float = 0.1) -> DataFrame:
+    """The rows of docs, with their columns, in a learned language: those that aren't
+    ``und`` and of whose n-grams the winner's filter holds ``least_known`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        predict = shared.value.predictor()
+
+        def keep(texts: list) -> list:
+            best, _, known = predict(texts)
+            return [b != "und" and k >= least_known for b, k in zip(best, known, strict=True)]
+
+        return keep
+
+    return filter_texts(docs, text, make)

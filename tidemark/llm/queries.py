@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, personal_data, secrets, simhash
+from . import decontaminate, html_text, language_id, lines, media, personal_data, secrets, simhash, tokens, warc
+from .oracles import ORACLES  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +43,32 @@ def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, sha256_text(secrets.span_string(F.col("base"))).alias("base_sha256"), secrets.span_string(F.col("spans")).alias("spans"))
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.media_columns(table(spark, sf_dir, "documents"))
+    return found.select(F.col("key").cast("long").alias("doc_id"), *media.FEATURES.names)
+
+
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tokenize(table(spark, sf_dir, "documents"), ["doc_id"], ids=False)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_secret_ledger, op4_personal_data, op8_simhash)}
-ORACLES: dict = {}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_kept", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_secret_ledger, op4_personal_data, op5_media_columns, op6_html_text, op7_sentencepiece, op8_simhash, op9_warc, op10_line_dedup)}

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, written
@@ -203,3 +203,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(firsts, "root").select("fp", "component_id")
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
+    """The rows of docs, with their columns, that stay when each component keeps its smallest id.
+
+    Of repeated rows with one id a single row stays; a row without an id has no
+    place in that order and stays as it is.
+    """
+    found = near_duplicates(docs, doc_id, text, width, radius)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    kept = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi")
+    one = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
+    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one").unionByName(docs.where(F.col(doc_id).isNull()))
