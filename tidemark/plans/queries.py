@@ -1,2 +1,239 @@
-QUERIES: dict = {}
-ORACLES: dict = {}
+"""Registered queries of the event engine: (spark, sf_dir) -> DataFrame."""
+
+from __future__ import annotations
+
+import dataclasses
+import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions.columns import finite_columns
+from tidemark.operators import analyze, detect, extensions, history, indicators, lags
+from tidemark.params import LINE_BARS, Params
+from tidemark.plans import pipeline
+from tidemark.plans.oracles import ORACLES  # noqa: F401
+from tidemark.sources import bars as bar_source
+from tidemark.sources import tables
+
+P = LINE_BARS
+#: The day of queries about one snapshot.
+DAY = datetime.date(1997, 6, 2)
+
+
+def fix(c):
+    """A value in steps of a thousandth, off the decimal ties: engines differ in the last bits of sums."""
+    return F.floor(c.cast("double") * 1000 + 0.37) / 1000
+
+
+def fixed(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: fix(F.col(f"`{c}`")) for c in columns})
+
+
+def bars_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bar_source.line_bars(spark, sf_dir)
+
+
+def bars_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bar_source.supplier_bars(spark, sf_dir)
+
+
+def all_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bar_source.snapshots(bar_source.line_bars(spark, sf_dir))
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = all_snapshots(spark, sf_dir).select("bar_date", "market", "symbol", "close", "change", "change_abs", "volume", "relative_volume_10d_calc")
+    return fixed(found, "close", "change", "change_abs", "relative_volume_10d_calc")
+
+
+def screener_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(detect.screener(all_snapshots(spark, sf_dir), P).select("bar_date", "symbol", "close", "volume"), "close")
+
+
+def universe_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(detect.universe(all_snapshots(spark, sf_dir), P).select("bar_date", "symbol", "close", "volume"), "close")
+
+
+def exchange_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.by_exchange(all_snapshots(spark, sf_dir), ("NASDAQ", "NYSE"))
+    return found.groupBy("Exchange", "symbol", "market").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"))
+
+
+def top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(detect.top_movers(all_snapshots(spark, sf_dir).where("change_abs is not null"), 100).select("bar_date", "symbol", "change_abs"), "change_abs")
+
+
+def detect_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(pipeline.events_of_bars(bar_source.line_bars(spark, sf_dir), P), "Price", "Change_%")
+
+
+def detect_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = dataclasses.replace(P, as_of=DAY)
+    return fixed(detect.detect(all_snapshots(spark, sf_dir).where(F.col("bar_date") == F.lit(DAY)), p, dedupe=True), "Price", "Change_%")
+
+
+def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.count_events(pipeline.events_of_bars(bar_source.line_bars(spark, sf_dir), P))
+
+
+def sliced(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
+    bars = bar_source.line_bars(spark, sf_dir).persist()
+    keys = history.event_keys(pipeline.events_of_bars(bars, p))
+    return history.with_history(history.slices(keys, bars, p.lookback_days), p.min_bars)
+
+
+def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sliced(spark, sf_dir).groupBy("symbol", "event_date").agg(F.count("*").alias("bars"), F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"), F.sum("volume").alias("volume"))
+    return found
+
+
+def event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = bar_source.line_bars(spark, sf_dir).persist()
+    return history.coverage(pipeline.events_of_bars(bars, P), bars, P)
+
+
+def indicator_query(*names: str):
+    """The named indicators on the last bar before each event, and how many bars of its slice have them."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = indicators.indicators(sliced(spark, sf_dir)).select("symbol", "event_date", "bar_date", *[F.col(f"`{c}`") for c in names])
+        row = F.struct(*[F.col(f"`{c}`") for c in names])
+        last = frame.groupBy("symbol", "event_date").agg(F.max_by(row, "bar_date").alias("row"), *[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(names)])
+        return last.select("symbol", "event_date", *[fix(F.col(f"row.`{c}`")).alias(c) for c in names], *[f"n_{i}" for i in range(len(names))])
+
+    return query
+
+
+INDICATOR_QUERIES = {
+    "ind_price": ("close", "open", "high", "low", "volume"),
+    "ind_sma": ("SMA5", "SMA10", "SMA20", "SMA50", "SMA100", "SMA200"),
+    "ind_price_change": ("price_change_1d", "price_change_3d", "price_change_5d", "price_change_10d", "price_change_20d"),
+    "ind_bollinger": ("BB.upper", "BB.lower", "BB.middle", "BB_width", "BBPower"),
+    "ind_stochastic": ("Stoch.K", "Stoch.D", "Stoch.K[1]", "Stoch.D[1]"),
+    "ind_williams": ("W.R",),
+    "ind_cci": ("CCI20",),
+    "ind_ao": ("AO",),
+    "ind_uo": ("UO",),
+    "ind_volume": ("volume_sma5", "volume_sma20", "volume_ratio"),
+    "ind_volatility": ("volatility_20d",),
+    "ind_52w": ("high_52w", "low_52w", "price_vs_high_52w", "price_vs_low_52w"),
+    "ind_gap": ("gap_%", "gap_up", "gap_down"),
+    "ind_vwap": ("VWAP",),
+    "ind_momentum": ("Mom", "Mom[1]"),
+    "ind_ema": ("EMA5", "EMA10", "EMA20", "EMA50", "EMA100", "EMA200"),
+    "ind_macd": ("MACD.macd", "MACD.signal", "MACD_diff"),
+    "ind_rsi": ("RSI", "RSI[1]"),
+    "ind_atr": ("ATR",),
+    "ind_adx": ("ADX", "ADX+DI", "ADX-DI"),
+    "ind_trend_flags": ("EMA20_above_EMA50", "EMA50_above_EMA200", "price_above_EMA20", "EMA10_above_EMA20"),
+}
+
+
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lags.as_of_lags(indicators.indicators(sliced(spark, sf_dir)), P.lags)
+
+
+def lag_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sampled(spark, sf_dir).select("symbol", "event_date", "lag", "bar_date", "close", "volume", "price_change_1d")
+    return fixed(found, "close", "price_change_1d")
+
+
+def raw(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
+    return pipeline.raw_of_bars(bar_source.line_bars(spark, sf_dir), p)
+
+
+def raw_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("close", "volume", "SMA20", "price_change_5d", "high_52w")
+    return fixed(raw(spark, sf_dir).select(*analyze.META, *columns), *columns)
+
+
+def lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the indicators without recursion, whose means both engines agree on."""
+    found = analyze.compare(raw(spark, sf_dir).select(*analyze.META, *SUMMED))
+    return fixed(found, "AVG_Spikers", "AVG_Grinders", "Difference", "Ratio")
+
+
+SUMMED = ("close", "volume", "SMA5", "SMA20", "price_change_1d", "price_change_5d", "high_52w", "low_52w", "gap_up", "gap_down")
+
+
+def overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(analyze.statistics(raw(spark, sf_dir), P.lags), "Value")
+
+
+def distinct_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.distinct_lags(raw(spark, sf_dir).select("Time_Lag"))
+
+
+def latest_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = indicators.indicators(sliced(spark, sf_dir)).select("symbol", "event_date", "bar_date", "close", "SMA20", "VWAP")
+    return fixed(lags.latest_per_symbol(frame), "close", "SMA20", "VWAP")
+
+
+def grinder_consecutive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(extensions.consecutive_grinders(all_snapshots(spark, sf_dir), P).select("bar_date", "symbol", "change"), "change")
+
+
+def detect_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect.detect_history(extensions.lately(all_snapshots(spark, sf_dir), DAY, 7), P)
+    return fixed(found, "Price", "Change_%")
+
+
+def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Averages after values that aren't finite are made NULL: a ratio by zero stands for such values."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", (F.col("user_id") % 3).cast("double").alias("d"))
+    odd = events.withColumn("odd", F.when(F.col("d") == 0, F.lit(float("nan"))).when(F.col("d") == 1, F.lit(float("inf"))).otherwise(F.col("value")))
+    return finite_columns(odd).groupBy("event_type").agg(F.count("odd").alias("finite"), fix(F.avg("odd")).alias("mean"))
+
+
+def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bar_source.rename_columns(all_snapshots(spark, sf_dir).select("bar_date", "symbol", "close", "change"), {"price": "close", "gain": "change"})
+    return fixed(found, "price", "gain")
+
+
+def enough_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.enough_samples(raw(spark, sf_dir).select(*analyze.META, *SUMMED), P)
+    return found.select("Time_Lag", "Indicator", "n_spikers", "n_grinders")
+
+
+def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(extensions.welch(raw(spark, sf_dir).select(*analyze.META, *SUMMED), P), "t", "freedom")
+
+
+def indicator_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.correlations(raw(spark, sf_dir).select(*analyze.META, *SUMMED), ["close", "volume", "SMA20", "price_change_5d"])
+    return fixed(found, "Correlation")
+
+
+def retained_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extensions.retained(raw(spark, sf_dir).select(*analyze.META, "close"), datetime.date(1998, 6, 1), P)
+    return fixed(found, "close")
+
+
+def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw data through its partitioned table: two lags are read back, by partition."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-tables-")
+    root = f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    rows = raw(spark, sf_dir).select(*analyze.META, "close", "volume")
+    tables.write_raw_data(rows, root)
+    back = tables.read_raw_data(spark, root, rows.schema, (1, 30))
+    return back.groupBy("Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole comparison. Small tables have few bars a day, so the look-back is a year."""
+    p = dataclasses.replace(P, lookback_days=365)
+    return analyze.report_order(analyze.compare(raw(spark, sf_dir, p)))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        bars_daily, bars_by_nation, snapshot, screener_filter, universe_filter, exchange_filter, top_movers, detect_events, detect_snapshot, event_counts, event_history, event_coverage,
+        lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
+        indicator_correlations, retained_raw, stage_round_trip,
+    )
+} | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()}
