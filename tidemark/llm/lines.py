@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -52,19 +53,17 @@ def two_longs(words: list[bytes]) -> tuple[int, int]:
     return signed(h >> 64), signed(h & 0xFFFFFFFFFFFFFFFF)
 
 
-def batch_of(rows: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "k1", "k2", "k3", "k4")]])
+VARIANT = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32())])
+NO_LINES = "array<int>"
 
 
-LONG, INT = pa.int64(), pa.int32()
+def ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long'}" for f in schema)
 
 
 def distinct_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """h1, h2 (the content address), n (words), k1..k4 (half keys or null), first (doc_id, line): each distinct line once.
-
-    Lines without words are left out.
-    """
+    """Each distinct line with words once: its first place (doc_id, line) and k1..k4, its half keys or null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_chunks(batches, "text"):
@@ -74,91 +73,104 @@ def distinct_lines(docs: DataFrame, least_words: int) -> DataFrame:
                     words = line.encode("utf-8", "surrogatepass").split()
                     if words:
                         keys = [signed(k) for k in half_keys(words)] if len(words) >= least_words else []
-                        rows.append((doc, i, *two_longs(words), len(words), *(keys + [None] * 4)[:4]))
-            yield batch_of(rows, ["doc_id", "line", "h1", "h2", "n", "k1", "k2", "k3", "k4"], [LONG, INT, LONG, LONG, INT, LONG, LONG, LONG, LONG])
+                        rows.append((doc, i, *two_longs(words), *(keys + [None] * 4)[:4]))
+            columns = zip(*rows, strict=True) if rows else [[] for _ in LINE]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, LINE, strict=True)], schema=LINE)
+
+    found = docs.mapInArrow(run, ddl(LINE)).groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(k).alias(k) for k in ("k1", "k2", "k3", "k4")])
+    return found.select("first.doc_id", "first.line", "k1", "k2", "k3", "k4")
 
-    occurrences = docs.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, n int, k1 long, k2 long, k3 long, k4 long")
-    # the smallest line number of the smallest id, without a struct: hash aggregation takes longs only
-    first = occurrences.groupBy("h1", "h2", "doc_id").agg(F.min("line").alias("line"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")])
-    return first.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), *[F.min(c).alias(c) for c in ("n", "k1", "k2", "k3", "k4")])
+
+#: Bases of two sums over word hashes; both are odd, so they can be divided by.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+
+
+def variant_hashes(words: list[bytes], base: int) -> np.ndarray:
+    """Hashes of the line without each of its words, then of the whole line.
+
+    A sequence's hash is the sum of its words' hashes times powers of the base,
+    modulo 2^64, so all variants take time in proportion to the line.
+    """
+    n = len(words)
+    h = np.array([xxhash.xxh3_64_intdigest(w, base) for w in words], np.uint64)
+    powers = np.ones(n, np.uint64)
+    powers[1:] = np.uint64(base)
+    terms = h * np.cumprod(powers)
+    upto = np.cumsum(terms)
+    inverse = np.uint64(pow(base, -1, 1 << 64))
+    return np.append(upto - terms + (upto[-1] - upto) * inverse, upto[-1])
 
 
 def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Keys of the wanted lines: (v1, v2, pos, doc_id, line, n); pos -1 is the line itself.
+    """Keys of the wanted lines: (v1, v2, pos, doc_id, line); pos -1 is the line itself.
 
     wanted: doc_id, lines (their numbers in that document).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_chunks(batches, "text", 1 << 18):
-            rows = []
+        for piece, texts in text_chunks(batches, "text", 1 << 19):
+            made: list[list] = [[] for _ in VARIANT]
             for doc, numbers, t in zip(piece["doc_id"].to_pylist(), piece["lines"].to_pylist(), texts, strict=True):
                 lines = lines_of(t)
                 for i in numbers:
                     words = lines[i].encode("utf-8", "surrogatepass").split() if i < len(lines) else []
-                    n = len(words)
                     if words:
-                        rows.append((*two_longs(words), -1, doc, i, n))
-                    for p in range(n):
-                        rows.append((*two_longs(words[:p] + words[p + 1 :]), p, doc, i, n))
-                    if len(rows) > 100_000:
-                        yield batch_of(rows, VARIANT, [LONG, LONG, INT, LONG, INT, INT])
-                        rows = []
-            yield batch_of(rows, VARIANT, [LONG, LONG, INT, LONG, INT, INT])
-
-    return docs.join(wanted, "doc_id").select("doc_id", "lines", "text").mapInArrow(run, "v1 long, v2 long, pos int, doc_id long, line int, n int")
-
+                        n = len(words) + 1
+                        pos = np.arange(n, dtype=np.int32)
+                        pos[-1] = -1
+                        row = (*(variant_hashes(words, b).view(np.int64) for b in BASES), pos, np.full(n, doc, np.int64), np.full(n, i, np.int32))
+                        for column, x in zip(made, row, strict=True):
+                            column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(made, VARIANT, strict=True)], schema=VARIANT)
 
-VARIANT = ["v1", "v2", "pos", "doc_id", "line", "n"]
+    return docs.join(wanted, "doc_id").select("doc_id", "lines", "text").mapInArrow(run, ddl(VARIANT))
 
 
-def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 5) -> DataFrame:
+def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, kept): the numbers of the lines with words that stay, for documents where any does.
 
-    Rows without an id take no part; of repeated rows with one id the lines of
-    the first and of its copies count as the same lines.
+    Rows without an id take no part; rows that repeat an id count as one
+    document, a line of it being the same in all of them. Which lines must emit
+    variants is sent to the documents by broadcast if that takes less than
+    ``broadcast_bytes``, else by a shuffle.
     """
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col(doc_id).isNotNull())
     lines = written(distinct_lines(plain, least_words), "lines")
-    keys = lines.select("h1", "h2", F.explode(F.array_compact(F.array("k1", "k2", "k3", "k4"))).alias("k"))
+    keys = lines.select("doc_id", "line", F.explode(F.array_compact(F.array("k1", "k2", "k3", "k4"))).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("times")).where("times > 1").select("k")
-    suspects = lines.join(keys.join(shared, "k").select("h1", "h2").distinct(), ["h1", "h2"], "left_semi")
-    wanted = suspects.groupBy("first.doc_id").agg(F.collect_list("first.line").alias("lines"))  # at most a document's lines
-    order = F.struct("doc_id", "line")
-    found = variants(plain, wanted)
-    # all that a key brings together is within one edit, or is told apart by position and length
-    by_key = written(found.groupBy("v1", "v2", "pos", "n").agg(F.min(order).alias("least"), F.count("*").alias("times")), "variants")
-    whole = by_key.where("pos = -1").select("v1", "v2", F.col("least").alias("whole"))
-    longer = by_key.where("pos >= 0").groupBy("v1", "v2").agg(F.min("least").alias("least"))
-    # a line one word shorter: the later of it and of the earliest longer line goes, as do all longer ones after it
-    met = whole.join(longer, ["v1", "v2"]).select("v1", "v2", "whole", "least")
-    late_short = met.where(F.col("least") < F.col("whole")).select(F.col("whole").alias("o"))
-    member = found.select("v1", "v2", "pos", "n", order.alias("o")).where("pos >= 0")
-    groups = by_key.where("pos >= 0").join(met.select("v1", "v2", "whole"), ["v1", "v2"], "left").where("times > 1 or whole is not null")
-    bound = groups.select("v1", "v2", "pos", "n", F.least("least", "whole").alias("earliest"))
-    late = member.join(bound, ["v1", "v2", "pos", "n"]).where(F.col("earliest") < F.col("o")).select("o")
-    gone = late.union(late_short).distinct()
-    stay = lines.join(gone, F.col("first") == F.col("o"), "left_anti")
-    return stay.groupBy("first.doc_id").agg(F.sort_array(F.collect_list("first.line")).alias("kept"))
-
-
-SCHEMA = "n_lines long, n_kept long, kept array<int>"
+    suspects = keys.join(shared, "k").groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # at most a document's lines
+    wanted = written(suspects, "suspects")
+    if (wanted.agg(F.sum(F.size("lines") * 4 + 40)).first()[0] or 0) <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
+    found = written(variants(plain, wanted), "variants")
+    order = F.struct("doc_id", "line").alias("o")
+    met = found.groupBy("v1", "v2").agg(F.count("*").alias("times")).where("times > 1").select("v1", "v2")
+    live = written(found.join(met, ["v1", "v2"]).select("v1", "v2", "pos", order), "met")
+    # the same words without one at the same position: one replaced word apart, the earliest stays
+    replaced = live.where("pos >= 0").groupBy("v1", "v2", "pos").agg(F.min("o").alias("least"))
+    # a whole line and a variant with the same words: one deleted word apart
+    whole = live.where("pos < 0").groupBy("v1", "v2").agg(F.min("o").alias("whole"))
+    longer = replaced.groupBy("v1", "v2").agg(F.min("least").alias("least"))
+    short_gone = whole.join(longer, ["v1", "v2"]).where(F.col("least") < F.col("whole")).select(F.col("whole").alias("o"))
+    bound = replaced.join(whole, ["v1", "v2"], "left").select("v1", "v2", "pos", F.least("least", "whole").alias("earliest"))
+    gone = live.join(bound, ["v1", "v2", "pos"]).where(F.col("earliest") < F.col("o")).select("o").union(short_gone)
+    gone = gone.select("o.doc_id", "o.line").distinct()
+    return lines.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 5) -> DataFrame:
-    """docs with n_lines, n_kept and kept after its own columns (a column so named beforehand gives way).
+    """doc_id, n_lines, n_kept and kept for every row of docs.
 
     ``kept`` numbers the lines that stay: those kept_lines names and all lines
     without words. A null text has no lines. A row without an id keeps all its lines.
     """
-    left = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_kept", "kept")])
-    found = kept_lines(docs, doc_id, text, least_words).withColumnRenamed("doc_id", "_doc").withColumnRenamed("kept", "_kept")
-    all_lines = F.coalesce(F.split(F.col(text), "\n", -1), F.array().cast("array<string>"))
-    numbers = F.sequence(F.lit(1), F.size(all_lines))
-    blank = F.filter(F.transform(all_lines, lambda x, i: F.when(~x.rlike(r"[^\x20\x09-\x0D]"), i)), lambda i: i.isNotNull())
-    every = F.when(F.size(all_lines) == 0, F.array().cast("array<int>")).otherwise(F.transform(numbers, lambda i: i - 1))
-    kept = F.when(F.col(doc_id).isNull(), every).otherwise(F.array_sort(F.concat(F.coalesce("_kept", F.array().cast("array<int>")), blank)))
-    return left.join(found, F.col(doc_id) == F.col("_doc"), "left").withColumns({"n_lines": F.size(all_lines).cast("long"), "kept": kept}).withColumn("n_kept", F.size("kept").cast("long")).drop("_doc", "_kept")
+    found = kept_lines(docs, doc_id, text, least_words).withColumnsRenamed({"doc_id": "_doc", "kept": "_kept"})
+    none = F.array().cast(NO_LINES)
+    split = F.coalesce(F.split(F.col(text), "\n", -1), none.cast("array<string>"))
+    plain = F.transform(split, lambda x, i: F.when(F.col(doc_id).isNull() | ~x.rlike(r"[^\x20\x09-\x0D]"), i))
+    narrow = docs.select(F.col(doc_id), F.size(split).cast("long").alias("n_lines"), F.array_compact(plain).alias("_plain"))
+    kept = F.array_sort(F.concat("_plain", F.coalesce("_kept", none)))
+    return narrow.join(found, F.col(doc_id) == F.col("_doc"), "left").select(doc_id, "n_lines", F.size(kept).cast("long").alias("n_kept"), kept.alias("kept"))
 
 
 def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", least_words: int = 5) -> DataFrame:
@@ -166,21 +178,27 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
 
     A document all of whose words are gone goes; one without words from the start stays.
     """
-    found = dedup_lines(docs, doc_id, text, least_words).drop("n_lines", "n_kept")
-    columns = [c for c in found.columns if c != "kept"]
+    columns = docs.columns
+    kept = kept_lines(docs, doc_id, text, least_words).withColumnsRenamed({"doc_id": "_doc", "kept": "_kept"})
+    known = F.when(F.col(doc_id).isNotNull(), F.coalesce("_kept", F.array().cast(NO_LINES))).alias("_kept")
+    found = docs.join(kept, F.col(doc_id) == F.col("_doc"), "left").select(*columns, known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_chunks(batches, text):
             new = []
-            for t, kept in zip(texts, piece["kept"].to_pylist(), strict=True):
-                cut = lines_of(t)
-                left = t if len(kept) == len(cut) else "\n".join(cut[i] for i in kept)
-                new.append((left, left is None or left is t or bool(left.encode("utf-8", "surrogatepass").split())))
+            for t, numbers in zip(texts, piece["_kept"].to_pylist(), strict=True):
+                if t is None or numbers is None:
+                    new.append((t, True))
+                    continue
+                stays, cut = set(numbers), lines_of(t)
+                worded = [bool(x.encode("utf-8", "surrogatepass").split()) for x in cut]
+                left = [x for i, (x, w) in enumerate(zip(cut, worded, strict=True)) if not w or i in stays]
+                new.append((t if len(left) == len(cut) else "\n".join(left), bool(stays) or not any(worded)))
             changed = {text: pa.array([x for x, _ in new], piece[text].type)}
             if n_chars in columns:
                 same = piece[n_chars].to_pylist()
-                changed[n_chars] = pa.array([s if x is t else len(x) for s, (x, _), t in zip(same, new, texts, strict=True)], piece[n_chars].type)
+                changed[n_chars] = pa.array([n if x is t else len(x) for n, (x, _), t in zip(same, new, texts, strict=True)], piece[n_chars].type)
             out = pa.RecordBatch.from_arrays([changed.get(c, piece[c]) for c in columns], names=columns)
             yield out.filter(pa.array([stays for _, stays in new], pa.bool_()))
 
-    return found.select(*columns, "kept").mapInArrow(run, found.select(*columns).schema)
+    return found.mapInArrow(run, found.drop("_kept").schema)
