@@ -53,7 +53,7 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # element, its region, outside
+        self.stack: list[tuple[str, int, bool, bool]] = []  # element, its region, outside, text to be skipped
         self.regions = 0
         self.lines: list[tuple[str, int, int, bool]] = []
         self.held: list[str] = []
@@ -61,7 +61,7 @@ class Lines(HTMLParser):
 
     @property
     def state(self) -> tuple[int, bool]:
-        return self.stack[-1][1:] if self.stack else (0, False)
+        return self.stack[-1][1:3] if self.stack else (0, False)
 
     def cut(self) -> None:
         text = SPACE.sub(" ", "".join(self.held)).strip()
@@ -85,7 +85,10 @@ class Lines(HTMLParser):
         if tag in REGIONS and not out:
             self.regions += 1
             region = self.regions
-        self.stack.append((tag, region, out or outside(tag, attrs)))
+        now = out or outside(tag, attrs)
+        # an element inside a line that is no main text leaves the line whole
+        skip = bool(self.stack and self.stack[-1][3]) or (now and not out and tag not in BLOCK)
+        self.stack.append((tag, region, now, skip))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # in HTML a slash does not close
@@ -108,7 +111,8 @@ class Lines(HTMLParser):
             self.close_to(tag)
 
     def handle_data(self, data: str) -> None:
-        self.held.append(data)
+        if not (self.stack and self.stack[-1][3]):
+            self.held.append(data)
 
 
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:

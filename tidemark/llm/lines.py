@@ -130,7 +130,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     """(doc_id, kept): the numbers of the lines with words that stay, for documents where any does.
 
     Rows without an id take no part; rows that repeat an id count as one
-    document, a line of it being the same in all of them. Which lines must emit
+    document, whose lines go by their number. Which lines must emit
     variants is sent to the documents by broadcast if that takes less than
     ``broadcast_bytes``, else by a shuffle.
     """
@@ -155,7 +155,7 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     bound = replaced.join(whole, ["v1", "v2"], "left").select("v1", "v2", "pos", F.least("least", "whole").alias("earliest"))
     gone = live.join(bound, ["v1", "v2", "pos"]).where(F.col("earliest") < F.col("o")).select("o").union(short_gone)
     gone = gone.select("o.doc_id", "o.line").distinct()
-    return lines.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("kept"))
+    return lines.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 5) -> DataFrame:
