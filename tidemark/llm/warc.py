@@ -55,18 +55,28 @@ def with_types(pages: DataFrame, least_bytes: int, broadcast_bytes: int) -> Data
     """page_id, url, html, _digest, _revisit, _refers: which record each page becomes.
 
     Of equal payloads of at least ``least_bytes`` the row with the largest page_id
-    (of repeated rows one) is the response. Only the groups of several rows are
-    joined back, by broadcast if their number times a row's bound stays below
-    ``broadcast_bytes``, else by a shuffle.
+    is the response. Only groups of several rows are joined back, by broadcast
+    if their number times a row's bound stays below ``broadcast_bytes``, else by
+    a shuffle. Rows that repeat that page_id as well can't be told apart: they
+    are counted, and one of so many copies is the response (all take the smallest url).
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("_digest"), F.monotonically_increasing_id().alias("_row"))
-    groups = rows.where(F.octet_length("html") >= least_bytes).groupBy("_digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "_row")).alias("top")).where("n > 1")
-    leaders = written(groups.select("_digest", F.col("top.page_id").alias("_leader"), F.col("top._row").alias("_leader_row")), "leaders")
-    if leaders.count() * 100 <= broadcast_bytes:
-        leaders = F.broadcast(leaders)
-    revisit = F.col("_leader_row").isNotNull() & (F.col("_leader_row") != F.col("_row"))
-    return rows.join(leaders, "_digest", "left").select("page_id", "url", "html", "_digest", revisit.alias("_revisit"), F.when(revisit, F.col("_leader")).alias("_refers"))
+    rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("_digest"))
+    each = rows.where(F.octet_length("html") >= least_bytes).groupBy("_digest", "page_id").agg(F.count("*").alias("n"))
+    groups = each.groupBy("_digest").agg(F.sum("n").alias("all"), F.max(F.struct("page_id", "n")).alias("top")).where("all > 1")
+    leaders = written(groups.select("_digest", F.col("top.page_id").alias("_leader"), F.col("top.n").alias("_copies")), "leaders")
+    n, repeated = leaders.agg(F.count("*"), F.count_if(F.col("_copies") > 1)).first()
+    joined = rows.join(F.broadcast(leaders) if n * 100 <= broadcast_bytes else leaders, "_digest", "left")
+    leads = F.col("page_id").eqNullSafe(F.col("_leader"))
+    revisit = F.col("_copies").isNotNull() & ~leads
+    columns = ["page_id", "url", "html", "_digest", "_revisit", "_refers"]
+    plain = joined.withColumns({"_revisit": revisit, "_refers": F.when(revisit, F.col("_leader"))})
+    if not repeated:
+        return plain.select(columns)
+    many = F.coalesce(F.col("_copies") > 1, F.lit(False)) & leads
+    once = joined.where(many).groupBy("_digest", "page_id").agg(F.min("url").alias("url"), F.first("html").alias("html"), F.count("*").alias("n"))
+    copies = once.withColumn("_revisit", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: i > 1))).withColumn("_refers", F.when(F.col("_revisit"), F.col("page_id")))
+    return plain.where(~many).select(columns).union(copies.select(columns))
 
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date: str = "1970-01-01T00:00:00Z", compress: bool = True, broadcast_bytes: int = 16 << 20) -> None:
