@@ -10,6 +10,7 @@ line itself is a hashed key. Lines that share a variant at the same position
 differ by one replaced word; a line that equals a variant of another differs by
 one deleted word. Equal keys are joined by aggregation to the earliest line, so
 a line with thousands of near copies costs as many keys, never their pairs.
+The words of each line and the earliest it met are then compared.
 
 Most lines have no near copy. As one edit leaves the first or the last half of
 the shorter line as it is, only lines that share a half with another distinct
@@ -54,12 +55,13 @@ def two_longs(words: list[bytes]) -> tuple[int, int]:
 
 
 LINE = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), *[(c, pa.int64()) for c in ("h1", "h2", "k1", "k2", "k3", "k4")]])
-VARIANT = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32())])
+VARIANT = pa.schema([("v1", pa.int64()), ("v2", pa.int64()), ("pos", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("words", pa.string())])
 NO_LINES = "array<int>"
 
 
 def ddl(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'int' if f.type == pa.int32() else 'long'}" for f in schema)
+    names = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
 def distinct_lines(docs: DataFrame, least_words: int) -> DataFrame:
@@ -102,7 +104,7 @@ def variant_hashes(words: list[bytes], base: int) -> np.ndarray:
 
 
 def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Keys of the wanted lines: (v1, v2, pos, doc_id, line); pos -1 is the line itself.
+    """Keys of the wanted lines: (v1, v2, pos, doc_id, line); pos -1 is the line itself, and brings its words.
 
     wanted: doc_id, lines (their numbers in that document).
     """
@@ -118,14 +120,35 @@ def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         n = len(words) + 1
                         pos = np.arange(n, dtype=np.int32)
                         pos[-1] = -1
-                        row = (*(variant_hashes(words, b).view(np.int64) for b in BASES), pos, np.full(n, doc, np.int64), np.full(n, i, np.int32))
+                        row = (*(variant_hashes(words, b).view(np.int64) for b in BASES), pos, np.full(n, doc, np.int64), np.full(n, i, np.int32), [None] * (n - 1) + [b" ".join(words).decode("utf-8", "surrogatepass")])
                         for column, x in zip(made, row, strict=True):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(made, VARIANT, strict=True)], schema=VARIANT)
+            numbers = [pa.array(np.concatenate(c) if c else [], f.type) for c, f in zip(made[:-1], VARIANT, strict=False)]
+            yield pa.RecordBatch.from_arrays([*numbers, pa.array([x for c in made[-1] for x in c], pa.string())], schema=VARIANT)
 
     return docs.join(wanted, "doc_id").select("doc_id", "lines", "text").mapInArrow(run, ddl(VARIANT))
 
 
+def within_one_edit(a: list[str], b: list[str]) -> bool:
+    """Whether one word inserted, deleted or replaced, or none, turns a into b."""
+    if len(a) < len(b):
+        a, b = b, a
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(b))
+    return a[i + 1 :] == b[i + (len(a) == len(b)) :] if len(a) - len(b) <= 1 else False
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The late lines (o) of pairs (o, earliest) whose words are within one edit. texts: o, words."""
+    both = pairs.join(texts.withColumnRenamed("words", "a"), "o").join(texts.select(F.col("o").alias("earliest"), F.col("words").alias("b")), "earliest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in batches:
+            near = [within_one_edit(a.split(" "), b.split(" ")) for a, b in zip(piece["a"].to_pylist(), piece["b"].to_pylist(), strict=True)]
+            yield piece.select(["doc_id", "line"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("o.doc_id", "o.line", "a", "b").mapInArrow(run, "doc_id long, line int").distinct()
+
+
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = 5, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """(doc_id, kept): the numbers of the lines with words that stay, for documents where any does.
 
@@ -151,10 +174,10 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leas
     # a whole line and a variant with the same words: one deleted word apart
     whole = live.where("pos < 0").groupBy("v1", "v2").agg(F.min("o").alias("whole"))
     longer = replaced.groupBy("v1", "v2").agg(F.min("least").alias("least"))
-    short_gone = whole.join(longer, ["v1", "v2"]).where(F.col("least") < F.col("whole")).select(F.col("whole").alias("o"))
+    short_gone = whole.join(longer, ["v1", "v2"]).where(F.col("least") < F.col("whole")).select(F.col("whole").alias("o"), F.col("least").alias("earliest"))
     bound = replaced.join(whole, ["v1", "v2"], "left").select("v1", "v2", "pos", F.least("least", "whole").alias("earliest"))
-    gone = live.join(bound, ["v1", "v2", "pos"]).where(F.col("earliest") < F.col("o")).select("o").union(short_gone)
-    gone = gone.select("o.doc_id", "o.line").distinct()
+    late = live.join(bound, ["v1", "v2", "pos"]).where(F.col("earliest") < F.col("o")).select("o", "earliest")
+    gone = verified(late.union(short_gone).distinct(), found.where("pos < 0").select(order, "words"))
     return lines.select("doc_id", "line").join(gone, ["doc_id", "line"], "left_anti").groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("kept"))
 
 
