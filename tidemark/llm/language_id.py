@@ -182,7 +182,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return out.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "lang_pred", "score", "known")
 
 
-def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least_known: float = 0.1) -> DataFrame:
+def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least_known: float = 0.02) -> DataFrame:
     """The rows of docs, with their columns, in a learned language: those that aren't
     ``und`` and of whose n-grams the winner's filter holds ``least_known`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
