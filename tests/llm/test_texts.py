@@ -46,6 +46,13 @@ def test_languages(spark):
     assert all(r["held_out"] == (zlib.crc32(b"" if i is None else str(i).encode()) % 5 == 0) for i, r in got.items())
 
 
+def test_more_languages_than_bits_of_a_byte(spark):
+    words = {f"l{k:02}": [f"{c}{v}{c}" for c in "bcdfg"[k % 5] + "klmnp"[k // 5 % 5] for v in "aeiou"[k % 5] + "xyzwq"[k // 5]] for k in range(11)}
+    rows = [(100 * k + i, say(words[g], 100 * k + i), g) for k, g in enumerate(sorted(words)) for i in range(20)]
+    out = language_id.identify(docs(spark, rows)).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] // 100:02}" for r in out) >= 0.95 * len(rows)
+
+
 def test_no_labels_and_no_rows(spark):
     rows = [(1, "some words", None), (2, "more", None)]
     assert [r["lang_pred"] for r in language_id.identify(docs(spark, rows)).collect()] == ["und", "und"]
