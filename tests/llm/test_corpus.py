@@ -140,6 +140,60 @@ def test_dense_fingerprints(spark):
     assert [got.get(i, i) for i, _ in pairs] == want
 
 
+def brute_similarity(a, b):
+    sets = []
+    for t in (a, b):
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_similar_texts(spark, monkeypatch):
+    """Near copies at 0.8 or more over five-word shingles go though many are further apart than 2 bits; others stay."""
+    monkeypatch.setattr(simhash, "TEXTS", 7)  # several tiles
+    monkeypatch.setattr(simhash, "CANDIDATES", 20)
+    r = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    texts = [None, "", " ", "One two", "one  TWO", "one three"]
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(240)]
+        for edits in (0, 1, 2, 4, 4, 8, 30):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    texts += [texts[8]] * 30
+    r.shuffle(texts)
+    rows = [(1000 - i, t, "en") for i, t in enumerate(texts)] + [(None, texts[0], "en"), (1000, texts[0], "en")]
+    pairs = [(i, (brute_fingerprint(t), t)) for i, t, _ in rows]
+    alike = lambda a, b: (a[0] ^ b[0]).bit_count() <= 10 and brute_similarity(a[1], b[1]) >= 0.8
+    want = {i for (i, _), c in zip(pairs, brute_components(pairs, alike), strict=True) if i is not None and i == c}
+    by_two = {i for (i, _), c in zip(pairs, brute_components(pairs, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2), strict=True) if i is not None and i == c}
+    import corpus_pipeline
+
+    out = dict(corpus_pipeline.STAGES)["simhash"](spark, docs(spark, rows), "")
+    got = [x["doc_id"] for x in out.collect()]
+    assert out.columns == docs(spark, rows).columns and len(want) < len(by_two)
+    assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+
+
+@pytest.mark.parametrize("tile", [4096, 50])
+def test_candidates_are_complete(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "CANDIDATES", tile)
+    r = random.Random(9)
+    prints = {r.getrandbits(64) for _ in range(150)}
+    for x in sorted(prints)[:60]:
+        for at in r.sample(range(64), 1 + r.randrange(2)):
+            x ^= 1 << at
+        for at in r.sample(range(64), 9):
+            x ^= 1 << at
+        prints.add(x)
+    pairs = [(simhash.signed(x), x) for x in sorted(prints)]
+    edges = simhash.candidate_links(spark.createDataFrame([(i,) for i, _ in pairs], "fp long"))
+    got = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
+    assert [got.get(i, i) for i, _ in pairs] == brute_components(pairs, lambda a, b: (a ^ b).bit_count() <= 10)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in simhash.components(edges).collect()}

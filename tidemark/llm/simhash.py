@@ -213,6 +213,159 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = near_duplicates(docs, doc_id, text, width, radius)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
+    return one_each(docs, stay, doc_id)
+
+
+def one_each(docs: DataFrame, stay: DataFrame, doc_id: str) -> DataFrame:
+    """One row of docs for each id in column _stay, and all rows without an id."""
     kept = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi")
     one = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
     return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one").unionByName(docs.where(F.col(doc_id).isNull()))
+
+
+#: A candidate group holds about twice so many fingerprints, a confirmed one so many texts.
+CANDIDATES, TEXTS = 4096, 256
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """Sorted hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    h = xxhash.xxh64_intdigest
+    shingles = [b" ".join(words)] if 0 < len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter((h(s, 42) for s in shingles), np.uint64))
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is at least so high; two empty sets are equal."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return not union or both / union >= similarity
+
+
+def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of rows with equal integers in ``names``, from batches sorted by them."""
+    rest: list[pa.Table] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        key = np.stack([t[c].to_numpy().astype(np.int64) for c in names], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+        if last is not None and (key[0] != last).any():
+            yield pa.concat_tables(rest)
+            rest = []
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s:
+                yield pa.concat_tables(rest)
+                rest = []
+            rest.append(t.slice(s, e - s))
+        last = key[-1]
+    if rest:
+        yield pa.concat_tables(rest)
+
+
+def dealt_in_tiles(rows: DataFrame, keys: list[str], each: str, tile: int) -> DataFrame:
+    """rows with t and u, sorted by keys, t, u within their partitions: a group of n rows is
+    dealt into n / tile tiles, and every two tiles meet once; a single tile meets itself."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(each), F.col("tiles")).cast("int"))
+    meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("own != other or tiles = 1")
+    meets = meets.withColumn("t", F.least("own", "other")).withColumn("u", F.greatest("own", "other")).drop("tiles", "own", "other")
+    return meets.repartition(*keys, "t", "u").sortWithinPartitions(*keys, "t", "u")
+
+
+def spanning(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links between positions that join the same fingerprints as all pairs within the radius do."""
+    near: list[np.ndarray] = []
+    step = max(1, (1 << 20) // max(1, len(fp)))
+    for s in range(0, len(fp), step):  # which have a neighbour at all
+        hit = (np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= radius).sum(axis=1) > 1
+        near.append(np.flatnonzero(hit) + s)
+    left = np.concatenate(near) if near else np.zeros(0, np.int64)
+    links = []
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            i = todo.pop()
+            ok = np.bitwise_count(fp[left] ^ fp[i]) <= radius
+            found, left = left[ok].tolist(), left[~ok]
+            links += [(i, j) for j in found]
+            todo += found
+    return links
+
+
+def candidate_links(prints: DataFrame, radius: int = 10) -> DataFrame:
+    """(a, b): links whose components are those of all pairs within a radius below 12.
+
+    prints: distinct fingerprints, column fp. Of 4 blocks of 16 bits one differs in
+    2 bits at most, and so in 2 of its 4 nibbles at most: the others, one of 6 pairs
+    of nibbles, are equal. A fingerprint is thus sent 24 times, to those that share
+    the 8 bits, where all are compared.
+    """
+    if radius > 11:
+        raise ValueError("4 blocks of 16 bits find pairs within 11 bits")
+    pairs = [(16 * block + 4 * i, 16 * block + 4 * j) for block in range(4) for i in range(4) for j in range(i)]
+    nibble = lambda at: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(15))
+    keys = F.array(*[F.lit(256 * k) + 16 * nibble(i) + nibble(j) for k, (i, j) in enumerate(pairs)])
+    sent = prints.select("fp", F.explode(keys).alias("bits"))
+    meets = dealt_in_tiles(sent, ["bits"], "fp", CANDIDATES).select("bits", "t", "u", "fp")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("bits", "t", "u")):
+            fp = t["fp"].to_numpy()
+            both = fp[np.array(spanning(fp.view(np.uint64), radius), np.int64).reshape(-1, 2)]
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return meets.mapInArrow(join, "a long, b long").distinct()
+
+
+def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join the same texts as all pairs do that are within the radius and alike."""
+    label = np.arange(len(fp))
+    links = []
+    for i in range(1, len(fp)):
+        near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
+        while len(near := near[label[near] != label[i]]):
+            j, near = int(near[0]), near[1:]
+            if alike(sets[i], sets[j], similarity):
+                links.append((i, j))
+                label[label == label[i]] = label[j]
+    return links
+
+
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 10, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of docs, with their columns, that stay when each group of similar texts keeps its smallest id.
+
+    Two texts are similar if their fingerprints (of ``width``-word shingles) are
+    within the radius and the Jaccard similarity of their ``words``-word shingles
+    is at least ``similarity``; groups are the components of that. Candidate links
+    give components that hold all such pairs; within them, in tiles, texts are
+    compared pair by pair unless already joined. Texts without words are alike.
+    Rows without an id and repeated ids are as in ``drop_near_duplicates``.
+    """
+    content = F.coalesce(F.col(text), F.lit(""))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("node"))
+    prints = written(fingerprints(texts, ["doc_id", "node"], "text", width).groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "prints")
+    rough = components(candidate_links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp").withColumnRenamed("root", "part")
+    parts = prints.join(rough, "fp", "left").select("node", "fp", F.coalesce("part", "fp").alias("part"))
+    many = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    wanted = written(parts.join(many, "part").select("node", "fp", "part"), "wanted")
+    found = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")  # copies meet within each task first
+    sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
+    meets = dealt_in_tiles(written(sets, "shingles"), ["part"], "node", TEXTS).select("part", "t", "u", "node", "fp", "shingles")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("part", "t", "u")):
+            node = t["node"].to_numpy()
+            own = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
+            both = node[np.array(confirmed(t["fp"].to_numpy().view(np.uint64), own, radius, similarity), np.int64).reshape(-1, 2)]
+            if len(both):
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    roots = components(meets.mapInArrow(confirm, "a long, b long").distinct())
+    stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("_stay")).where(F.col("_stay").isNotNull()).select("_stay")
+    return one_each(docs, stay, doc_id)
