@@ -68,6 +68,30 @@ def test_held_out_accuracy(spark):
     assert got > 0.97
 
 
+UNLEARNED = [
+    "La mattina presto il mercato della piazza si riempie di gente che compra frutta, verdura e pesce fresco, mentre i bambini corrono verso la scuola e gli anziani leggono il giornale seduti davanti alla chiesa.",
+    "Wczesnym rankiem targ na placu wypelnia sie ludzmi, ktorzy kupuja owoce, warzywa i swieze ryby, podczas gdy dzieci biegna do szkoly, a starsi czytaja gazety siedzac na lawkach przed kosciolem.",
+    "Sang som cho o quang truong day nguoi mua trai cay rau va ca tuoi trong khi tre em chay den truong va nguoi gia doc bao ngoi tren ghe truoc nha tho.",
+    "Varhain aamulla torin markkinat tayttyvat ihmisista, jotka ostavat hedelmia, vihanneksia ja tuoretta kalaa, kun lapset juoksevat kouluun ja vanhukset lukevat sanomalehtea penkeilla kirkon edessa.",
+    "Vroeg in de ochtend vult de markt op het plein zich met mensen die fruit, groente en verse vis kopen, terwijl de kinderen naar school rennen en de ouderen op de banken voor de kerk de krant lezen.",
+    "Рано утром рынок на площади наполняется людьми",
+]
+
+
+def test_unlearned_languages_and_noise_go(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    import corpus_pipeline
+
+    r = random.Random(4)
+    noise = [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randrange(2, 10))) for _ in range(50)) for _ in range(40)]
+    table = spark.read.parquet(path)
+    more = spark.createDataFrame([(10**9 + i, t, None, None, None) for i, t in enumerate(UNLEARNED + noise)], table.schema)
+    left = dict(corpus_pipeline.STAGES)["language_id"](spark, table.unionByName(more), "")
+    assert left.where(f"doc_id >= {10**9}").count() == 0 and left.count() == table.count()
+
+
 def test_filter_has_no_false_negatives():
     import numpy as np
 

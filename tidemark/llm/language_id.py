@@ -182,7 +182,27 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return out.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "lang_pred", "score", "known")
 
 
-def keep_languages(docs: DataFrame, model: LanguageModel, text: str = "text", least_known: float = 0.02) -> DataFrame:
+def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, quantile: float = 0.05, part: float = 0.55) -> float:
+    """The share of known n-grams below which a text is in no learned language.
+
+    ``part`` of the ``quantile`` of ``known`` over labelled rows that the model
+    tells rightly: held-out ones, about ``docs_per_lang`` a language, or where
+    there are none those it learned from. 0 if there are none either.
+    """
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    many = {(r["lang"], r["held"]): r["n"] for r in rows.groupBy("lang", held_out(F.col("id")).alias("held")).agg(F.count("*").alias("n")).collect()}
+    for held in (True, False):
+        here = {k: n for (k, h), n in many.items() if h == held and k in model.langs}
+        if here:
+            chance = F.create_map(*[F.lit(x) for k, n in here.items() for x in (k, min(1.0, docs_per_lang / n))])
+            sample = rows.where((held_out(F.col("id")) == held) & (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("bound")), F.lit(1_000_003)) < chance[F.col("lang")] * 1_000_003))
+            found = predict(sample, model, ["lang"]).where("lang = lang_pred").agg(F.percentile("known", quantile)).first()[0]
+            if found is not None:
+                return part * found
+    return 0.0
+
+
+def keep_languages(docs: DataFrame, model: LanguageModel, least_known: float, text: str = "text") -> DataFrame:
     """The rows of docs, with their columns, in a learned language: those that aren't
     ``und`` and of whose n-grams the winner's filter holds ``least_known`` or more."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
