@@ -254,6 +254,28 @@ def test_tokenize(spark):
     assert "tokens" not in tokens.tokenize(docs(spark, []), ["doc_id"], ids=False).columns
 
 
+def test_every_text_is_verified(spark):
+    judge = need_model()
+    rows = [(i, f"{t} {i}", "en") for i, t in enumerate(TEXTS * 4)] + [(900, None, None)]
+    for r in tokens.tokenize(docs(spark, rows), ["doc_id"]).collect():
+        t = dict((i, t) for i, t, _ in rows)[r["doc_id"]]
+        assert r["parity"] is (None if t is None else True) and r["tokens"] == (None if t is None else judge.encode(t))
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_ids_that_differ_are_replaced(monkeypatch, by_word):
+    """With a tokenizer whose merges are in a wrong order, ids are sentencepiece's and parity tells where they weren't."""
+    judge, right, r = need_model(), tokens.merges_of, random.Random(3)
+    monkeypatch.setattr(tokens, "merges_of", lambda pieces: right(pieces)[::-1])
+    texts = TEXTS + ["".join(r.choice(" xa  the\n<é▁") for _ in range(r.randrange(60))) for _ in range(500)]
+    plain, codec = tokens.Codec(tokens.MODEL), tokens.Codec(tokens.MODEL, judge=judge)
+    plain.by_word = codec.by_word = codec.words_judged = by_word
+    own, want = plain.encode(texts), judge.encode(texts)
+    for part in (slice(0, 300), slice(200, None)):  # the second time some words are known
+        ids, same = codec.verified(texts[part])
+        assert ids == want[part] and same == [a == b for a, b in zip(own[part], want[part], strict=True)] and not all(same) and any(same)
+
+
 def message(*fields):
     """A protobuf message of (number, bytes or int or float)."""
 
