@@ -215,6 +215,26 @@ def test_pages_without_regions(spark):
     assert len(html_text.main_text("<article>" + "<p>word " * 20_000)) == 5 * 20_000 - 1
 
 
+LONG = "A paragraph of some length with enough words in it to stand out clearly, number"
+TEXT = "".join(f"<div>{LONG} {i}</div>" for i in range(6))
+LINES = "\n".join(f"{LONG} {i}" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<main><h1>Head</h1><p>Lead.</p><article>{TEXT}</article><p>End.</p></main>", f"Head\nLead.\n{LINES}\nEnd."),
+        (f"<article><h2>One</h2>{TEXT}</article><article><h2>Two</h2>{TEXT}</article>", f"One\n{LINES}\nTwo\n{LINES}"),
+        (f"<div><h1>Head</h1>{TEXT}</div><article><p>{LONG}</p></article>", f"Head\n{LINES}\n{LONG}"),
+        (f"<h1>Head</h1><p>By X</p>{TEXT}<p>End.</p><p>X</p>", f"Head\nBy X\n{LINES}\nEnd.\nX"),
+        (f"{TEXT}<div class='ad'>Buy this</div><p>Yes.</p><div class='ad'>Buy that</div>{TEXT}", f"{LINES}\nYes.\n{LINES}"),
+        (f"<p><a href='#'>x</a></p><nav>{'<a>Home</a>' * 30}</nav>{'<div></div>' * 9}<p>y</p>{'<div></div>' * 9}<nav>{'<a>Home</a>' * 30}</nav>{TEXT}", LINES),
+    ],
+)
+def test_all_parts_of_the_cluster_stay(body, want):
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{body}<footer>&copy; Us</footer></body></html>") == want
+
+
 def test_smoothing_keeps_a_constant():
     import numpy as np
 

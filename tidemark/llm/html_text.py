@@ -3,10 +3,12 @@
 Standard-library parser events are cut into lines, one for each block element.
 A line's ratio is its characters over its tags; the ratios of a page are
 smoothed by a Gaussian, and lines above a threshold (the deviation of the
-ratios) form the content cluster. The cluster's lines vote, with their smoothed ratios, for the region they stand
-in (an article or main element, else the body); the winning region is the main
-text, without those of its parts that are menus, headers, footers, notices,
-adverts, forms or comments by element, role or class.
+ratios) form the content cluster. Main text is every region (an outermost article
+or main element) and every stretch of the body with a line of the cluster: whole,
+with its headings and short lines, but without those of its parts that are menus,
+headers, footers, notices, adverts, forms or comments by element, role or class.
+A stretch of the body ends at a region or at such a part; stretches between two
+selected ones belong to them.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ class Lines(HTMLParser):
         elif tag in ("li", "td", "th", "tr", "dd", "dt", "option") and self.stack and self.stack[-1][0] == tag:
             self.stack.pop()
         region, out = self.state
-        if tag in REGIONS and not out:
+        if tag in REGIONS and not out and not region:  # one inside another is part of it
             self.regions += 1
             region = self.regions
         now = out or outside(tag, attrs)
@@ -124,7 +126,7 @@ def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
-    """The lines of the main region, joined by \\n; '' if there is none."""
+    """The lines of the regions and body stretches that the cluster selects, joined by \\n; '' if there are none."""
     if not html:
         return ""
     p = Lines()
@@ -135,21 +137,21 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
         return ""
     ratio = smoothed(np.array([len(t) / (1 + n) for t, n, _, _ in p.lines]), sigma)
     content = ratio >= ratio.std()
-    votes: dict[int, float] = {}
-    for chosen in (content, np.ones(len(content), bool)):  # if no line of the cluster may count, all lines vote
-        for (_, _, region, out), r, c in zip(p.lines, ratio, chosen, strict=True):
-            if c and not out:
-                votes[region] = votes.get(region, 0.0) + float(r)
-        if votes:
-            break
-    if not votes:
-        return ""
-    best = max((k for k in votes if k or len(votes) == 1), key=lambda k: (votes[k], -k))
-    inside = [i for i, (_, _, region, out) in enumerate(p.lines) if region == best and not out]
-    if not best:  # no article: from the cluster's first line to its last
-        chosen = [i for i in inside if content[i]] or inside
-        inside = [i for i in inside if chosen[0] <= i <= chosen[-1]]
-    return "\n".join(p.lines[i][0] for i in inside)
+    parts: list[int] = []  # of each line: 0 outside, a region's number, or less than 0 for a stretch of the body
+    stretch, ended = 0, True
+    for _, _, region, out in p.lines:
+        if out or region:
+            parts.append(0 if out else region)
+        else:
+            stretch -= ended
+            parts.append(stretch)
+        ended = bool(out or region)
+    # if no line of the cluster may count, all do
+    chosen = {k for k, c in zip(parts, content, strict=True) if c and k} or {k for k in parts if k}
+    body = [k for k in chosen if k < 0]
+    if body:  # what stands between two chosen stretches of the body stays
+        chosen.update(range(min(body), max(body) + 1))
+    return "\n".join(t for (t, *_), k in zip(p.lines, parts, strict=True) if k in chosen)
 
 
 def extract(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
