@@ -146,6 +146,20 @@ def test_ledger(spark):
 # personal data
 
 
+def test_ledger_after_a_version_change(spark):
+    """What only an earlier version of a rule found is withdrawn; other rules' findings stay."""
+    from dataclasses import replace
+
+    ledger = fresh_dir(spark, "ledger")
+    short, long = "0123456789abcdef01234567", "0123456789abcdef" * 3
+    table = docs(spark, [(1, f"token = abcdefgh {short}", "en"), (2, long, "en")]).select("doc_id", "text")
+    kinds = lambda out: {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in out.collect()}
+    assert kinds(secrets.scan(table, ledger)[0]) == {1: ["assign", "hex"], 2: ["hex"]}
+    stricter = tuple(replace(r, version=2, keep=lambda m: m.end() - m.start() >= 40) if r.kind == "hex" else r for r in secrets.RULES)
+    out, scanned = secrets.scan(table, ledger, rules=stricter)
+    assert kinds(out) == {1: ["assign"], 2: ["hex"]} and {tuple(r["rules"]) for r in scanned.collect()} == {("hex@2",)}
+
+
 def plain_personal(text):
     out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(m.start(), 1, "ip", m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]

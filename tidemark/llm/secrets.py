@@ -25,6 +25,7 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 PEM = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 SPANS = "array<struct<kind: string, start: int, end: int>>"
+LEDGER_SPANS = "array<struct<kind: string, start: int, end: int, rule: string>>"
 
 
 @dataclass(frozen=True)
@@ -50,10 +51,14 @@ RULES = (
 BASE = ("assign", "access", "hex")
 
 
-def find_secrets(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
+def matches(text: str | None, rules=RULES) -> list[tuple[Rule, int, int]]:
     """Spans by start, then by the order of the rules."""
     found = [(m.start(), k, m.end()) for k, r in enumerate(rules) for m in r.pattern.finditer(text or "") if r.keep(m)]
-    return [(rules[k].kind, s, e) for s, k, e in sorted(found)]
+    return [(rules[k], s, e) for s, k, e in sorted(found)]
+
+
+def find_secrets(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
+    return [(r.kind, s, e) for r, s, e in matches(text, rules)]
 
 
 def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +67,12 @@ def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=
     paths: one row for each version of a path; its columns stay, but for the
     text; ``blob`` and ``spans`` follow (a column so named beforehand gives way). A null text is the empty one; repeated
     rows and paths share their blob's findings and keep their rows. ledger: the
-    ledger's folder; without one a fresh ledger is begun in the shared folder.
+    ledger's folder; without one a fresh ledger is begun in the shared folder. Its
+    spans carry the tag of their rule, and those of rules that no longer hold don't count.
     """
     spark = paths.sparkSession
     ledger = ledger or fresh_dir(spark, "ledger")
-    schema = f"blob string, rules array<string>, spans {SPANS}"
+    schema = f"blob string, rules array<string>, spans {LEDGER_SPANS}"
     content = F.coalesce(F.col(text), F.lit(""))
     addressed = paths.withColumn("blob", F.sha2(content.cast("binary"), 256))
     blobs = addressed.groupBy("blob").agg(F.first(content).alias("_text"))  # copies meet within each task first
@@ -81,12 +87,12 @@ def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=
         todo = blobs.withColumn("todo", tags)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())]))
         for piece, texts in text_chunks(batches, "_text"):
             out = []
             for t, todo in zip(texts, piece["todo"].to_pylist(), strict=True):
                 wanted = [r for r in rules if r.tag in todo]
-                out.append([{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t, wanted)])
+                out.append([{"kind": r.kind, "start": s, "end": e, "rule": r.tag} for r, s, e in matches(t, wanted)])
             yield pa.RecordBatch.from_arrays([piece["blob"], piece["todo"], pa.array(out, kind)], names=["blob", "rules", "spans"])
 
     run = fresh_dir(spark, "scan")
@@ -96,7 +102,9 @@ def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
     entry = F.struct(F.col("s.start").alias("start"), order[F.col("s.kind")].alias("k"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
     current = spark.read.schema(schema).parquet(ledger).where(F.arrays_overlap("rules", tags) & (F.size("spans") > 0))
-    spans = current.select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin([r.kind for r in rules]))
+    # ledgers from before spans had a tag: it is the row's tag of that kind
+    own = F.coalesce(F.col("s.rule"), F.expr("filter(rules, x -> substring_index(x, '@', 1) = s.kind)[0]"))
+    spans = current.select("blob", "rules", F.explode("spans").alias("s")).where(own.isin([r.tag for r in rules]))
     # a blob's findings are bounded by its own text; copies of it meet none here
     found = spans.groupBy("blob").agg(F.array_sort(F.collect_set(entry)).alias("_found"))
     plain = F.transform("_found", lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
