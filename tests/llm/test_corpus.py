@@ -216,14 +216,15 @@ def word_edits(a, b):
 
 def brute_lines(rows, least=5):
     """Of each (doc_id, text) the numbers of the lines that stay."""
-    seen = sorted((i, n, line.encode().split()) for i, t in rows if i is not None and t is not None for n, line in enumerate(t.split("\n")))
+    key = lambda t: simhash.signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    seen = sorted((i, n, key(t), line.encode().split()) for i, t in rows if i is not None and t is not None for n, line in enumerate(t.split("\n")))
     first = {}
-    for i, n, w in seen:
+    for *place, w in seen:
         if w:
-            first.setdefault(tuple(w), (i, n))
+            first.setdefault(tuple(w), tuple(place))
     places = sorted((p, list(w)) for w, p in first.items())
     stay = {p for k, (p, w) in enumerate(places) if not any(min(len(w), len(v)) >= least and word_edits(v, w) <= 1 for _, v in places[:k])}
-    return [[n for n, line in enumerate(t.split("\n")) if i is None or not line.encode().split() or (i, n) in stay] if t is not None else [] for i, t in rows]
+    return [[n for n, line in enumerate(t.split("\n")) if i is None or not line.encode().split() or (i, n, key(t)) in stay] if t is not None else [] for i, t in rows]
 
 
 def test_lines(spark):
@@ -240,6 +241,7 @@ def test_lines(spark):
 
     rows = [(i, "\n".join(line() for _ in range(R.randrange(1, 7)))) for i in range(80)] + [(100, None), (101, ""), (102, "\n \n"), (None, "a b c d e f"), (103, "x " * 20_000), (104, "x " * 19_999 + "y")]
     rows.append(rows[5])
+    rows += [(110 + i // 3, "\n".join(line() for _ in range(3))) for i in range(12)]  # ids repeat with other texts
     want = brute_lines(rows)
     table = docs(spark, [(i, t, "en") for i, t in rows])
     out = lines.dedup_lines(table).collect()
@@ -257,6 +259,17 @@ def test_lines(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_rows_of_one_id_keep_what_stands_nowhere_else(spark):
+    texts = [("1", "one two three four five SIX"), ("5", "alpha beta gamma delta epsilon zeta"), ("5", "one two three four five six")]
+    names = ("_kept", "_doc", "_of", "_key", "kept", "key", "line", "_stay", "_one", "_own", "_node", "_n", "fp", "node")
+    table = spark.createDataFrame([(i, t, *["e"] * len(names)) for i, t in texts], "doc_id string, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for out in (lines.drop_lines(table), simhash.drop_similar(table), simhash.drop_near_duplicates(table)):
+        assert out.columns == table.columns and all(r[n] == "e" for r in out.collect() for n in names)
+        got = sorted((r["doc_id"], r["text"]) for r in out.collect())
+        assert got[0] == texts[0] and texts[1] in got
+    assert lines.drop_lines(table).count() == 2
+
+
 def test_variant_hashes():
     words = [b"a", b"b", b"c", b"d"]
     h = lines.variant_hashes(words, lines.BASES[0])

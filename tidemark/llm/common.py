@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A Python task handles about so many characters at a time, and at least one text.
 CHARS_AT_ONCE = 1 << 20
@@ -41,6 +44,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(taken: list[str], *stems: str) -> list[str]:
+    """Column names made of the stems that no column of ``taken`` has."""
+    used, out = {c.lower() for c in taken}, []
+    for s in stems:
+        while s.lower() in used:
+            s += "_"
+        used.add(s.lower())
+        out.append(s)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_chunks(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHARS_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Arrow batches cut into pieces of about ``chars`` characters (one text at
     least), each with the piece's texts as a Python list."""
@@ -67,16 +86,13 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: pa.Schema, make
     the text travel to Python; other columns of df, clashing names included,
     play no part.
     """
-    import pyspark.sql.functions as F
-    from pyspark.sql.pandas.types import from_arrow_schema
-    from pyspark.sql.types import StructType
-
-    cut = df.select(*[F.col(k) for k in keep], F.col(text).alias("_text"))
+    (own,) = free_names(keep, "_text")
+    cut = df.select(*map(named, keep), named(text).alias(own))
     out = StructType(cut.schema.fields[: len(keep)] + from_arrow_schema(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = make()
-        for piece, texts in text_chunks(batches, "_text", chars):
+        for piece, texts in text_chunks(batches, own, chars):
             made = [pa.array(v, f.type) for v, f in zip(of(texts), schema, strict=True)]
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *made], names=[*keep, *schema.names])
 

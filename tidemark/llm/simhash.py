@@ -7,7 +7,7 @@ by no more than that in any of these coordinates, so pairs with a larger
 coordinate difference are discarded unseen, and only survivors are compared.
 
 A pivot table alone still asks for all pairs, so they come from blocks: of
-``radius + 1`` bit blocks one must be equal. A block value shared by many
+``radius + 2`` bit blocks two must be equal. A pair of block values shared by many
 fingerprints is dealt into tiles of bounded size, and each pair of tiles is one
 small task group. A group returns a spanning forest of its links, never the
 pairs, so copies of a text cost links in proportion to their number. Components
@@ -16,15 +16,16 @@ follow by alternating large and small stars.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
+from .common import free_names, map_texts, named, written
 
 BITS = 64
 #: Reference fingerprints: a rule, so that every task has the same.
@@ -120,12 +121,16 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarra
 def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     """(a, b): links whose components are those of all pairs within the radius.
 
-    prints: distinct fingerprints, column fp. A block value of n fingerprints is
+    prints: distinct fingerprints, column fp. Of ``radius + 2`` bit blocks two at
+    least are equal, so a fingerprint is sent once for each pair of blocks, to
+    those that share both (32 bits at radius 2). A pair of block values of n fingerprints is
     dealt into sqrt(n / 8) tiles, so a pair of tiles holds at most some
     sqrt(32 n) rows and each row is sent sqrt(n / 8) times.
     """
-    bounds = [round(i * BITS / (radius + 1)) for i in range(radius + 2)]
-    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits")) for i, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False))])
+    cuts = [round(i * BITS / (radius + 2)) for i in range(radius + 3)]
+    block = lambda lo, hi: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+    both = list(itertools.combinations(zip(cuts, cuts[1:], strict=False), 2))
+    keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftleft(block(*x), y[1] - y[0]).bitwiseOR(block(*y)).alias("bits")) for i, (x, y) in enumerate(both)])
     blocks = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.bits")
     sizes = blocks.groupBy("block", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("tiles", F.ceil(F.sqrt(F.col("n") / 8)).cast("int"))
     dealt = blocks.join(sizes, ["block", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
@@ -189,6 +194,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small, "stars")
 
 
+def content(text: str) -> Column:
+    """A text's hash, by which rows of one id are told apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(named(text), F.lit("")))
+
+
+def in_components(docs: DataFrame, doc_id: str, text: str, width: int, radius: int) -> DataFrame:
+    """doc_id, node (its content), fp, root (of its component), component_id for every row of docs."""
+    rows = docs.select(named(doc_id).alias("doc_id"), content(text).alias("node"), named(text).alias("text"))
+    prints = written(fingerprints(rows, ["doc_id", "node"], "text", width), "prints")
+    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
+    roots = components(links(groups.select("fp"), radius))
+    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(firsts, "root").select("fp", "root", "component_id"), "fp", "left")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row of docs.
 
@@ -196,31 +217,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the component has an id. Texts without words (null, empty) have fingerprint 0
     and link like any other; repeated rows share a fingerprint.
     """
-    prints = written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", width), "prints")
-    groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
-    roots = components(links(groups.select("fp"), radius))
-    rooted = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(firsts, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    return in_components(docs, doc_id, text, width, radius).select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """The rows of docs, with their columns, that stay when each component keeps its smallest id.
 
-    Of repeated rows with one id a single row stays; a row without an id has no
-    place in that order and stays as it is.
+    Of several rows of that id in one component a single row stays, that of the
+    smallest content hash. A row without an id has no place in that order and stays as it is.
     """
-    found = near_duplicates(docs, doc_id, text, width, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_stay")).distinct()
-    return one_each(docs, stay, doc_id)
+    found = in_components(docs, doc_id, text, width, radius).where(F.col("doc_id").isNotNull())
+    each = written(found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "each")
+    return one_each(docs, each.groupBy("root").agg(F.min(F.struct("doc_id", "node", "n")).alias("stay")).select("stay.*"), doc_id, text)
 
 
-def one_each(docs: DataFrame, stay: DataFrame, doc_id: str) -> DataFrame:
-    """One row of docs for each id in column _stay, and all rows without an id."""
-    kept = docs.join(stay, F.col(doc_id) == F.col("_stay"), "left_semi")
-    one = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").drop("_one").unionByName(docs.where(F.col(doc_id).isNull()))
+def one_each(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs for each row of stay (doc_id, node, and n, how many rows of docs are such), and all rows without an id."""
+    columns = docs.columns
+    own, doc, node, n, one = free_names(columns, "_own", "_doc", "_node", "_n", "_one")
+    stay = written(stay.select(F.col("doc_id").alias(doc), F.col("node").alias(node), F.col("n").alias(n)), "stay")
+    kept = docs.withColumn(own, content(text)).join(stay, (named(doc_id) == F.col(doc)) & (F.col(own) == F.col(node)))
+    if not stay.where(F.col(n) > 1).isEmpty():
+        first = Window.partitionBy(named(doc_id), own).orderBy(F.xxhash64(*map(named, columns)))
+        kept = kept.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1)
+    return kept.select(*map(named, columns)).unionByName(docs.where(named(doc_id).isNull()))
 
 
 #: A candidate group holds about twice so many fingerprints, a confirmed one so many texts.
@@ -347,9 +367,11 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     compared pair by pair unless already joined. Texts without words are alike.
     Rows without an id and repeated ids are as in ``drop_near_duplicates``.
     """
-    content = F.coalesce(F.col(text), F.lit(""))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("node"))
-    prints = written(fingerprints(texts, ["doc_id", "node"], "text", width).groupBy("node").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "prints")
+    texts = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"), content(text).alias("node"))
+    rows = fingerprints(texts, ["doc_id", "node"], "text", width)
+    each = written(rows.groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp")), "each")
+    own = F.struct("doc_id", "node", "n")
+    prints = written(each.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"), F.min("fp").alias("fp")), "prints")
     rough = components(candidate_links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp").withColumnRenamed("root", "part")
     parts = prints.join(rough, "fp", "left").select("node", "fp", F.coalesce("part", "fp").alias("part"))
     many = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
@@ -367,5 +389,5 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     roots = components(meets.mapInArrow(confirm, "a long, b long").distinct())
-    stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("_stay")).where(F.col("_stay").isNotNull()).select("_stay")
-    return one_each(docs, stay, doc_id)
+    stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("stay")).where("stay is not null").select("stay.*")
+    return one_each(docs, stay, doc_id, text)
