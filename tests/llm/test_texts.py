@@ -140,6 +140,13 @@ def test_ledger(spark):
     out, again = secrets.scan(docs(spark, more), ledger, rules=newer)
     assert [r["rules"] for r in again.collect()] == [["fruit@1"]] * 5  # only the new pairs
     assert [s["kind"] for s in out.where("doc_id = 3").first()["spans"]] == ["assign", "fruit"]
+    late = docs(spark, more + [(i, f"other {i} " + "0a" * 20, "en") for i in range(80, 90)])
+    _, again = secrets.scan(late, ledger, broadcast_bytes=0)
+    assert again.count() == 10  # brought together by address: the same
+    out, again = secrets.scan(late, ledger, rules=secrets.RULES[:1])  # a rule is withdrawn
+    assert again.count() == 0 and {s["kind"] for r in out.collect() for s in r["spans"]} == {"assign"}
+    odd = docs(spark, rows).withColumnsRenamed({"h": "_found", "score": "_blob", "lang": "_own"})
+    assert secrets.scan(odd, ledger)[0].columns == [c for c in odd.columns if c not in ("text", "spans")] + ["blob", "spans"]
     assert secrets.scan(docs(spark, []))[0].count() == 0
 
 

@@ -1,23 +1,31 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
 Every version of every path is addressed by the SHA-256 of its content. The
-ledger, a Parquet table in a shared folder, holds for each blob the rules
-(name and version) it was scanned with and what they found. A run scans only the
-pairs of blob and rule version that the ledger lacks, appends what it found, and
+ledger, Parquet files in a shared folder, holds for each blob the rules
+(name and version) it was scanned with and what each found. A run scans only the
+pairs of blob and rule version that the ledger lacks, adds what it found, and
 joins findings back to all paths that hold the blob.
+
+Addresses are shuffled, texts are not: where the unseen blobs are few, their addresses
+are sent to the paths; where there is no ledger yet, every blob is unseen. Tasks
+then scan texts where they are read. Copies in one task are scanned once; copies in different
+tasks are scanned by each, and the ledger takes one of their equal findings. Only if
+a large part of an older ledger is unseen are its texts brought together by address.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_dir, text_chunks
+from .common import free_names, fresh_dir, named, text_chunks, written
 
 #: The three base patterns are fixed by the contract.
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -61,56 +69,83 @@ def find_secrets(text: str | None, rules=RULES) -> list[tuple[str, int, int]]:
     return [(r.kind, s, e) for r, s, e in matches(text, rules)]
 
 
-def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=RULES) -> tuple[DataFrame, DataFrame]:
+#: A task remembers so many addresses that it has scanned.
+REMEMBERED = 1 << 17
+FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())]))
+LEDGER = f"blob string, rules array<string>, spans {LEDGER_SPANS}"
+
+
+def search(batches: Iterator[pa.RecordBatch], rules: tuple) -> Iterator[pa.RecordBatch]:
+    """Ledger rows of texts (blob, todo, _text): each address once, as far as remembered."""
+    done: dict[str, None] = {}
+    for piece, texts in text_chunks(batches, "_text"):
+        blobs, rows, out = [], [], []
+        for blob, todo, t in zip(piece["blob"].to_pylist(), piece["todo"].to_pylist(), texts, strict=True):
+            if blob in done:
+                continue
+            done[blob] = None
+            wanted = [r for r in rules if r.tag in todo]
+            blobs.append(blob)
+            rows.append(todo)
+            out.append([{"kind": r.kind, "start": s, "end": e, "rule": r.tag} for r, s, e in matches(t, wanted)])
+        while len(done) > REMEMBERED:
+            del done[next(iter(done))]
+        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(rows, pa.list_(pa.string())), pa.array(out, FOUND)], names=["blob", "rules", "spans"])
+
+
+def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """All that earlier runs found, or None before the first."""
+    try:
+        return spark.read.schema(LEDGER).option("recursiveFileLookup", True).parquet(ledger)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=RULES, broadcast_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
     """(paths with their blob and spans, blobs scanned in this run).
 
     paths: one row for each version of a path; its columns stay, but for the
     text; ``blob`` and ``spans`` follow (a column so named beforehand gives way). A null text is the empty one; repeated
     rows and paths share their blob's findings and keep their rows. ledger: the
-    ledger's folder; without one a fresh ledger is begun in the shared folder. Its
+    ledger's folder, to which each run adds a folder of its own, whole or not at all; without one a fresh ledger is begun in the shared folder. Its
     spans carry the tag of their rule, and those of rules that no longer hold don't count.
+    Unseen addresses are broadcast if they take less than ``broadcast_bytes``.
     """
     spark = paths.sparkSession
     ledger = ledger or fresh_dir(spark, "ledger")
-    schema = f"blob string, rules array<string>, spans {LEDGER_SPANS}"
-    content = F.coalesce(F.col(text), F.lit(""))
-    addressed = paths.withColumn("blob", F.sha2(content.cast("binary"), 256))
-    blobs = addressed.groupBy("blob").agg(F.first(content).alias("_text"))  # copies meet within each task first
+    content = F.coalesce(named(text), F.lit(""))
+    address = F.sha2(content.cast("binary"), 256)
     tags = F.array(*[F.lit(r.tag) for r in rules])
-    try:
-        known = spark.read.schema(schema).parquet(ledger)
-        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(tags, F.coalesce("seen", F.array().cast("array<string>")))).where(F.size("todo") > 0)
-    except Exception as e:  # the first run has no ledger yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        todo = blobs.withColumn("todo", tags)
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("rule", pa.string())]))
-        for piece, texts in text_chunks(batches, "_text"):
-            out = []
-            for t, todo in zip(texts, piece["todo"].to_pylist(), strict=True):
-                wanted = [r for r in rules if r.tag in todo]
-                out.append([{"kind": r.kind, "start": s, "end": e, "rule": r.tag} for r, s, e in matches(t, wanted)])
-            yield pa.RecordBatch.from_arrays([piece["blob"], piece["todo"], pa.array(out, kind)], names=["blob", "rules", "spans"])
-
-    run = fresh_dir(spark, "scan")
-    todo.select("blob", "todo", "_text").mapInArrow(search, schema).write.parquet(run)
-    scanned = spark.read.schema(schema).parquet(run)
-    scanned.write.mode("append").parquet(ledger)
+    known = read_ledger(spark, ledger)
+    texts = paths.select(address.alias("blob"), content.alias("_text"))
+    if known is None:
+        todo = texts.withColumn("todo", tags)
+    else:
+        seen = known.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))  # at most the versions there ever were
+        unseen = F.array_except(tags, F.coalesce("seen", F.array().cast("array<string>")))
+        wanted = written(paths.select(address.alias("blob")).distinct().join(seen, "blob", "left").select("blob", unseen.alias("todo")).where(F.size("todo") > 0), "unseen")
+        n = wanted.agg(F.sum(F.size("todo") * 24 + 80)).first()[0] or 0
+        if n <= broadcast_bytes:
+            todo = texts.join(F.broadcast(wanted), "blob")
+        else:  # copies meet within each task first
+            todo = texts.groupBy("blob").agg(F.first("_text").alias("_text")).join(wanted, "blob")
+    run = f"{ledger}/run-{uuid.uuid4().hex}"
+    todo.select("blob", "todo", "_text").mapInArrow(lambda batches: search(batches, rules), LEDGER).write.parquet(run)
+    scanned = spark.read.schema(LEDGER).parquet(run).dropDuplicates(["blob"])
     order = F.create_map(*[F.lit(x) for k, r in enumerate(rules) for x in (r.kind, k)])
     entry = F.struct(F.col("s.start").alias("start"), order[F.col("s.kind")].alias("k"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
-    current = spark.read.schema(schema).parquet(ledger).where(F.arrays_overlap("rules", tags) & (F.size("spans") > 0))
-    # ledgers from before spans had a tag: it is the row's tag of that kind
-    own = F.coalesce(F.col("s.rule"), F.expr("filter(rules, x -> substring_index(x, '@', 1) = s.kind)[0]"))
-    spans = current.select("blob", "rules", F.explode("spans").alias("s")).where(own.isin([r.tag for r in rules]))
-    # a blob's findings are bounded by its own text; copies of it meet none here
-    found = spans.groupBy("blob").agg(F.array_sort(F.collect_set(entry)).alias("_found"))
-    plain = F.transform("_found", lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
-    left = addressed.select(*[c for c in addressed.columns if c not in (text, "blob", "spans")], "blob")
-    out = left.join(found, "blob", "left").withColumn("spans", F.coalesce(plain, F.array().cast(SPANS)))
-    return out.select(*[c for c in left.columns if c != "blob"], "blob", "spans"), scanned
+    current = read_ledger(spark, ledger).where(F.arrays_overlap("rules", tags) & (F.size("spans") > 0))
+    spans = current.select("blob", "rules", F.explode("spans").alias("s")).where(F.col("s.rule").isin([r.tag for r in rules]))
+    # a blob's findings are bounded by its own text; those of copies are equal
+    blob, spans_of, own = free_names(paths.columns, "_blob", "_found", "_own")
+    found = spans.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_set(entry)).alias(spans_of))
+    plain = F.transform(spans_of, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
+    keep = [named(c) for c in paths.columns if c not in (text, "blob", "spans")]
+    left = paths.select(*keep, address.alias(own))
+    out = left.join(found, F.col(own) == F.col(blob), "left")
+    return out.select(*keep, F.col(own).alias("blob"), F.coalesce(plain, F.array().cast(SPANS)).alias("spans")), scanned
 
 
 def span_string(spans: Column) -> Column:
