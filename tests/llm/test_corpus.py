@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import random
+import shutil
 import zipfile
 import zlib
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, lines, media, simhash, warc
 from tidemark.llm.common import fresh_dir
-from tidemark.llm.stores import filesystem
+from tidemark.llm.stores import Stretch, filesystem, list_files
 
 from .test_texts import docs
 
@@ -60,10 +61,26 @@ def test_contamination(spark, block_bytes):
 
 
 def test_shifts_skip_words():
-    p = tuple(f"w{i}" for i in range(10))
-    table = decontaminate.WuManber({p: ["1"]}).tables[0][1]
-    assert table[0][p[-2:]] == 0 and table[0][p[:2]] == 8
-    assert list(decontaminate.WuManber({p: ["1"]}).find(["x"] * 25 + list(p) + ["y"])) == [(25, 35, 0)]
+    p = [f"w{i}" for i in range(10)]
+    search = decontaminate.WuManber([("1", " ".join(p))], 10)
+    (table,) = search.tables
+    at = lambda words: table.shift[table.slot(decontaminate.window_hashes(decontaminate.word_hashes(words), table.block))][0]
+    assert at(p[-2:]) == 0 and at(p[:2]) == 8 and at(["x", "y"]) == 9
+    text = ["x"] * 25 + p + ["y"]
+    assert list(search.find([["z"] * 3, text, []])) == [(1, 25, 35, 0)]
+    looked = len(table.candidates(decontaminate.window_hashes(decontaminate.word_hashes(text), table.block), [(0, len(text))]))
+    assert looked == 1
+
+
+def test_long_items_and_many_patterns():
+    """Pieces overlap, so no window is lost at a cut; blocks grow with the number of patterns."""
+    assert [decontaminate.block_words(n, 10) for n in (10, 2000, 500_000, 10**9)] == [2, 2, 3, 4] and decontaminate.block_words(10**9, 1) == 1
+    r = random.Random(2)
+    words = [f"w{r.randrange(5000)}" for _ in range(20_000)]
+    search = decontaminate.WuManber([(str(i), " ".join(words[s : s + 109])) for i, s in enumerate(range(0, len(words) - 9, 100))], 10)
+    ends = {e for _, _, e, _ in search.find([words])}
+    assert ends == set(range(10, len(words) + 1))
+    assert search.search([" ".join(words[95:115])])[1:] == ([[[0, 20]]], [["0", "1"]])
 
 
 # SimHash
@@ -288,11 +305,63 @@ def test_media(spark):
         raw = (by[r["key"]] or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192, b" ")
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-        image = media.encode_image(payload, len(raw))
-        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(image), hashlib.sha256(image).hexdigest(), media.feature_of(payload))
+        steps = sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False))
+        bins = ",".join(str(sum(b // 32 == k for b in payload)) for k in range(8))
+        assert r["feature"] == f"sum={sum(payload)};squares={sum(b * b for b in payload)};steps={steps};bins={bins}"
     assert media.media_columns(docs(spark, [])).count() == 0
 
 
+def png_samples(image):
+    """Samples of an 8-bit grey PNG without interlace, read by the format's own rules, all filters but Average and Paeth."""
+    assert image[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts, names = 8, {}, []
+    while at < len(image):
+        n, name = int.from_bytes(image[at : at + 4]), image[at + 4 : at + 8]
+        assert int.from_bytes(image[at + 8 + n : at + 12 + n]) == zlib.crc32(image[at + 4 : at + 8 + n])
+        parts[name] = parts.get(name, b"") + image[at + 8 : at + 8 + n]
+        names.append(name)
+        at += 12 + n
+    assert names[0] == b"IHDR" and names[-1] == b"IEND" and parts[b"IHDR"][8:] == bytes([8, 0, 0, 0, 0])
+    width, height = int.from_bytes(parts[b"IHDR"][:4]), int.from_bytes(parts[b"IHDR"][4:8])
+    raw, rows, above = zlib.decompress(parts[b"IDAT"]), [], bytes(width)
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], bytearray(raw[y * (width + 1) + 1 : (y + 1) * (width + 1)])
+        for x in range(width):
+            line[x] = (line[x] + {0: 0, 1: line[x - 1] if x else 0, 2: above[x]}[kind]) % 256
+        rows.append(above := bytes(line))
+    return b"".join(rows)
+
+
+def test_stored_form_is_a_png_of_the_payload():
+    for text in ("", "é" * 500, "line\n" * 3000):
+        payload, n = media.payload_of(text)
+        image = media.encode_image(payload, n)
+        assert png_samples(image) == payload and media.decode_image(image) == (payload, n)
+
+
+def test_archives_of_a_lost_attempt_do_not_count(spark, monkeypatch):
+    """A file beside the committed ones is read by nobody; one that is missing or short is an error."""
+    pages = spark.createDataFrame([(i, "http://x/" + "é" * 20_000 * (i == 3), f"<p>{i}</p>" * 300, None) for i in range(20)], PAGES)
+    monkeypatch.setattr(warc, "FILE_BYTES", 500)
+    folder = fresh_dir(spark, "test-warc")
+    warc.write_archives(pages, folder)
+    files = list_files(folder, ".warc.gz")
+    assert len(files) > 1
+    shutil.copy(files[0][0], files[0][0].replace("part-", "part-9"))
+    assert warc.read_archives(spark, folder).count() == 20  # a header of 120 kB too
+    texts = docs(spark, [(i, "x" * 100, "en") for i in range(20)])
+    zips = fresh_dir(spark, "test-media")
+    media.write_archives(texts, zips)
+    (one, *_) = list_files(zips, ".zip")
+    shutil.copy(one[0], one[0].replace("part-", "part-9"))
+    assert media.read_archives(spark, zips).count() == 20
+    for path in (files[0][0], one[0]):
+        os.remove(path)
+    for read in (warc.read_archives, media.read_archives):
+        with pytest.raises(Exception, match="missing"):
+            read(spark, folder if read is warc.read_archives else zips).count()
+
+
 def test_ranges_and_retries(spark, monkeypatch):
     folder = fresh_dir(spark, "test-media")
     media.write_archives(docs(spark, [(i, str(i) * 500, "en") for i in range(50)]).coalesce(1), folder)
@@ -315,12 +384,16 @@ def test_ranges_and_retries(spark, monkeypatch):
                 raise OSError("gone for a moment")
             return fs.open_input_file(path)
 
-    assert media.decode_image(media.read_member(Flaky(), part.path, entry))[0].strip() == b"7" * 500
+    assert media.decode_image(media.read_member(Stretch(Flaky(), part.path), entry))[0].strip() == b"7" * 500
+    opened = []
+    counting = type("Counting", (), {"open_input_file": lambda self, path: opened.append(path) or fs.open_input_file(path)})()
+    archive = Stretch(counting, part.path)
+    assert len({media.read_member(archive, i) for i in zipfile.ZipFile(part.path).infolist()}) == 50 and len(opened) == 1
     with open(part.path, "r+b") as f:
         f.seek(entry.header_offset + 60)
         f.write(b"XX")
     with pytest.raises(OSError):
-        media.read_member(fs, part.path, entry)
+        media.read_member(Stretch(fs, part.path), entry)
     with pytest.raises(ValueError):
         media.decode_image(b"no image")
 
@@ -412,7 +485,7 @@ def test_pipeline_is_its_stages(spark):
     prints = [(i, brute_fingerprint(t)) for i, t in cut]
     stay = {i for (i, _), c in zip(prints, brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 2), strict=True) if i == c}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
-    windows = {w for _, t in items for w in decontaminate.windows(t, 10)}
+    windows = {tuple(w[i : i + 10]) for w in (decontaminate.words_of(t) for _, t in items) if w for i in range(max(1, len(w) - 9))}
 
     def leaks(text):
         w = decontaminate.words_of(text)

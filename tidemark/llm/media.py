@@ -8,8 +8,8 @@ archive's directory, takes the members whose header lies in its range, streams
 them as Arrow batches and tries each member again, from its own offset, when a
 read or its checksum fails.
 
-Archives are named by partition and written under another name first, so a task
-that runs again replaces its own archive and leaves no half-written one.
+Which archives count, and how many members each has, is told by the folder's manifest
+(``stores``), so a task that runs again leaves no second copy of its rows.
 """
 
 from __future__ import annotations
@@ -24,14 +24,12 @@ from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
-from .common import fresh_dir, text_chunks
-from .stores import ByteRange, byte_ranges, filesystem, put
+from .common import fresh_dir, named, text_chunks
+from .stores import MANIFEST, MANIFEST_ROW, ByteRange, Stretch, byte_ranges, filesystem, put
 
 #: Samples a row; payloads are padded to a multiple of it.
 ROW = 192
@@ -40,6 +38,7 @@ ARCHIVE_BYTES = 64 << 20
 RANGE_BYTES = 16 << 20
 BATCH_BYTES = 4 << 20
 TRIES = 4
+MANIFEST_ARROW = pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
@@ -85,11 +84,12 @@ def decode_image(image: bytes) -> tuple[bytes, int]:
 
 
 class ArchiveWriter:
-    """Archives <name>-<number>.zip of bounded size in a folder; each appears whole or not at all."""
+    """Archives of bounded size in a folder; ``written`` has their rows of the manifest."""
 
     def __init__(self, folder: str, name: str):
         self.folder = folder
-        self.name, self.number, self.zip, self.buffer = name, 0, None, None
+        self.name, self.zip, self.buffer = name, None, None
+        self.written: list[tuple[str, int, int]] = []
 
     def add(self, member: str, data: bytes) -> None:
         if self.zip is None:
@@ -102,9 +102,11 @@ class ArchiveWriter:
     def close(self) -> None:
         if self.zip is None:
             return
+        n = len(self.zip.infolist())
         self.zip.close()
-        put(self.folder, f"{self.name}-{self.number:04d}.zip", self.buffer.getbuffer())
-        self.number, self.zip, self.buffer = self.number + 1, None, None
+        data = self.buffer.getbuffer()
+        self.written.append((put(self.folder, f"{self.name}-{len(self.written):04d}", ".zip", data), len(data), n))
+        self.zip, self.buffer = None, None
 
 
 def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
@@ -117,9 +119,9 @@ def write_archives(docs: DataFrame, folder: str, key: str = "doc_id", text: str
                 writer.add(f"{n:09d}/{'' if k is None else 'k' + quote(k, safe='')}.png", encode_image(*payload_of(t)))
                 n += 1
         writer.close()
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        yield pa.RecordBatch.from_pylist([dict(zip(("name", "bytes", "records"), w, strict=True)) for w in writer.written], schema=MANIFEST_ARROW)
 
-    docs.select(F.col(key).cast("string").alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    docs.select(named(key).cast("string").alias("_key"), named(text).alias("_text")).mapInArrow(run, MANIFEST_ROW).write.parquet(f"{folder}/{MANIFEST}")
 
 
 class MediaArchives(DataSource):
@@ -148,17 +150,21 @@ class MediaReader(DataSourceReader):
             return
         fs, _ = filesystem(self.folder)
         with fs.open_input_file(part.path) as f:
-            entries = [i for i in zipfile.ZipFile(f).infolist() if part.start <= i.header_offset < part.end]
+            entries = zipfile.ZipFile(f).infolist()
+        if part.records not in (None, len(entries)):
+            raise OSError(f"{part.path} has {len(entries)} members, not {part.records}")
+        archive = Stretch(fs, part.path)
         rows: list[tuple] = []
         held = 0
-        for i in entries:
-            data = read_member(fs, part.path, i)
+        for i in sorted((i for i in entries if part.start <= i.header_offset < part.end), key=lambda i: i.header_offset):
+            data = read_member(archive, i)
             stem = i.filename.rpartition("/")[2].removesuffix(".png")
             rows.append((part.path, i.filename, i.header_offset, unquote(stem[1:]) if stem else None, data))
             held += len(data)
             if held >= BATCH_BYTES:
                 yield as_batch(rows)
                 rows, held = [], 0
+        archive.close()
         if rows:
             yield as_batch(rows)
 
@@ -168,22 +174,20 @@ def as_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "member", "offset", "key", "media"])
 
 
-def read_member(fs: pafs.FileSystem, path: str, entry: zipfile.ZipInfo) -> bytes:
-    """A member's bytes from its own offset; each try opens the archive anew and holds the checksum."""
+def read_member(archive: Stretch, entry: zipfile.ZipInfo) -> bytes:
+    """A member's bytes from its own offset; a try after a failed read or a wrong checksum opens the archive anew."""
     for left in reversed(range(TRIES)):
         try:
-            with fs.open_input_file(path) as f:
-                f.seek(entry.header_offset)
-                head = f.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError(f"no member at {entry.header_offset} of {path}")
-                name, extra = struct.unpack_from("<HH", head, 26)
-                f.seek(entry.header_offset + 30 + name + extra)
-                data = f.read(entry.compress_size)
+            head = archive.read(entry.header_offset, 30)
+            if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                raise OSError(f"no member at {entry.header_offset} of {archive.path}")
+            name, extra = struct.unpack_from("<HH", head, 26)
+            data = archive.read(entry.header_offset + 30 + name + extra, entry.compress_size)
             if len(data) != entry.file_size or zlib.crc32(data) != entry.CRC:
-                raise OSError(f"damaged member at {entry.header_offset} of {path}")
+                raise OSError(f"damaged member at {entry.header_offset} of {archive.path}")
             return data
         except OSError:
+            archive.close()
             if not left:
                 raise
     raise AssertionError

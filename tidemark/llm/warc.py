@@ -25,14 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
 from .common import fresh_dir, text_chunks, written
-from .stores import ByteRange, byte_ranges, filesystem, put
+from .stores import MANIFEST, MANIFEST_ROW, ByteRange, byte_ranges, filesystem, put
 
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 32 << 20
 RANGE_BYTES = 8 << 20
-LONGEST_HEADER = 1 << 16
 
 
 def record(payload: bytes, page_id: int | None, url: str | None, digest: str, revisit: bool, refers_to: int | None, date: str) -> bytes:
@@ -84,8 +83,12 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date:
     suffix = ".warc.gz" if compress else ".warc"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, number, n = [], 0, 0, 0
+        held, size, done = [], 0, []
         part = TaskContext.get().partitionId()
+
+        def close() -> None:
+            done.append({"name": put(folder, f"part-{part:06d}-{len(done):04d}", suffix, b"".join(held)), "bytes": size, "records": len(held)})
+
         for piece, texts in text_chunks(batches, "html"):
             columns = [piece[c].to_pylist() for c in ("page_id", "url", "_digest", "_revisit", "_refers")]
             for html, page_id, url, digest, revisit, refers in zip(texts, *columns, strict=True):
@@ -94,15 +97,15 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 1000, date:
                     c = zlib.compressobj(3, zlib.DEFLATED, 31)
                     data = c.compress(data) + c.flush()
                 held.append(data)
-                size, n = size + len(data), n + 1
+                size += len(data)
                 if size >= FILE_BYTES:
-                    put(folder, f"part-{part:06d}-{number:04d}{suffix}", b"".join(held))
-                    held, size, number = [], 0, number + 1
+                    close()
+                    held, size = [], 0
         if held:
-            put(folder, f"part-{part:06d}-{number:04d}{suffix}", b"".join(held))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+            close()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
-    with_types(pages, least_bytes, broadcast_bytes).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    with_types(pages, least_bytes, broadcast_bytes).mapInArrow(run, MANIFEST_ROW).write.parquet(f"{folder}/{MANIFEST}")
 
 
 class Window:
@@ -116,11 +119,11 @@ class Window:
         self.f.seek(start)
         return self.f.read(end - start)
 
-    def get(self, at: int, n: int) -> memoryview:
+    def get(self, at: int, n: int) -> bytes:
         have = self.start + len(self.data)
         if at + n > have and have < self.size:
-            self.data = self.data + self.load(have, min(self.size, max(at + n, have + (1 << 20))))
-        return memoryview(self.data)[at - self.start : at - self.start + n]
+            self.data += self.load(have, min(self.size, max(at + n, have + (1 << 20))))
+        return bytes(self.data[at - self.start : at - self.start + n])
 
 
 def member(w: Window, at: int) -> tuple[bytes, int] | None:
@@ -142,7 +145,7 @@ def member(w: Window, at: int) -> tuple[bytes, int] | None:
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
     """Header, block and length of a record that data begins with; None if it doesn't."""
-    cut = data.find(b"\r\n\r\n", 0, LONGEST_HEADER)
+    cut = data.find(b"\r\n\r\n")
     if not data.startswith(VERSION) or cut < 0:
         return None
     head = {}
@@ -159,13 +162,29 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int] | None:
 
 
 def plain(w: Window, at: int) -> tuple[bytes, int] | None:
-    head = bytes(w.get(at, LONGEST_HEADER))
-    cut = head.find(b"\r\n\r\n")
-    lengths = [x for x in head[: max(0, cut)].lower().split(b"\r\n") if x.startswith(b"content-length:")]
-    if cut < 0 or not lengths or not (n := lengths[-1].partition(b":")[2].strip()).isdigit():
+    """The uncompressed record at an offset and where the next begins. Its header is read to its
+    blank line, however far that is, as long as every line has a colon."""
+    here, length = at + len(VERSION), None
+    if w.get(at, len(VERSION)) != VERSION:
+        return None
+    while True:
+        n = 1 << 10
+        while (cut := (piece := w.get(here, n)).find(b"\r\n")) < 0 and len(piece) == n:
+            n *= 2
+        if cut < 0:
+            return None
+        here += cut + 2
+        if not cut:
+            break
+        k, colon, v = piece[:cut].partition(b":")
+        if not colon:
+            return None
+        if k.strip().lower() == b"content-length":
+            length = v.strip()
+    if length is None or not length.isdigit():
         return None
-    whole = cut + 8 + int(n)
-    return (bytes(w.get(at, whole)), at + whole) if at + whole <= w.size else None
+    whole = here + int(length) + 4 - at
+    return (w.get(at, whole), at + whole) if at + whole <= w.size else None
 
 
 def fields_of(head: dict[str, str], block: bytes) -> tuple:
@@ -208,7 +227,7 @@ def forest(offsets: np.ndarray, successors: np.ndarray, end: int) -> tuple[np.nd
     return leave, tin, size
 
 
-KINDS = [("file", pa.string()), ("file_bytes", pa.int64()), ("range", pa.int64()), ("offset", pa.int64()), ("exit", pa.int64()), ("tin", pa.int64()), ("size", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+KINDS = [("file", pa.string()), ("file_bytes", pa.int64()), ("records", pa.int64()), ("range", pa.int64()), ("offset", pa.int64()), ("exit", pa.int64()), ("tin", pa.int64()), ("size", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
 
 
 class WarcCandidates(DataSource):
@@ -246,24 +265,26 @@ class CandidateReader(DataSourceReader):
                 if got and (p := parse(got[0])) and p[2] == len(got[0]):
                     found.append((part.start + at, got[1], *fields_of(p[0], p[1])))
                 at = w.data.find(magic, at + 1)
+        own = [part.path, part.size, part.records, part.start]
+        if not part.start:  # a row without an offset tells of the file
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, (_, t) in zip([*own, *[None] * (len(KINDS) - 4)], KINDS, strict=True)], names=[k for k, _ in KINDS])
         if found:
             columns = list(zip(*found, strict=True))
             offsets, successors = np.array(columns[0], np.int64), np.array(columns[1], np.int64)
-            same = [[part.path] * len(found), [part.size] * len(found), [part.start] * len(found)]
-            data = [*same, offsets, *forest(offsets, successors, part.end), *columns[2:]]
+            data = [*[[x] * len(found) for x in own], offsets, *forest(offsets, successors, part.end), *columns[2:]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(data, KINDS, strict=True)], names=[k for k, _ in KINDS])
 
 
 def read_archives(spark: SparkSession, folder: str, compress: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of all reachable records.
 
-    Raises if a file's chain doesn't end with the file.
+    Raises if a file's chain doesn't end with the file, or has not as many records as the folder's manifest says.
     """
     spark.dataSource.register(WarcCandidates)
     found = spark.read.format("warc_candidates").option("suffix", ".warc.gz" if compress else ".warc").option("range_bytes", range_bytes).load(folder)
-    found = written(found, "candidates")
+    every = written(found, "candidates")
+    found, files = every.where("offset is not null"), every.where("offset is null").select("file", "file_bytes", "records")
     jump = found.select("file", F.col("offset").alias("at"), F.col("exit").alias("to")).where("`to` >= 0")
-    files = found.select("file", "file_bytes").distinct()
     reach = written(files.select("file", F.lit(0).cast("long").alias("at")), "reach")
     n = reach.count()
     while True:
@@ -279,7 +300,11 @@ def read_archives(spark: SparkSession, folder: str, compress: bool = True, range
         raise ValueError(f"{broken} archives under {folder} end before their chain of records does, or are damaged")
     entries = reach.withColumnRenamed("at", "offset").join(found.select("file", "range", "offset", F.col("tin").alias("_entry")), ["file", "offset"]).drop("offset")
     on_chain = (F.col("tin") <= F.col("_entry")) & (F.col("_entry") < F.col("tin") + F.col("size"))
-    return found.join(entries, ["file", "range"]).where(on_chain).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    kept = written(found.join(entries, ["file", "range"]).where(on_chain).select("file", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "records")
+    short = files.where("records is not null").join(kept.groupBy("file").agg(F.count("*").alias("n")), "file", "left").where(F.coalesce("n", F.lit(0)) != F.col("records")).count()
+    if short:
+        raise ValueError(f"{short} archives under {folder} have more or fewer records than were written")
+    return kept.drop("file")
 
 
 def archive(pages: DataFrame, least_bytes: int = 1000, compress: bool = True) -> DataFrame:
