@@ -189,11 +189,66 @@ def test_personal_patterns(text):
 
 def test_patterns_are_linear():
     start = time.time()
-    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 200_000, "a@" * 200_000, "a@b" * 150_000, "+1" + "(" * 400_000):
+    for text in ("a" * 400_000, "1" * 400_000, "1." * 200_000, "+1" * 200_000, "a@" * 200_000, "a@b" * 150_000, "+1" + "(" * 400_000, "a-" * 200_000, "a(at)" * 80_000, "a(at)b(dot)" * 40_000, "a." * 200_000 + "(at)"):
         personal_data.candidates(text, personal_data.base_spans(text))
     assert time.time() - start < 20
 
 
+def test_overlaps_are_found_in_linear_time():
+    text = "call 212-555-0100 or +1 212 555 0100 now\n" * 16_000
+    start = time.time()
+    found = personal_data.candidates(text, personal_data.base_spans(text))
+    assert len(found) == 32_000 and sum(known for _, known, *_ in found) == 16_000 and time.time() - start < 6
+
+
+@pytest.mark.parametrize(
+    ("text", "value", "want"),
+    [
+        ("phone: 5-5", "5-5", ["phone _"]), ("my phone is:   5-5, thanks a lot", "5-5", ["is _", "phone is _", "_ thanks", "_ thanks a"]), ("a\nx 5-5\nb", "5-5", ["x _"]), ("at4 5-5 x_y", "5-5", []),
+        ("the w4 one 5-5é", "5-5", ["one _"]), ("5-5", "5-5", []), ("É ß 5-5", "5-5", ["ß _", "é ß _"]), ("a " + "." * 200 + " b" + "-" * 99 + "5-5", "5-5", ["b _", "a b _"]),
+    ],
+)
+def test_contexts_of_a_value(text, value, want):
+    at = text.index(value)
+    assert personal_data.contexts(text, at, at + len(value)) == want
+
+
+def brute_scores(edges, rounds, confidence, support):
+    """score_graph in plain Python: edges {(context, kind, value): known}."""
+    score = {e: float(k) for e, k in edges.items()}
+    for _ in range(rounds):
+        patterns = {}
+        for c, k in {e[:2] for e in edges}:
+            f, n = sum(s for e, s in score.items() if e[:2] == (c, k)), sum(e[0] == c for e in edges)
+            if f >= support and f / n >= confidence:
+                patterns[c, k] = f / n
+        for e, known in edges.items():
+            doubts = [max(1e-9, 1 - conf) for (c, k), conf in patterns.items() if k == e[1] and not known and (c, *e[1:]) in edges]
+            new = 1.0
+            for d in doubts:
+                new *= d
+            score[e] = 1.0 if known else 1 - new if doubts else 0.0
+    return {e[1:] for e, known in edges.items() if not known and score[e] >= confidence}
+
+
+def test_graph_scores(spark):
+    r = random.Random(8)
+    known = {(k, f"v{i}"): r.random() < 0.8 for k in ("phone", "card") for i in range(60)}
+    for confidence, support in ((0.8, 4), (0.6, 2)):
+        edges = {(f"c{c}", k, v): known[k, v] for (k, v) in known for c in r.sample(range(12), r.randrange(1, 4)) if k == "phone" or c % 3 == 0}
+        df = spark.createDataFrame([(*e, v) for e, v in edges.items()], "context string, kind string, value string, known boolean")
+        got = {(x["kind"], x["value"]) for x in personal_data.score_graph(df, 3, confidence, support).collect()}
+        assert got == brute_scores(edges, 3, confidence, support) and got
+
+
+def test_one_word_patterns_and_values_without_context(spark):
+    rows = [(i, f"phone: +1 212 555 {1000 + i}", "en") for i in range(50)]
+    rows += [(100, "phone: 212-555-2000", "en"), (101, "212-555-2000", "en"), (102, "write to me (at) host (dot) org", "en"), (103, "order 212-555-3000", "en")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in personal_data.extract(docs(spark, rows), ["doc_id"]).collect()}
+    assert got[100] == [("ctx_phone", 7, 19)] and got[101] == [("ctx_phone", 0, 12)] and got[102] == got[103] == []
+    assert list(personal_data.masked_emails("write to a-b.c (at) host (dot) org")) == [(9, 34)]
+
+
 def test_contexts_find_what_the_patterns_miss(spark):
     rows = [(i, f"Please call me on +1 (555) 010-{1000 + i} today", "en") for i in range(12)]
     rows += [(100, "Please call me on (555) 010-7777 today", "en"), (101, "version number (555) 010-8888 of it", "en"), (102, None, "en"), (103, "", "en"), (None, "mail a@b.co", "en"), (100, "Please call me on (555) 010-7777 today", "en")]

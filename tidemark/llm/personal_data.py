@@ -1,16 +1,19 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from them.
 
-Base matches are the seeds. The two words before a seed are a lexical pattern;
+Base matches are the seeds. The word before a seed in its line, the two words before it, the word
+after it and the two after it are lexical patterns;
 what patterns and instances (values) meet in the corpus forms a graph. Spark
 scores it in turns: a pattern by the part of its instances that are known, an
 instance by its patterns. Instances that look like an identifier but escape the
 base patterns (a phone number without a plus, a masked e-mail address, a card
 number with a wrong check digit, an IPv6 address) become known once patterns of
-high confidence vouch for them, and are spans of kind ``ctx_<kind>``.
+high confidence vouch for them, and are then spans of kind ``ctx_<kind>`` wherever they stand.
 """
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 
 import pyarrow as pa
@@ -30,10 +33,10 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Values that resemble a kind without being one.
 LIKE = {
     "phone": re.compile(r"(?<![\w+().-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![\w-])"),
-    "email": re.compile(r"(?<![\w.])[A-Za-z0-9][A-Za-z0-9._-]{0,63} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}){1,5}"),
     "ip": re.compile(r"(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"),
 }
-WORDS_BEFORE = re.compile(r"([^\W\d_]+)[^\w\n]{1,3}([^\W\d_]+)[^\w\n]{1,3}$")
+AT = re.compile(r" ?[\[(]at[\])] ?")
+DOTTED = re.compile(r"[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)+")
 
 
 def luhn(digits: str) -> bool:
@@ -81,28 +84,66 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return [(KINDS[k], s, e) for s, k, e in sorted(out)]
 
 
-def context(text: str, start: int) -> str | None:
-    """The two words before a position, lower case; None at a line's start."""
-    m = WORDS_BEFORE.search(text[max(0, start - 60) : start])
-    return f"{m[1]} {m[2]}".lower() if m else None
+def masked_emails(text: str):
+    """Spans of addresses written as ``name (at) host (dot) org``, found from the mark, as ``emails`` does."""
+    reach = 0
+    for m in AT.finditer(text):
+        start = m.start()
+        while start > reach and text[start - 1] in LOCAL:
+            start -= 1
+        while start < m.start() and not text[start].isalnum():
+            start += 1
+        if start < m.start() and m.start() >= reach and (d := DOTTED.match(text, m.end())):
+            yield start, d.end()
+            reach = d.end()
+
+
+def next_words(text: str, at: int, step: int) -> list[str]:
+    """Up to two words of letters that follow each other from a position on, going back or forth in its line; next to the position, first."""
+    out: list[str] = []
+    i = at if step > 0 else at - 1
+    is_word = lambda c: c.isalnum() or c == "_"
+    while len(out) < 2:
+        gap = i
+        while 0 <= i < len(text) and text[i] != "\n" and not is_word(text[i]):
+            i += step
+        if not 0 <= i < len(text) or text[i] == "\n" or (out and i == gap):
+            break
+        begin = i
+        while 0 <= i < len(text) and is_word(text[i]):
+            i += step
+        word = text[begin:i] if step > 0 else text[i + 1 : begin + 1]
+        if not word.isalpha() or (not out and begin == gap):  # other signs in it, or no gap before the value
+            break
+        out.append(word.lower())
+    return out
+
+
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns around a value, _ being its place."""
+    before, after = next_words(text, start, -1), next_words(text, end, 1)
+    return [" ".join([*reversed(before[:n]), "_"]) for n in range(1, len(before) + 1)] + [" ".join(["_", *after[:n]]) for n in range(1, len(after) + 1)]
 
 
 def candidates(text: str | None, spans: list[tuple[str, int, int]]) -> list[tuple]:
-    """(kind, known, start, end, value, context) of base spans and of what resembles one outside them."""
+    """(kind, known, start, end, value, contexts) of base spans and of what resembles one outside them."""
     if not text:
         return []
     found = [(k, True, s, e) for k, s, e in spans]
     near = [(k, m.start(), m.end()) for k, p in LIKE.items() for m in p.finditer(text)]
+    near += [("email", s, e) for s, e in masked_emails(text)]
     near += [("card", m.start(), m.end()) for m in CARD.finditer(text) if m.end() - m.start() >= 13 and 13 <= len(d := digits_of(m[0])) <= 19 and not luhn(d) and not text[max(0, m.start() - 1) : m.start()].isalnum() and not text[m.end() : m.end() + 1].isalnum()]
     taken = sorted((s, e) for _, s, e in spans)
+    starts, reach = [s for s, _ in taken], list(itertools.accumulate((e for _, e in taken), max))
     for k, s, e in near:
-        if not any(a < e and s < b for a, b in taken):
+        before = bisect.bisect_left(starts, e)  # base spans that begin before this one ends
+        if not before or reach[before - 1] <= s:
             found.append((k, False, s, e))
-    return [(k, known, s, e, text[s:e].lower(), context(text, s)) for k, known, s, e in found]
+    return [(k, known, s, e, text[s:e].lower(), contexts(text, s, e)) for k, known, s, e in found]
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-CANDIDATE = pa.struct([("kind", pa.string()), ("known", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("context", pa.string())])
+CANDIDATE = pa.struct([("kind", pa.string()), ("known", pa.bool_()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("contexts", pa.list_(pa.string()))])
 
 
 def read_texts(texts: list) -> list:
@@ -115,7 +156,7 @@ def read_texts(texts: list) -> list:
 def score_graph(edges: DataFrame, rounds: int, confidence: float, support: int) -> DataFrame:
     """Instances outside the base that patterns vouch for: (kind, value).
 
-    edges: distinct (context, kind, value, known). In each round a pattern
+    edges: (context, kind, value, known), once for each context, kind and value. In each round a pattern
     (context and kind) has confidence F/N, where N counts its context's
     instances of any kind and F sums the scores of those of its kind; it counts
     with at least ``support`` known instances. An instance's score is one less
@@ -123,7 +164,7 @@ def score_graph(edges: DataFrame, rounds: int, confidence: float, support: int)
     """
     edges = written(edges.withColumn("score", F.col("known").cast("double")), "pii-graph")
     for _ in range(rounds):
-        n = edges.groupBy("context").agg(F.count_distinct("kind", "value").alias("n"))
+        n = edges.groupBy("context").agg(F.count("*").alias("n"))
         f = edges.groupBy("context", "kind").agg(F.sum("score").alias("f")).where(F.col("f") >= support)
         patterns = f.join(n, "context").withColumn("conf", F.col("f") / F.col("n")).where(F.col("conf") >= confidence).select("context", "kind", "conf")
         unknown = edges.where(~F.col("known")).join(patterns, ["context", "kind"])
@@ -142,8 +183,8 @@ def extract(docs: DataFrame, keep: list[str], text: str = "text", rounds: int =
     """
     schema = pa.schema([("base", pa.list_(SPAN)), ("near", pa.list_(CANDIDATE))])
     read = written(map_texts(docs, keep, text, schema, lambda: read_texts).withColumn("_row", F.monotonically_increasing_id()), "pii")
-    near = read.select("_row", F.explode("near").alias("c")).select("_row", "c.*").where(F.col("context").isNotNull())
-    edges = near.groupBy("context", "kind", "value").agg(F.max("known").alias("known"))
+    near = read.select("_row", F.explode("near").alias("c")).select("_row", "c.*")
+    edges = near.select(F.explode("contexts").alias("context"), "kind", "value", "known").groupBy("context", "kind", "value").agg(F.max("known").alias("known"))
     chosen = score_graph(edges, rounds, confidence, support)
     new = near.where(~F.col("known")).join(chosen, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct(F.concat(F.lit("ctx_"), "kind").alias("kind"), "start", "end")).alias("new"))
     order = F.create_map(*[F.lit(x) for i, k in enumerate([*KINDS, *(f"ctx_{k}" for k in KINDS)]) for x in (k, i)])
