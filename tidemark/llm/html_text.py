@@ -6,7 +6,8 @@ smoothed by a Gaussian, and lines above a threshold (the deviation of the
 ratios) form the content cluster. Main text is every region (an outermost article
 or main element) and every stretch of the body with a line of the cluster: whole,
 with its headings and short lines, but without those of its parts that are menus,
-headers, footers, notices, adverts, forms or comments by element, role or class.
+headers (an article's own included), footers, notices, adverts, forms or comments by element,
+role, class or a word that is its whole id. Headings (h1 to h6) are never such a part.
 A stretch of the body ends at a region or at such a part; stretches between two
 selected ones belong to them.
 """
@@ -14,6 +15,7 @@ selected ones belong to them.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -29,6 +31,7 @@ OUTSIDE = frozenset("aside button dialog footer form head header iframe menu nav
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form navigation search".split())
 CLASSES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices popup promo promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 REGIONS = frozenset(("article", "main"))
+NEVER_OUTSIDE = REGIONS | frozenset("html body h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "head"}
 SPACE = re.compile(r"\s+")
 SIGMA = 1.0
@@ -37,12 +40,12 @@ SIGMA = 1.0
 def outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     if tag in OUTSIDE:
         return True
-    if tag in ("html", "body", *REGIONS):
+    if tag in NEVER_OUTSIDE:
         return False
     for k, v in attrs:
         if k in ("class", "id") and v:
             for word in v.lower().split():
-                parts = re.split(r"[-_:]+", word)
+                parts = re.split(r"[-_:]+", word) if k == "class" else [word]
                 if word in CLASSES or (parts[0] not in ("has", "no", "with", "js", "is") and (parts[0] in CLASSES or parts[-1] in CLASSES)):
                     return True
         elif (k == "role" and (v or "").lower() in ROLES) or k == "hidden" or (k == "aria-hidden" and v == "true"):
@@ -56,6 +59,7 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool, bool]] = []  # element, its region, outside, text to be skipped
+        self.open: Counter[str] = Counter()  # elements in the stack
         self.regions = 0
         self.lines: list[tuple[str, int, int, bool]] = []
         self.held: list[str] = []
@@ -79,10 +83,10 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        if tag in CLOSES_P and self.stack and any(x[0] == "p" for x in self.stack):
+        if tag in CLOSES_P and self.open["p"]:
             self.close_to("p", barrier=("article", "main", "section", "div", "td", "li", "body", "blockquote"))
         elif tag in ("li", "td", "th", "tr", "dd", "dt", "option") and self.stack and self.stack[-1][0] == tag:
-            self.stack.pop()
+            self.cut_stack(len(self.stack) - 1)
         region, out = self.state
         if tag in REGIONS and not out and not region:  # one inside another is part of it
             self.regions += 1
@@ -91,18 +95,24 @@ class Lines(HTMLParser):
         # an element inside a line that is no main text leaves the line whole
         skip = bool(self.stack and self.stack[-1][3]) or (now and not out and tag not in BLOCK)
         self.stack.append((tag, region, now, skip))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # in HTML a slash does not close
 
     def close_to(self, tag: str, barrier: tuple = ()) -> None:
-        for i in reversed(range(len(self.stack))):
+        for i in reversed(range(len(self.stack))) if self.open[tag] else ():
             if self.stack[i][0] == tag:
-                del self.stack[i:]
+                self.cut_stack(i)
                 return
             if self.stack[i][0] in barrier:
                 return
 
+    def cut_stack(self, depth: int) -> None:
+        for x in self.stack[depth:]:
+            self.open[x[0]] -= 1
+        del self.stack[depth:]
+
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.cut()
