@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_texts, text_chunks, written
+from .common import filter_texts, map_texts, named, text_chunks, written
 
 ORDERS = (2, 3, 4)
 HASHES = 2
@@ -43,18 +43,40 @@ def letters(text: str | None) -> str:
     return f" {words} " if any(map(str.isalpha, words)) else ""
 
 
-def gram_hashes(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each order: hashes of all n-grams of the texts in turn, and how many each text has."""
-    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    last = np.repeat(np.cumsum(sizes), sizes)  # of each position: where its text ends
+#: Texts are handled in pieces of so many characters, so that a long one takes no more memory.
+PIECE_CHARS = 1 << 18
+
+
+def pieces_of(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+    """Lists of (number of the text, piece, how many of its first places begin n-grams of its own):
+    a piece goes on into the next by what its last n-grams need."""
+    held, size, over = [], 0, max(ORDERS) - 1
+    for i, t in enumerate(texts):
+        for s in range(0, len(t), PIECE_CHARS):
+            own = min(PIECE_CHARS, len(t) - s)
+            if held and size + own > PIECE_CHARS:
+                yield held
+                held, size = [], 0
+            held.append((i, t[s : s + own + over], own))
+            size += own
+    if held:
+        yield held
+
+
+def gram_hashes(pieces: list[tuple[int, str, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order: hashes of the n-grams of the pieces in turn, and how many each has."""
+    code = np.frombuffer("".join(t for _, t, _ in pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for _, t, _ in pieces], np.int64)
+    own = np.array([n for _, _, n in pieces], np.int64)
+    ends = np.cumsum(sizes)
     h = code.copy()
     for n in range(2, max(ORDERS) + 1):
         h = h[:-1] * np.uint64(STEP) + code[n - 1 :]
         if n in ORDERS:
-            inside = np.arange(len(h)) + n <= last[: len(h)]
+            count = np.maximum(np.minimum(own, sizes - n + 1), 0)
+            inside = np.arange(count.sum()) + np.repeat(ends - sizes - (np.cumsum(count) - count), count)
             mixed = h[inside] + np.uint64(n)
-            yield mixed ^ (mixed >> np.uint64(29)), np.maximum(sizes - n + 1, 0)
+            yield mixed ^ (mixed >> np.uint64(29)), count
 
 
 def positions(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -85,16 +107,17 @@ class LanguageModel:
             clean = [letters(t) for t in texts]
             total = np.zeros(len(texts))
             counts = np.zeros((len(texts), 8 * width))
-            if n_langs and any(clean):
-                for h, sizes in gram_hashes(clean):
-                    total += sizes
+            for pieces in pieces_of(clean) if n_langs else ():
+                of = np.array([i for i, _, _ in pieces])
+                for h, sizes in gram_hashes(pieces):
+                    np.add.at(total, of, sizes)
                     ends = np.cumsum(sizes)
                     at = positions(h, self.bits)
                     for b, table in enumerate(tables):
                         mask = table[at[0]]
                         for p in at[1:]:
                             mask &= table[p]
-                        for i, (s, e) in enumerate(zip(ends - sizes, ends, strict=True)):
+                        for i, s, e in zip(of.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
                             if e > s:
                                 counts[i, 8 * b : 8 * b + 8] += np.bincount(mask[s:e], minlength=256) @ bit
             best, score, known = [], [], []
@@ -112,32 +135,41 @@ class LanguageModel:
         return predict
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, share: float = 0.5, least: int = 3, bits_per_gram: int = 12) -> LanguageModel:
+def sampled(rows: DataFrame, docs_per_lang: int, chars_per_lang: int, max_langs: int, salt: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """(about so many rows (id, lang, _text) and characters of each language, chosen by a hash of the id; the languages, in order).
+
+    Of more than ``max_langs`` labels the most frequent count.
+    """
+    each = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    if not each:
+        return rows.limit(0), ()
+    chance = F.create_map(*[F.lit(x) for r in each for x in (r["lang"], min(1.0, docs_per_lang / r["n"], chars_per_lang / max(1, r["chars"])))])
+    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(salt)), F.lit(1_000_003))
+    return rows.where(part < F.try_element_at(chance, F.col("lang")) * 1_000_003), tuple(sorted(r["lang"] for r in each))
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, max_langs: int = 256, share: float = 0.5, least: int = 3, bits_per_gram: int = 12) -> LanguageModel:
     """Fit the filter on rows with a label, an id and a text that aren't held out.
 
-    ``docs_per_lang`` bounds the sample: about so many documents of each
-    language, chosen by a hash of the id. An n-gram enters a language's filter
+    ``docs_per_lang``, ``chars_per_lang`` and ``max_langs`` bound the sample: about so many documents and characters of each
+    language, chosen by a hash of the id, and the most frequent labels. An n-gram enters a language's filter
     if it occurs ``least`` times there and its rate is at least ``share`` of the
     highest rate in any language. The driver receives the filter's set
     positions only, whose number the sample bounds.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("id")))
-    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = tuple(sorted(many))
+    rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("id")))
+    sample, langs = sampled(rows, docs_per_lang, chars_per_lang, max_langs, "sample")
     if not langs:
         return LanguageModel((), 4, np.zeros((16, 1), np.uint8))
-    chance = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, docs_per_lang / many[k]))])
-    sample = rows.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("sample")), F.lit(1_000_003)) < chance[F.col("lang")] * 1_000_003)
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in text_chunks(batches, "_text", 1 << 22):
             own = [number[x] for x in piece["lang"].to_pylist()]
             for k in sorted(set(own)):
-                clean = [c for x, t in zip(own, texts, strict=True) if x == k and (c := letters(t))]
-                if clean:
-                    h, n = np.unique(np.concatenate([h for h, _ in gram_hashes(clean)]), return_counts=True)
+                for pieces in pieces_of([letters(t) for x, t in zip(own, texts, strict=True) if x == k]):
+                    h, n = np.unique(np.concatenate([h for h, _ in gram_hashes(pieces)]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
 
     counted = sample.select("lang", "_text").mapInArrow(count, "k int, h long, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
@@ -182,23 +214,19 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return out.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "lang_pred", "score", "known")
 
 
-def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, quantile: float = 0.05, part: float = 0.55) -> float:
+def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, quantile: float = 0.05, part: float = 0.55) -> float:
     """The share of known n-grams below which a text is in no learned language.
 
     ``part`` of the ``quantile`` of ``known`` over labelled rows that the model
     tells rightly: held-out ones, about ``docs_per_lang`` a language, or where
     there are none those it learned from. 0 if there are none either.
     """
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    many = {(r["lang"], r["held"]): r["n"] for r in rows.groupBy("lang", held_out(F.col("id")).alias("held")).agg(F.count("*").alias("n")).collect()}
-    for held in (True, False):
-        here = {k: n for (k, h), n in many.items() if h == held and k in model.langs}
-        if here:
-            chance = F.create_map(*[F.lit(x) for k, n in here.items() for x in (k, min(1.0, docs_per_lang / n))])
-            sample = rows.where((held_out(F.col("id")) == held) & (F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("bound")), F.lit(1_000_003)) < chance[F.col("lang")] * 1_000_003))
-            found = predict(sample, model, ["lang"]).where("lang = lang_pred").agg(F.percentile("known", quantile)).first()[0]
-            if found is not None:
-                return part * found
+    rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isin(*model.langs) & F.col("_text").isNotNull())
+    for held in (True, False) if model.langs else ():
+        sample, _ = sampled(rows.where(held_out(F.col("id")) == held), docs_per_lang, chars_per_lang, len(model.langs), "bound")
+        found = predict(sample, model, ["lang"], "_text").where("lang = lang_pred").agg(F.percentile("known", quantile)).first()[0]
+        if found is not None:
+            return part * found
     return 0.0
 
 
