@@ -1,5 +1,6 @@
 """Operators on single texts: language ID, secrets, personal data, HTML, tokens."""
 
+import math
 import os
 import random
 import re
@@ -96,7 +97,7 @@ def test_filter_has_no_false_negatives():
     import numpy as np
 
     table = np.zeros((1 << 12, 1), np.uint8)
-    h = next(language_id.gram_hashes([" hello world "]))[0]
+    h = next(language_id.gram_hashes([(0, " hello world ", 13)]))[0]
     for p in language_id.positions(h, 12):
         table[p, 0] |= 2
     model = language_id.LanguageModel(("aa", "bb"), 12, table)
@@ -104,6 +105,56 @@ def test_filter_has_no_false_negatives():
     assert best == ["bb"] and score[0] > 0.9 and model.false_rate()[0] == 0
 
 
+def brute_predict(model, text):
+    """(language, score, known) with the filter read bit by bit, and its false positives counted for themselves."""
+    mask64, clean = (1 << 64) - 1, language_id.letters(text)
+    masks = [int.from_bytes(row.tobytes(), "little") for row in model.table]
+    false = [min(0.999, (sum(m >> k & 1 for m in masks) / len(masks)) ** language_id.HASHES) for k in range(len(model.langs))]
+    counts, total = [0] * len(model.langs), 0
+    for n in language_id.ORDERS:
+        for i in range(len(clean) - n + 1):
+            h = 0
+            for c in clean[i : i + n]:
+                h = (h * language_id.STEP + ord(c)) & mask64
+            h = (h + n) & mask64
+            h ^= h >> 29
+            both = -1
+            for m in language_id.MULTIPLIERS[: language_id.HASHES]:
+                both &= masks[(h * m & mask64) >> (64 - model.bits)]
+            total += 1
+            counts = [c + (both >> k & 1) for k, c in enumerate(counts)]
+    own = [max(0.0, (c - total * f) / (1 - f)) for c, f in zip(counts, false, strict=True)]
+    if not clean:
+        return "und", 0.0, 0.0
+    k = own.index(max(own))
+    return model.langs[k], own[k] / sum(own) if sum(own) else 0.0, min(1.0, own[k] / total) if total else 0.0
+
+
+@pytest.mark.parametrize("full", [0.2, 0.95])
+def test_predictions_by_brute_force(monkeypatch, full):
+    """Also on a nearly full filter, whose answers are mostly false, and with texts cut into pieces."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    table = np.packbits(r.random((1 << 10, 16)) < full, axis=1, bitorder="little")
+    model = language_id.LanguageModel(tuple(f"l{k:02}" for k in range(11)), 10, table)
+    texts = [None, "", "1 2", "a", "ab", *[say(EN + DE, i, 30) for i in range(20)], "Größe und Länge, 3 mal 4"]
+    want = [brute_predict(model, t) for t in texts]
+    for chars in (1 << 18, 50, 7):
+        monkeypatch.setattr(language_id, "PIECE_CHARS", chars)
+        got = list(zip(*model.predictor()(texts), strict=True))
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:] for g in got], [w[1:] for w in want])
+
+
+def test_labels_and_characters_are_bounded(spark):
+    rows = docs(spark, [(i, say(EN, i), "en") for i in range(90)] + [(1000 + i, say(DE, i), "de") for i in range(60)] + [(2000 + i, "odd words", f"x{i}") for i in range(40)])
+    assert language_id.learn(rows, max_langs=2).langs == ("de", "en")
+    pair = rows.select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("_text"))
+    some, _ = language_id.sampled(pair, 10**6, 2000, 2, "s")
+    n = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.sum(F.length("_text")).alias("n")).collect()}
+    assert set(n) <= {"de", "en"} and all(x < 6000 for x in n.values())
+
+
 # secrets
 
 
@@ -311,6 +362,65 @@ def test_all_parts_of_the_cluster_stay(body, want):
     assert html_text.main_text(f"<html><head><title>T</title></head><body>{body}<footer>&copy; Us</footer></body></html>") == want
 
 
+def brute_main(html):
+    """Ratio, smoothing, cluster and choice of parts in plain Python, from the parser's lines."""
+    p = html_text.Lines()
+    p.feed(html)
+    p.close()
+    p.cut()
+    lines = p.lines
+    ratio = [len(t) / (1 + n) for t, n, *_ in lines]
+    smooth = []
+    for i in range(len(lines)):
+        near = [(math.exp(-((i - j) ** 2) / 2), ratio[j]) for j in range(len(lines)) if abs(i - j) <= 3]
+        smooth.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / max(1, len(smooth))
+    bound = math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
+    stretches, label = [], []
+    for i, (_, _, region, out) in enumerate(lines):
+        if out:
+            label.append(None)
+        elif region:
+            label.append(("region", region))
+        else:
+            if not i or lines[i - 1][3] or lines[i - 1][2]:
+                stretches.append(("body", len(stretches)))
+            label.append(stretches[-1])
+    chosen = {k for k, x in zip(label, smooth, strict=True) if k and x >= bound * (1 - 1e-9)} or {k for k in label if k}
+    body = [k[1] for k in chosen if k[0] == "body"]
+    if body:
+        chosen |= {("body", n) for n in range(min(body), max(body) + 1)}
+    return "\n".join(t for (t, *_), k in zip(lines, label, strict=True) if k in chosen)
+
+
+def test_pages_by_brute_force():
+    r = random.Random(6)
+    decided = 0
+    for _ in range(300):
+        part = lambda d: r.choice(["<p>%s</p>", "<div>%s</div>", "<article>%s</article>", "<main>%s</main>", "<nav>%s</nav>", "<ul><li>%s</ul>", "<div class='ad'>%s</div>", "<section id='related-work'>%s</section>"]) % "".join(part(d - 1) if d and r.random() < 0.6 else r.choice(["word ", "<a href='#'>x</a>", LONG + " ", "<b>few</b> words "]) for _ in range(r.randrange(1, 5)))
+        page = "<body>" + "".join(part(3) for _ in range(r.randrange(1, 7))) + "</body>"
+        assert html_text.main_text(page) == brute_main(page)
+        decided += len(html_text.main_text(page)) < len("\n".join(t for t, _, _, out in lines_of(page) if not out))
+    assert decided > 50  # pages of which the cluster leaves parts out
+
+
+def lines_of(page):
+    p = html_text.Lines()
+    p.feed(page)
+    p.close()
+    p.cut()
+    return p.lines
+
+
+def test_ids_headings_and_depth():
+    body = f"<section id='related-work'><h2 id='share-prices'>Prices</h2>{TEXT}</section><h2 class='menu-planning'>Menus</h2>{TEXT}<div id='comments'>First</div>"
+    assert html_text.main_text(f"<body>{body}</body>") == f"Prices\n{LINES}\nMenus\n{LINES}"
+    start = time.time()
+    for page in ("<div>x" * 40_000, "<p>" + "<span>" * 40_000 + "</i>" * 40_000, "<div>" * 40_000 + "</section>" * 40_000):
+        html_text.main_text(page)
+    assert time.time() - start < 12
+
+
 def test_smoothing_keeps_a_constant():
     import numpy as np
 
@@ -392,16 +502,43 @@ def message(*fields):
     return out
 
 
-def test_unigram_model(tmp_path):
-    """A model written by hand: scores, metaspace and byte fallback as sentencepiece reads them."""
-    import sentencepiece
+FIRST = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+BYTES = [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+UNI = [("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.1), ("ab", -3.5), ("▁ab", -3.2), ("c", -4.0), ("abc", -9.0), ("<", -5.0), (">", -5.0), ("s", -5.0), ("0", -6.0), ("x", -6.0), ("4", -6.0), ("1", -6.0), ("<s", -7.0)]
+ODD_TEXTS = ["ab abc", "aab é b", "", "cab  ab", "abcabc", "a <s> b", "x <0x41> y", "\nthe fox", " \n a b \n ", "the <tag> fox", "<tag><tag> a<tag>b", "a<ta g>", "日本 <unk> </s>", "  a", "b  ", "\ta", "é\n\n é", "<sep>ab<sep><tag>"]
+
 
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
-    pieces += [(p, s, 1) for p, s in (("▁", -2.0), ("▁a", -2.5), ("a", -3.0), ("b", -3.1), ("ab", -3.5), ("▁ab", -3.2), ("c", -4.0), ("abc", -9.0))]
+def model_file(tmp_path, pieces, kind, remove=0, fallback=1):
+    """A model written by hand."""
     model = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in pieces)
-    model += message((2, message((3, 1), (35, 1))), (3, message((1, b"identity"), (3, 1), (4, 0), (5, 1))))
-    path = tmp_path / "m.model"
+    model += message((2, message((3, kind), (35, fallback))), (3, message((1, b"identity"), (3, 1), (4, remove), (5, 1))))
+    path = tmp_path / f"{kind}-{remove}-{fallback}-{len(pieces)}.model"
     path.write_bytes(model)
-    judge, codec = sentencepiece.SentencePieceProcessor(model_file=str(path)), tokens.Codec(str(path))
-    texts = ["ab abc", "aab é b", "", "cab  ab", "abcabc"]
+    return str(path)
+
+
+@pytest.mark.parametrize("remove", [0, 1])
+@pytest.mark.parametrize("fallback", [0, 1])
+@pytest.mark.parametrize("symbols", [(), ("<tag>", "<sep>")])
+def test_unigram_model(tmp_path, remove, fallback, symbols):
+    """Scores, metaspace, byte fallback, control and user-defined pieces as sentencepiece reads them."""
+    import sentencepiece
+
+    path = model_file(tmp_path, FIRST + [(x, 0.0, 4) for x in symbols] + BYTES * fallback + [(p, s, 1) for p, s in UNI], 1, remove, fallback)
+    judge, codec, r = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Codec(path), random.Random(3)
+    texts = ODD_TEXTS + ["".join(r.choice(["a", "b", "c", " ", "ab", "<s>", "<0x41>", "<tag>", "<sep>", "\n", "é", "x"]) for _ in range(r.randrange(30))) for _ in range(500)]
+    assert codec.encode(texts) == judge.encode(texts)
+    if fallback and not remove:
+        assert codec.decode(codec.encode(texts)) == texts
+
+
+@pytest.mark.parametrize("symbols", [(), ("<tag>", "<sep>")])
+def test_bpe_model(tmp_path, symbols):
+    import sentencepiece
+
+    letters = [(c, -20.0 - i, 1) for i, c in enumerate("▁abctheofx<>sg0142")]
+    merged = [(p, -float(i), 1) for i, p in enumerate(["th", "▁th", "▁the", "ab", "abc", "▁a", "ta", "▁f", "<s", "ox"])]
+    path = model_file(tmp_path, FIRST + [(x, 0.0, 4) for x in symbols] + BYTES + merged + letters, 2)
+    judge, codec, r = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Codec(path), random.Random(4)
+    texts = ODD_TEXTS + ["".join(r.choice(["a", "b", "c", " ", "the", "<s>", "<0x41>", "<tag>", "<sep>", "\n", "é", "fox"]) for _ in range(r.randrange(30))) for _ in range(500)]
     assert codec.encode(texts) == judge.encode(texts) and codec.decode(codec.encode(texts)) == texts
