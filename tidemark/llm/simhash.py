@@ -133,6 +133,7 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(i).alias("block"), F.shiftleft(block(*x), y[1] - y[0]).bitwiseOR(block(*y)).alias("bits")) for i, (x, y) in enumerate(both)])
     blocks = prints.select("fp", F.explode(keys).alias("k")).select("fp", "k.block", "k.bits")
     sizes = blocks.groupBy("block", "bits").agg(F.count("*").alias("n")).where(F.col("n") > 1).withColumn("tiles", F.ceil(F.sqrt(F.col("n") / 8)).cast("int"))
+    sizes = written(sizes, "sizes")  # a table of its own, so that Spark may split a hot key of the join
     dealt = blocks.join(sizes, ["block", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"))
     # a tile meets itself and every other tile of its block value once
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
@@ -290,7 +291,7 @@ def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Itera
 def dealt_in_tiles(rows: DataFrame, keys: list[str], each: str, tile: int) -> DataFrame:
     """rows with t and u, sorted by keys, t, u within their partitions: a group of n rows is
     dealt into n / tile tiles, and every two tiles meet once; a single tile meets itself."""
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n")
+    sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n"), "sizes")
     dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(each), F.col("tiles")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("own != other or tiles = 1")
     meets = meets.withColumn("t", F.least("own", "other")).withColumn("u", F.greatest("own", "other")).drop("tiles", "own", "other")
@@ -373,8 +374,8 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     own = F.struct("doc_id", "node", "n")
     prints = written(each.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"), F.min("fp").alias("fp")), "prints")
     rough = components(candidate_links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp").withColumnRenamed("root", "part")
-    parts = prints.join(rough, "fp", "left").select("node", "fp", F.coalesce("part", "fp").alias("part"))
-    many = parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part")
+    parts = written(prints.join(rough, "fp", "left").select("node", "fp", F.coalesce("part", "fp").alias("part")), "parts")
+    many = written(parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "many")
     wanted = written(parts.join(many, "part").select("node", "fp", "part"), "wanted")
     found = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")  # copies meet within each task first
     sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
