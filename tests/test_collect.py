@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import history, lags
-from tidemark.operators.indicators import PUBLISHED, indicators
+from tidemark.operators.indicators import PUBLISHED, indicators, slice_frame
 from tidemark.params import Params
 from tidemark.sources.bars import BARS
 from tidemark.sources.tables import CANDIDATES
@@ -29,7 +29,7 @@ def events(spark, *symbols, day=EVENT, kind="Spiker"):
 
 def frame(spark, rows, symbol, min_bars=50):
     bars = spark.createDataFrame(rows, BARS)
-    got = indicators(history.with_history(history.slices(history.event_keys(events(spark, symbol)), bars, 90), min_bars))
+    got = indicators(history.with_history(history.slices(history.event_keys(events(spark, symbol)), bars, 90), min_bars), bars)
     return got.orderBy("bar_date").toPandas()
 
 
@@ -114,6 +114,6 @@ def test_another_event_changes_nothing(spark):
 def test_one_exchange_serves_all_windows(spark):
     bars = spark.createDataFrame(series("A", 120), BARS)
     keys = history.event_keys(events(spark, "A"))
-    plan = lags.as_of_lags(indicators(history.slices(keys, bars, 90)), (1, 3))._jdf.queryExecution().executedPlan().toString()
+    plan = lags.as_of_lags(slice_frame(history.slices(keys, bars, 90)), (1, 3))._jdf.queryExecution().executedPlan().toString()
     after_join = plan[: plan.index("Join")]
     assert after_join.count("Exchange hashpartitioning(symbol") == 1 and "Python" not in plan

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import statistics
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,12 +39,22 @@ def enough_samples(raw: DataFrame, p: Params) -> DataFrame:
     return sample_sizes(raw).where((F.col("n_spikers") >= p.min_samples) & (F.col("n_grinders") >= p.min_samples))
 
 
+def critical_t(level: float, freedom: Column) -> Column:
+    """The two-sided critical value of Student's t, by its expansion about the normal quantile
+    (Cornish and Fisher): three digits and more from 5 degrees of freedom on."""
+    z = statistics.NormalDist().inv_cdf(0.5 + level / 2)
+    terms = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384)
+    return F.lit(z) + sum((F.lit(c) / F.pow(freedom, F.lit(float(i + 1))) for i, c in enumerate(terms)), F.lit(0.0))
+
+
 def welch(raw: DataFrame, p: Params) -> DataFrame:
-    """Welch's t statistic and degrees of freedom per lag and indicator; NULL without spread."""
+    """Welch's t statistic and degrees of freedom per lag and indicator, its critical value at
+    ``confidence_level`` and whether t exceeds it; NULL without spread."""
     s, g = F.col("var_spikers") / F.col("n_spikers"), F.col("var_grinders") / F.col("n_grinders")
     freedom = F.try_divide((s + g) * (s + g), F.try_divide(s * s, F.col("n_spikers") - 1) + F.try_divide(g * g, F.col("n_grinders") - 1))
     t = F.try_divide(F.col("mean_spikers") - F.col("mean_grinders"), F.sqrt(s + g))
-    return enough_samples(raw, p).select("Time_Lag", "Indicator", t.alias("t"), freedom.alias("freedom"))
+    tested = enough_samples(raw, p).select("Time_Lag", "Indicator", t.alias("t"), freedom.alias("freedom"))
+    return tested.withColumn("critical", critical_t(p.confidence_level, F.col("freedom"))).withColumn("significant", F.abs("t") > F.col("critical"))
 
 
 def correlations(raw: DataFrame, names: list[str]) -> DataFrame:

@@ -1,8 +1,11 @@
 """62 technical indicators over each event's slice, as window expressions.
 
-All windows are partitioned by event and ordered by day, so one shuffle and one
-sort serve them all; columns that build on others form later layers. Columns
-have plain names here; ``NAMES`` gives the published ones, in their order.
+Columns whose frame has a fixed length don't depend on where a slice begins, but for
+the rows too near its beginning, where they are NULL. They are computed once a bar, over
+the symbol's history, and joined to the rows that are wanted. Recursive averages, the VWAP,
+the extremes of a year and what looks at a slice's first bar are computed in each slice: windows
+partitioned by event and ordered by day, so that one shuffle and one sort serve them all.
+Columns have plain names here; ``NAMES`` gives the published ones, in their order.
 """
 
 from __future__ import annotations
@@ -31,53 +34,76 @@ PLAIN = {
 NAMES = {name: PLAIN.get(name, name.lower()) for name in PUBLISHED}
 
 
+#: Columns that are 1 or 0.
+FLAGS = ("EMA20_above_EMA50", "EMA50_above_EMA200", "price_above_EMA20", "EMA10_above_EMA20", "gap_up", "gap_down")
+
+
 def window():
     return Window.partitionBy(*EVENT).orderBy("bar_date")
 
 
-def base(bars: DataFrame) -> DataFrame:
-    """What several indicators share: last values, differences, ranges, counts."""
-    w = window()
-    c = F.col("close")
-    lagged = bars.withColumns({f"c{k}": F.lag("close", k).over(w) for k in (1, 3, 5, 10, 20)} | {"h1": F.lag("high").over(w), "l1": F.lag("low").over(w)})
-    delta, up, down = c - F.col("c1"), F.col("high") - F.col("h1"), F.col("l1") - F.col("low")
-    zero = F.lit(0.0)
-    made = lagged.withColumns({
-        "gain": F.when(delta.isNotNull(), F.greatest(delta, zero)), "loss": F.when(delta.isNotNull(), F.greatest(-delta, zero)),
-        "plus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(zero)),
-        "minus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(zero)),
-        "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("c1")), F.abs(F.col("low") - F.col("c1"))),
-        "bp": c - F.least(F.col("low"), F.col("c1")), "tp": (F.col("high") + F.col("low") + c) / 3, "hl2": (F.col("high") + F.col("low")) / 2,
-        "gap_pct": F.try_divide(F.col("open") - F.col("c1"), F.col("c1")) * 100,
-    })
-    seen = {f"n_{x}": F.count(x).over(cumulative(w)) for x in ("close", "gain", "plus_dm", "tr")}
-    return made.withColumns(seen | {f"price_change_{k}d": percent(c, F.col(f"c{k}")) for k in (1, 3, 5, 10, 20)})
+#: Of each column computed once a bar: how many bars of the slice must lie before it.
+DEPTH = (
+    {f"sma{n}": n - 1 for n in EMAS} | {f"price_change_{k}d": k for k in (1, 3, 5, 10, 20)} | {"mom": 10, "mom_1": 11, "stoch_k": 13, "stoch_k_1": 14, "stoch_d": 15, "stoch_d_1": 16, "williams": 13, "ao": 33, "cci": 19}
+    | {c: 19 for c in ("bb_upper", "bb_lower", "bb_middle", "bb_width", "bb_power", "volume_sma20", "volume_ratio")} | {"volume_sma5": 4, "volatility_20d": 20, "gap_pct": 1, "gap_up": 1, "gap_down": 1}
+)
 
 
-def rolling(df: DataFrame) -> DataFrame:
-    """Moving averages, ranges, sums and spreads."""
-    w = window()
-    c, v, tp = F.col("close"), F.col("volume"), F.col("tp")
-    low, high = full(F.min, F.col("low"), w, 14), full(F.max, F.col("high"), w, 14)
-    average = lambda n: F.try_divide(full(F.sum, F.col("bp"), w, n), full(F.sum, F.col("tr"), w, n))
-    year = trailing(w, 252)
-    out = df.withColumns(
+def bar_frame(bars: DataFrame) -> DataFrame:
+    """symbol, bar_date and the columns of DEPTH, once for each bar, over the symbol's history (a row a day)."""
+    w = Window.partitionBy("symbol").orderBy("bar_date")
+    c, v, tp, hl2 = F.col("close"), F.col("volume"), F.col("tp"), F.col("hl2")
+    base = bars.select("symbol", "bar_date", "open", "high", "low", "close", "volume").withColumns(
+        {f"c{k}": F.lag("close", k).over(w) for k in (1, 3, 5, 10, 20)} | {"tp": (F.col("high") + F.col("low") + c) / 3, "hl2": (F.col("high") + F.col("low")) / 2}
+    )
+    changed = base.withColumns({f"price_change_{k}d": percent(c, F.col(f"c{k}")) for k in (1, 3, 5, 10, 20)} | {"gap_pct": F.try_divide(F.col("open") - F.col("c1"), F.col("c1")) * 100})
+    out = changed.withColumns(
         {f"sma{n}": full(F.avg, c, w, n) for n in EMAS}
-        | {"mom": c - F.col("c10"), "ll": low, "hh": high, "ao": full(F.avg, F.col("hl2"), w, 5) - full(F.avg, F.col("hl2"), w, 34), "uo": 100 * (4 * average(7) + 2 * average(14) + average(28)) / 7}
+        | {"mom": c - F.col("c10"), "ll": full(F.min, F.col("low"), w, 14), "hh": full(F.max, F.col("high"), w, 14), "ao": full(F.avg, hl2, w, 5) - full(F.avg, hl2, w, 34)}
         | {"sigma": full(F.stddev_pop, c, w, 20), "volume_sma5": full(F.avg, v, w, 5), "volume_sma20": full(F.avg, v, w, 20), "volatility_20d": full(F.stddev_samp, F.col("price_change_1d"), w, 20) * (252**0.5)}
-        | {"high_52w": F.max("high").over(year), "low_52w": F.min("low").over(year), "vwap": F.try_divide(F.sum(tp * v).over(cumulative(w)), F.sum("volume").over(cumulative(w)))}
         | {"tp_mean": full(F.avg, tp, w, 20), "tps": full(F.collect_list, tp, w, 20)}
     )
     deviation = F.aggregate(F.col("tps"), F.lit(0.0), lambda total, x: total + F.abs(x - F.col("tp_mean"))) / 20
     span = F.col("hh") - F.col("ll")
-    return out.withColumns({
+    out = out.withColumns({
         "stoch_k": F.try_divide(c - F.col("ll"), span) * 100, "williams": F.try_divide(F.col("hh") - c, span) * -100, "cci": F.try_divide(tp - F.col("tp_mean"), 0.015 * deviation),
         "bb_middle": F.col("sma20"), "bb_upper": F.col("sma20") + 2 * F.col("sigma"), "bb_lower": F.col("sma20") - 2 * F.col("sigma"), "volume_ratio": F.try_divide(v, F.col("volume_sma20")),
-        "price_vs_high_52w": percent(c, F.col("high_52w")), "price_vs_low_52w": percent(c, F.col("low_52w")), "gap_up": flag(F.col("gap_pct") > 2), "gap_down": flag(F.col("gap_pct") < -2), "mom_1": F.lag("mom").over(w),
+        "gap_up": flag(F.col("gap_pct") > 2), "gap_down": flag(F.col("gap_pct") < -2), "mom_1": F.lag("mom").over(w),
     }).withColumns({
         "bb_width": F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle")) * 100, "bb_power": F.try_divide(c - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")),
         "stoch_d": full(F.avg, F.col("stoch_k"), w, 3),
     }).withColumns({"stoch_k_1": F.lag("stoch_k").over(w), "stoch_d_1": F.lag("stoch_d").over(w)})
+    return out.select("symbol", "bar_date", *DEPTH)
+
+
+def base(sliced: DataFrame) -> DataFrame:
+    """What columns of a slice share: last values, differences, ranges, counts."""
+    w = window()
+    c = F.col("close")
+    lagged = sliced.withColumns({"place": F.row_number().over(w) - 1, "c1": F.lag("close").over(w), "h1": F.lag("high").over(w), "l1": F.lag("low").over(w)})
+    delta, up, down = c - F.col("c1"), F.col("high") - F.col("h1"), F.col("l1") - F.col("low")
+    zero = F.lit(0.0)
+    made = lagged.withColumns({
+        "gain": F.when(delta.isNotNull(), F.greatest(delta, zero)), "loss": F.when(delta.isNotNull(), F.greatest(-delta, zero)),
+        "plus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(zero)),
+        "minus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(zero)),
+        "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("c1")), F.abs(F.col("low") - F.col("c1"))),
+        "bp": c - F.least(F.col("low"), F.col("c1")), "tp": (F.col("high") + F.col("low") + c) / 3,
+    })
+    return made.withColumns({f"n_{x}": F.count(x).over(cumulative(w)) for x in ("close", "gain", "plus_dm", "tr")})
+
+
+def from_the_start(df: DataFrame, longest: int | None) -> DataFrame:
+    """What looks at a slice's first bar, other than recursive averages. Slices of ``longest`` rows
+    or fewer, if that is known to be below a year's, need no sliding frame for its extremes."""
+    w = window()
+    year = cumulative(w) if longest and longest <= 252 else trailing(w, 252)
+    average = lambda n: F.try_divide(full(F.sum, F.col("bp"), w, n), full(F.sum, F.col("tr"), w, n))
+    out = df.withColumns({
+        "uo": 100 * (4 * average(7) + 2 * average(14) + average(28)) / 7, "high_52w": F.max("high").over(year), "low_52w": F.min("low").over(year),
+        "vwap": F.try_divide(F.sum(F.col("tp") * F.col("volume")).over(cumulative(w)), F.sum("volume").over(cumulative(w))),
+    })
+    return out.withColumns({"price_vs_high_52w": percent(F.col("close"), F.col("high_52w")), "price_vs_low_52w": percent(F.col("close"), F.col("low_52w"))})
 
 
 def recursive(df: DataFrame) -> DataFrame:
@@ -102,11 +128,31 @@ def recursive(df: DataFrame) -> DataFrame:
     return counted.withColumns({"macd_signal": signal, "macd_diff": F.col("macd") - signal, "adx": wilder(F.col("dx"), F.col("n_dx"), 14, w)})
 
 
-def indicators(sliced: DataFrame) -> DataFrame:
-    """symbol, event_date, bar_date and the 62 published columns.
+def slice_frame(sliced: DataFrame, longest: int | None = None) -> DataFrame:
+    """Each bar of each slice with its place there (0 is the first) and the columns computed in slices.
 
     sliced: bars of events, dealt by event. Columns that a later select leaves
     out are pruned with their windows.
     """
-    made = recursive(rolling(base(sliced)))
-    return made.select(*EVENT, "bar_date", *[F.col(plain).alias(name) for name, plain in NAMES.items()])
+    made = recursive(from_the_start(base(sliced), longest))
+    return made.select(*EVENT, "bar_date", "place", *[c for c in NAMES.values() if c not in DEPTH])
+
+
+def published(rows: DataFrame, bars: DataFrame, names: tuple[str, ...] = tuple(PUBLISHED)) -> DataFrame:
+    """Rows of a slice_frame, all or some, with the named columns in place of the plain ones.
+
+    Those of DEPTH come from the bars, by symbol and day, and count where the slice reaches back far enough.
+    """
+    plain = {NAMES[n] for n in names}
+    rest = [c for c in rows.columns if c not in NAMES.values() and c != "place"]
+    if plain & DEPTH.keys():
+        once = bar_frame(bars).select(F.col("symbol").alias("_symbol"), F.col("bar_date").alias("_day"), *sorted(plain & DEPTH.keys()))
+        rows = rows.join(once, (F.col("symbol") == F.col("_symbol")) & (F.col("bar_date") == F.col("_day")))
+    deep = lambda c: F.when(F.col("place") >= DEPTH[c], F.col(c)) if c in DEPTH else F.col(c)
+    zero = lambda c, x: F.coalesce(x, F.lit(0)) if c in ("gap_up", "gap_down") else x
+    return rows.select(*rest, *[zero(NAMES[n], deep(NAMES[n])).alias(n) for n in names])
+
+
+def indicators(sliced: DataFrame, bars: DataFrame, names: tuple[str, ...] = tuple(PUBLISHED), longest: int | None = None) -> DataFrame:
+    """symbol, event_date, bar_date and the named columns for every bar of every slice."""
+    return published(slice_frame(sliced, longest), bars, names)

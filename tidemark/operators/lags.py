@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite
 from tidemark.operators.history import event_keys, slices, with_history
-from tidemark.operators.indicators import EVENT, indicators, window
+from tidemark.operators.indicators import EVENT, PUBLISHED, published, slice_frame, window
 from tidemark.params import Params
 
 
@@ -45,7 +45,12 @@ def raw_rows(candidates: DataFrame, sampled: DataFrame) -> DataFrame:
 def collect(candidates: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
     """Slices, history filter, indicators and samples of all candidates."""
     sliced = with_history(slices(event_keys(candidates), bars, p.lookback_days), p.min_bars)
-    return raw_rows(candidates, as_of_lags(indicators(sliced), p.lags))
+    return raw_rows(candidates, samples(sliced, bars, p))
+
+
+def samples(sliced: DataFrame, bars: DataFrame, p: Params, names: tuple[str, ...] = tuple(PUBLISHED)) -> DataFrame:
+    """Indicators as of each lag: only the rows that serve one are joined with what is computed once a bar."""
+    return published(as_of_lags(slice_frame(sliced, p.lookback_days), p.lags), bars, names)
 
 
 def latest_per_symbol(frame: DataFrame) -> DataFrame:

@@ -113,11 +113,39 @@ FRAME_CTE = f"""{BASE}, ind AS (SELECT *, {full('avg', 'close', 5)} AS SMA5, {fu
 SAMPLED = f"""{FRAME_CTE}, wanted AS (SELECT symbol, event_date, lag, event_date - lag AS lag_date FROM (SELECT DISTINCT symbol, event_date FROM slices), (VALUES (1), (3), (5), (10), (30)) t(lag)),
 sampled AS (SELECT w.lag, ind.* FROM wanted w ASOF JOIN ind ON w.symbol = ind.symbol AND w.event_date = ind.event_date AND w.lag_date >= ind.bar_date)"""
 RAW = f"{SAMPLED}, raw AS (SELECT e.Symbol, e.Date AS Event_Date, e.Event_Type, e.Exchange, 'T-' || lag AS Time_Lag, s.* EXCLUDE (symbol, event_date) FROM events e JOIN sampled s ON s.symbol = e.Symbol AND s.event_date = e.Date)"
-SUMMED = ("close", "volume", "SMA5", "SMA20", "price_change_1d", "price_change_5d", "high_52w", "low_52w", "gap_up", "gap_down")
-LONG = f"{RAW}, long AS (" + " UNION ALL ".join(f"SELECT Time_Lag, Event_Type, '{c}' AS Indicator, {c}::DOUBLE AS x FROM raw" for c in SUMMED) + ")"
+
+#: All 62 columns on one frame: lists and rolling values, then averages of the lists, then what rests on those.
+A1 = f"""a1 AS (SELECT *, {so_far('close')} AS closes, {so_far('gain')} AS gs, {so_far('loss')} AS ls, {so_far('tr')} AS trs, {so_far('pdm')} AS ps, {so_far('mdm')} AS ns, {LL} AS ll, {HH} AS hh,
+  {full('avg', 'close', 20)} AS m, {full('stddev_pop', 'close', 20)} AS sd, {full('avg', 'tp', 20)} AS tpm, {full('list', 'tp', 20)} AS tps, {full('avg', 'volume', 20)} AS v20 FROM step)"""
+A2 = f"""a2 AS (SELECT * EXCLUDE (closes, gs, ls, trs, ps, ns, tps), {', '.join(f"{fold('closes', 2 / (n + 1), n)} AS ema{n}" for n in EMAS)}, {fold('closes', 2 / 13, 12)} - {fold('closes', 2 / 27, 26)} AS macd,
+  {fold('gs', 1 / 14, 14)} AS ag, {fold('ls', 1 / 14, 14)} AS al, {fold('trs', 1 / 14, 14)} AS atr, {fold('ps', 1 / 14, 14)} AS ap, {fold('ns', 1 / 14, 14)} AS an,
+  (tp - tpm) / nullif(0.015 * list_sum(list_transform(tps, lambda x: abs(x - tpm))) / 20, 0) AS cci, 100 * (close - ll) / nullif(hh - ll, 0) AS k FROM a1)"""
+A3 = f"""a3 AS (SELECT *, CASE WHEN al = 0 THEN 100 ELSE 100 - 100 / (1 + ag / nullif(al, 0)) END AS rsi, 100 * ap / nullif(atr, 0) AS dip, 100 * an / nullif(atr, 0) AS dim, {full('avg', 'k', 3)} AS d FROM a2)"""
+A4 = f"""a4 AS (SELECT *, 100 * abs(dip - dim) / nullif(dip + dim, 0) AS dx, {so_far('macd')} AS macds FROM a3), a5 AS (SELECT *, {fold('macds', 0.2, 9)} AS sig, {so_far('dx')} AS dxs FROM a4)"""
+EVERY = (
+    {c: c for c in ("close", "open", "high", "low", "volume")}
+    | {"RSI": "rsi", "RSI[1]": "lag(rsi) OVER w", "Mom": "close - lag(close, 10) OVER w", "Mom[1]": "c1 - lag(close, 11) OVER w", "MACD.macd": "macd", "MACD.signal": "sig", "MACD_diff": "macd - sig"}
+    | {"Stoch.K": "k", "Stoch.D": "d", "Stoch.K[1]": "lag(k) OVER w", "Stoch.D[1]": "lag(d) OVER w", "ADX": fold("dxs", 1 / 14, 14), "ADX+DI": "dip", "ADX-DI": "dim", "CCI20": "cci"}
+    | {"AO": f"({full('avg', 'hl2', 5)}) - ({full('avg', 'hl2', 34)})", "W.R": "-100 * (hh - close) / nullif(hh - ll, 0)", "UO": f"100 * (4 * {RATIO(7)} + 2 * {RATIO(14)} + {RATIO(28)}) / 7"}
+    | {"BB.upper": "m + 2 * sd", "BB.lower": "m - 2 * sd", "BB.middle": "m", "BB_width": "4 * sd / nullif(m, 0) * 100", "BBPower": "(close - (m - 2 * sd)) / nullif(4 * sd, 0)", "ATR": "atr"}
+    | {f"EMA{n}": f"ema{n}" for n in EMAS} | {f"SMA{n}": full("avg", "close", n) for n in EMAS}
+    | {"volume_sma5": full("avg", "volume", 5), "volume_sma20": "v20", "volume_ratio": "volume / nullif(v20, 0)"}
+    | {f"price_change_{k}d": f"(close / nullif(lag(close, {k}) OVER w, 0) - 1) * 100" for k in (1, 3, 5, 10, 20)} | {"volatility_20d": f"({full('stddev_samp', 'chg', 20)}) * sqrt(252)"}
+    | {"EMA20_above_EMA50": FLAG.format("ema20 > ema50"), "EMA50_above_EMA200": FLAG.format("ema50 > ema200"), "price_above_EMA20": FLAG.format("close > ema20"), "EMA10_above_EMA20": FLAG.format("ema10 > ema20")}
+    | {"high_52w": f"max(high) OVER {YEAR}", "low_52w": f"min(low) OVER {YEAR}", "price_vs_high_52w": f"(close / nullif(max(high) OVER {YEAR}, 0) - 1) * 100", "price_vs_low_52w": f"(close / nullif(min(low) OVER {YEAR}, 0) - 1) * 100"}
+    | {"gap_%": "gap", "gap_up": FLAG.format("gap > 2"), "gap_down": FLAG.format("gap < -2"), "VWAP": f"sum(tp * volume) OVER {ALL} / nullif(sum(volume) OVER {ALL}, 0)"}
+)
+EVERY_SAMPLED = f"""{BASE}, {A1}, {A2}, {A3}, {A4}, ind AS (SELECT symbol, event_date, bar_date, {', '.join(f'{e} AS "{c}"' for c, e in EVERY.items() if c not in ('close', 'open', 'high', 'low', 'volume'))}, close, open, high, low, volume FROM a5 {W}),
+wanted AS (SELECT symbol, event_date, lag, event_date - lag AS lag_date FROM (SELECT DISTINCT symbol, event_date FROM slices), (VALUES (1), (3), (5), (10), (30)) t(lag)),
+sampled AS (SELECT w.lag, ind.* FROM wanted w ASOF JOIN ind ON w.symbol = ind.symbol AND w.event_date = ind.event_date AND w.lag_date >= ind.bar_date)"""
+EVERY_RAW = f"{EVERY_SAMPLED}, raw AS (SELECT e.Symbol, e.Date AS Event_Date, e.Event_Type, e.Exchange, 'T-' || lag AS Time_Lag, s.* EXCLUDE (symbol, event_date, lag, bar_date) FROM events e JOIN sampled s ON s.symbol = e.Symbol AND s.event_date = e.Date)"
+LONG = f"{EVERY_RAW}, long AS (UNPIVOT (SELECT Time_Lag, Event_Type, " + ", ".join(f'"{c}"::DOUBLE AS "{c}"' for c in EVERY) + ' FROM raw) ON COLUMNS(* EXCLUDE (Time_Lag, Event_Type)) INTO NAME Indicator VALUE x)'
 MEANS = f"{LONG}, means AS (SELECT Time_Lag, Indicator, avg(x) FILTER (Event_Type = 'Spiker') AS s, avg(x) FILTER (Event_Type = 'Grinder') AS g FROM long GROUP BY ALL)"
 SIZES = f"{LONG}, sizes AS (SELECT Time_Lag, Indicator, count(x) FILTER (Event_Type = 'Spiker') AS ns, count(x) FILTER (Event_Type = 'Grinder') AS ng, avg(x) FILTER (Event_Type = 'Spiker') AS s, avg(x) FILTER (Event_Type = 'Grinder') AS g, var_samp(x) FILTER (Event_Type = 'Spiker') / ns AS vs, var_samp(x) FILTER (Event_Type = 'Grinder') / ng AS vg FROM long GROUP BY ALL HAVING ns >= 30 AND ng >= 30)"
 EVENT_OUT = f"""SELECT Date, Symbol, Exchange, Event_Type, {fix("Price")} AS Price, {fix('"Change_%"')} AS "Change_%", Volume FROM events"""
+ANALYSIS = f"WITH {MEANS} SELECT Time_Lag, Indicator, {fix('s')} AS AVG_Spikers, {fix('g')} AS AVG_Grinders, {fix('s - g')} AS Difference, {fix('s / nullif(g, 0)')} AS Ratio FROM means WHERE coalesce(s, g) IS NOT NULL"
+Z = 1.959963984540054
+CRITICAL = f"{Z} + {(Z**3 + Z) / 4!r} / f + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96!r} / (f * f) + {(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384!r} / (f * f * f)"
 
 
 def stats() -> str:
@@ -130,7 +158,7 @@ def stats() -> str:
     return f"WITH {RAW} " + " UNION ALL ".join(f"SELECT '{m}' AS Metric, {fix(e)} AS Value FROM {first}" for m, e in rows)
 
 
-CORRELATED = ("close", "volume", "SMA20", "price_change_5d")
+CORRELATED = ("close", "volume", "SMA20", "price_change_5d", "RSI", "MACD.macd", "ATR", "volatility_20d", "gap_up")
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]]
 RUN = "(PARTITION BY bare ORDER BY bar_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 
@@ -149,8 +177,8 @@ ORACLES = INDICATORS | {
     "event_coverage": f"""WITH {EVENTS}, n AS (SELECT e.Symbol, e.Date, (SELECT count(*) FROM bars b WHERE b.symbol = e.Symbol AND b.bar_date >= e.Date - 90 AND b.bar_date < e.Date) AS n FROM events e)
       SELECT count(*) AS total, count(*) FILTER (n >= 50) AS succeeded, count(*) FILTER (n < 50) AS failed, count(*) - count(DISTINCT (Symbol, Date)) AS cached FROM n""",
     "lag_asof": f"WITH {SAMPLED} SELECT symbol, event_date, lag, bar_date, {fix('close')} AS close, volume, {fix('price_change_1d')} AS price_change_1d FROM sampled",
-    "raw_data": f"WITH {RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, " + ", ".join(f"{fix(c)} AS {c}" for c in ("close", "volume", "SMA20", "price_change_5d", "high_52w")) + " FROM raw",
-    "lag_summary": f"WITH {MEANS} SELECT Time_Lag, Indicator, {fix('s')} AS AVG_Spikers, {fix('g')} AS AVG_Grinders, {fix('s - g')} AS Difference, {fix('s / nullif(g, 0)')} AS Ratio FROM means WHERE coalesce(s, g) IS NOT NULL",
+    "raw_data": f"WITH {EVERY_RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, " + ", ".join(f'"{c}"' if e.startswith("coalesce") else f"""{fix(f'"{c}"')} AS "{c}\"""" for c, e in EVERY.items()) + " FROM raw",
+    "lag_summary": ANALYSIS,
     "overall_stats": stats(),
     "distinct_lags": f"WITH {RAW} SELECT DISTINCT Time_Lag FROM raw",
     "latest_per_symbol": f"WITH {FRAME_CTE} SELECT symbol, event_date, bar_date, {fix('close')} AS close, {fix('SMA20')} AS SMA20, {fix('vwap')} AS VWAP FROM ind QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC, event_date DESC) = 1",
@@ -159,8 +187,20 @@ ORACLES = INDICATORS | {
     "sanitized": f"SELECT event_type, count(*) FILTER (user_id % 3 = 2 AND value IS NOT NULL) AS finite, {fix('avg(value) FILTER (user_id % 3 = 2)')} AS mean FROM events GROUP BY event_type",
     "renamed": f"WITH {SNAP} SELECT bar_date, symbol, {fix('close')} AS price, {fix('change')} AS gain FROM snap",
     "enough_samples": f"WITH {SIZES} SELECT Time_Lag, Indicator, ns AS n_spikers, ng AS n_grinders FROM sizes",
-    "welch_test": f"WITH {SIZES} SELECT Time_Lag, Indicator, {fix('(s - g) / nullif(sqrt(vs + vg), 0)')} AS t, {fix('(vs + vg) * (vs + vg) / nullif(vs * vs / (ns - 1) + vg * vg / (ng - 1), 0)')} AS freedom FROM sizes",
-    "indicator_correlations": f"WITH {RAW} " + " UNION ALL ".join(f"SELECT Time_Lag, '{a}' AS Indicator_A, '{b}' AS Indicator_B, {fix(f'corr({a}, {b})')} AS Correlation FROM raw GROUP BY Time_Lag" for a, b in PAIRS),
+    "welch_test": f"WITH {SIZES}, t AS (SELECT Time_Lag, Indicator, (s - g) / nullif(sqrt(vs + vg), 0) AS t, (vs + vg) * (vs + vg) / nullif(vs * vs / (ns - 1) + vg * vg / (ng - 1), 0) AS f FROM sizes) SELECT Time_Lag, Indicator, {fix('t')} AS t, {fix('f')} AS freedom, {fix(CRITICAL)} AS critical, abs(t) > {CRITICAL} AS significant FROM t",
+    "indicator_correlations": f"WITH {EVERY_RAW} " + " UNION ALL ".join(f"""SELECT Time_Lag, '{a}' AS Indicator_A, '{b}' AS Indicator_B, {fix(f'corr("{a}", "{b}")')} AS Correlation FROM raw GROUP BY Time_Lag""" for a, b in PAIRS),
     "retained_raw": f"WITH {RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close FROM raw WHERE Event_Date >= DATE '1998-06-01' - 90",
     "stage_round_trip": f"WITH {RAW} SELECT Time_Lag, Event_Type, count(*) AS rows, sum(volume) AS volume FROM raw WHERE Time_Lag IN ('T-1', 'T-30') GROUP BY Time_Lag, Event_Type",
+    "stage_candidates": f"WITH {EVENTS} {EVENT_OUT}",
+    "stage_append": f"WITH {EVENTS} {EVENT_OUT}",
+    "stage_raw_all": f"WITH {RAW} SELECT Time_Lag, Event_Type, count(*) AS rows, {fix('avg(close)')} AS close FROM raw WHERE Time_Lag <> 'T-3' OR Event_Type = 'Spiker' GROUP BY Time_Lag, Event_Type",
+    "stage_backup": f"WITH {EVERY_RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close, volume, {fix('RSI')} AS RSI, gap_up FROM raw",
+    "stage_analysis": ANALYSIS,
+    "stage_report": f"SELECT Time_Lag, Indicator, Difference AS Value FROM ({ANALYSIS}) UNION ALL SELECT NULL, Metric, Value FROM ({stats()})",
+    "detect_odd": f"""WITH {SNAP}, o AS (SELECT bar_date, bare, close, volume, change_abs, dayofyear(bar_date) % 6 AS k, exchange, CASE WHEN k = 3 THEN NULL ELSE change END AS change, CASE WHEN k = 4 THEN 0.1 WHEN k = 5 OR rel IS NULL THEN 0.9 ELSE rel END AS rel FROM snap),
+      l AS (SELECT o.*, x.e AS listed FROM o, (VALUES ('NASDAQ'), ('NYSE')) x(e) WHERE k = 0 OR (k <> 2 AND upper(exchange) = x.e)),
+      t AS (SELECT bar_date AS Date, CASE WHEN k = 1 THEN lower(bare) ELSE bare END AS Symbol, listed AS Exchange, close AS Price, coalesce(change, change_abs, 0) AS c, volume AS Volume, rel FROM l WHERE close > 0.5 AND volume > 35 AND change_abs IS NOT NULL)
+      SELECT Date, Symbol, Exchange, CASE WHEN c >= 15 THEN 'Spiker' ELSE 'Grinder' END AS Event_Type, {fix('Price')} AS Price, {fix('c')} AS "Change_%", Volume FROM t WHERE c >= 15 OR (c >= 0.5 AND rel >= 0.8)""",
+    "repeated_candidates": f"""WITH {SAMPLED}, twice AS (SELECT Symbol, Date, Exchange FROM events UNION ALL SELECT Symbol, Date, 'NASDAQ' FROM events WHERE day(Date) % 3 = 0)
+      SELECT e.Symbol, e.Date AS Event_Date, e.Exchange, 'T-' || s.lag AS Time_Lag, count(*) AS rows, {fix('max(s.close)')} AS close FROM twice e JOIN sampled s ON s.symbol = e.Symbol AND s.event_date = e.Date GROUP BY ALL""",
 }

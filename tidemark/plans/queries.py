@@ -77,19 +77,20 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.count_events(pipeline.events_of_bars(bar_source.line_bars(spark, sf_dir), P))
 
 
-def sliced(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
-    bars = bar_source.line_bars(spark, sf_dir).persist()
+def sliced(spark: SparkSession, sf_dir: str, p: Params = P) -> tuple[DataFrame, DataFrame]:
+    """Slices of all events with enough history, and the bars they are of."""
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
     keys = history.event_keys(pipeline.events_of_bars(bars, p))
-    return history.with_history(history.slices(keys, bars, p.lookback_days), p.min_bars)
+    return history.with_history(history.slices(keys, bars, p.lookback_days), p.min_bars), bars
 
 
 def event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sliced(spark, sf_dir).groupBy("symbol", "event_date").agg(F.count("*").alias("bars"), F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"), F.sum("volume").alias("volume"))
+    found = sliced(spark, sf_dir)[0].groupBy("symbol", "event_date").agg(F.count("*").alias("bars"), F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"), F.sum("volume").alias("volume"))
     return found
 
 
 def event_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = bar_source.line_bars(spark, sf_dir).persist()
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
     return history.coverage(pipeline.events_of_bars(bars, P), bars, P)
 
 
@@ -97,7 +98,7 @@ def indicator_query(*names: str):
     """The named indicators on the last bar before each event, and how many bars of its slice have them."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        frame = indicators.indicators(sliced(spark, sf_dir)).select("symbol", "event_date", "bar_date", *[F.col(f"`{c}`") for c in names])
+        frame = indicators.indicators(*sliced(spark, sf_dir), names, P.lookback_days)
         row = F.struct(*[F.col(f"`{c}`") for c in names])
         last = frame.groupBy("symbol", "event_date").agg(F.max_by(row, "bar_date").alias("row"), *[F.count(f"`{c}`").alias(f"n_{i}") for i, c in enumerate(names)])
         return last.select("symbol", "event_date", *[fix(F.col(f"row.`{c}`")).alias(c) for c in names], *[f"n_{i}" for i in range(len(names))])
@@ -130,35 +131,33 @@ INDICATOR_QUERIES = {
 }
 
 
-def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lags.as_of_lags(indicators.indicators(sliced(spark, sf_dir)), P.lags)
-
-
 def lag_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sampled(spark, sf_dir).select("symbol", "event_date", "lag", "bar_date", "close", "volume", "price_change_1d")
-    return fixed(found, "close", "price_change_1d")
+    found = lags.samples(*sliced(spark, sf_dir), P, ("close", "volume", "price_change_1d"))
+    return fixed(found.select("symbol", "event_date", "lag", "bar_date", "close", "volume", "price_change_1d"), "close", "price_change_1d")
 
 
 def raw(spark: SparkSession, sf_dir: str, p: Params = P) -> DataFrame:
-    return pipeline.raw_of_bars(bar_source.line_bars(spark, sf_dir), p)
+    return pipeline.raw_of_bars(pipeline.stored(bar_source.line_bars(spark, sf_dir)), p)
 
 
 def raw_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = ("close", "volume", "SMA20", "price_change_5d", "high_52w")
-    return fixed(raw(spark, sf_dir).select(*analyze.META, *columns), *columns)
+    return fixed(raw(spark, sf_dir), *VALUES)
 
 
-def lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the indicators without recursion, whose means both engines agree on."""
-    found = analyze.compare(raw(spark, sf_dir).select(*analyze.META, *SUMMED))
-    return fixed(found, "AVG_Spikers", "AVG_Grinders", "Difference", "Ratio")
+#: The published columns that aren't flags.
+VALUES = [c for c in indicators.PUBLISHED if c not in indicators.FLAGS]
 
 
-SUMMED = ("close", "volume", "SMA5", "SMA20", "price_change_1d", "price_change_5d", "high_52w", "low_52w", "gap_up", "gap_down")
+def lag_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixed(analyze.compare(raw(spark, sf_dir)), "AVG_Spikers", "AVG_Grinders", "Difference", "Ratio")
 
 
 def overall_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(analyze.statistics(raw(spark, sf_dir), P.lags), "Value")
+    """From the stage table of raw data, of whose columns three are read."""
+    found = raw(spark, sf_dir).select(*analyze.META, "close", "volume", "price_change_1d")
+    root = pipeline.shared_root(spark)
+    tables.write_raw_data(found, root)
+    return fixed(analyze.statistics(tables.read_raw_data(spark, root, found.schema, P.lags), P.lags), "Value")
 
 
 def distinct_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +165,7 @@ def distinct_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_per_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = indicators.indicators(sliced(spark, sf_dir)).select("symbol", "event_date", "bar_date", "close", "SMA20", "VWAP")
+    frame = indicators.indicators(*sliced(spark, sf_dir), ("close", "SMA20", "VWAP"), P.lookback_days)
     return fixed(lags.latest_per_symbol(frame), "close", "SMA20", "VWAP")
 
 
@@ -192,16 +191,19 @@ def renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enough_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extensions.enough_samples(raw(spark, sf_dir).select(*analyze.META, *SUMMED), P)
+    found = extensions.enough_samples(raw(spark, sf_dir), P)
     return found.select("Time_Lag", "Indicator", "n_spikers", "n_grinders")
 
 
 def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixed(extensions.welch(raw(spark, sf_dir).select(*analyze.META, *SUMMED), P), "t", "freedom")
+    return fixed(extensions.welch(raw(spark, sf_dir), P), "t", "freedom", "critical")
+
+
+CORRELATED = ("close", "volume", "SMA20", "price_change_5d", "RSI", "MACD.macd", "ATR", "volatility_20d", "gap_up")
 
 
 def indicator_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extensions.correlations(raw(spark, sf_dir).select(*analyze.META, *SUMMED), ["close", "volume", "SMA20", "price_change_5d"])
+    found = extensions.correlations(raw(spark, sf_dir), list(CORRELATED))
     return fixed(found, "Correlation")
 
 
@@ -212,17 +214,90 @@ def retained_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw data through its partitioned table: two lags are read back, by partition."""
-    import tempfile
-    import uuid
-
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-tables-")
-    root = f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    root = pipeline.shared_root(spark)
     rows = raw(spark, sf_dir).select(*analyze.META, "close", "volume")
     tables.write_raw_data(rows, root)
     back = tables.read_raw_data(spark, root, rows.schema, (1, 30))
     return back.groupBy("Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"))
 
 
+def stage_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates through their table; a write without rows leaves it as it is."""
+    root = pipeline.shared_root(spark)
+    found = pipeline.events_of_bars(pipeline.stored(bar_source.line_bars(spark, sf_dir)), P)
+    tables.write_candidates(found, root)
+    tables.write_candidates(tables.read_candidates(spark, root).limit(0), root)
+    return fixed(tables.read_candidates(spark, root), "Price", "Change_%")
+
+
+def stage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table overwritten with one class of events, and appended with the other."""
+    root = pipeline.shared_root(spark)
+    found = pipeline.stored(pipeline.events_of_bars(pipeline.stored(bar_source.line_bars(spark, sf_dir)), P), root, "found")
+    tables.write_table(found, root, "candidates")
+    tables.write_table(found.where("Event_Type = 'Spiker'"), root, "candidates")
+    tables.append_table(found.where("Event_Type = 'Grinder'"), root, "candidates")
+    return fixed(tables.read_candidates(spark, root), "Price", "Change_%")
+
+
+def stage_raw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lags of the raw table, after one lag was written again with fewer rows."""
+    root = pipeline.shared_root(spark)
+    rows = raw(spark, sf_dir).select(*analyze.META, "close")
+    tables.write_raw_data(rows, root)
+    less = pipeline.stored(tables.read_raw_data(spark, root, rows.schema, (3,)).where("Event_Type = 'Spiker'"), root, "less")
+    tables.write_raw_data(less, root)
+    return tables.read_raw_data(spark, root, rows.schema).groupBy("Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), fix(F.avg("close")).alias("close"))
+
+
+def stage_backup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw data through its CSV backup."""
+    root = pipeline.shared_root(spark)
+    rows = raw(spark, sf_dir).select(*analyze.META, "close", "volume", "RSI", "gap_up")
+    tables.write_backup(rows, root)
+    return fixed(spark.read.schema(rows.schema).option("header", True).csv(f"{root}/raw_data_csv"), "close", "RSI")
+
+
+def ran(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a run of all stages."""
+    root = pipeline.shared_root(spark)
+    pipeline.run(spark, bar_source.line_bars(spark, sf_dir), root, P)
+    return root
+
+
+def stage_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages from table to table, and the analysis they end with."""
+    return fixed(tables.read_table(spark, ran(spark, sf_dir), "analysis", tables.ANALYSIS), "AVG_Spikers", "AVG_Grinders", "Difference", "Ratio")
+
+
+def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of a run, both CSV tables read back."""
+    analysis, stats = tables.read_report(spark, ran(spark, sf_dir))
+    rows = analysis.select("Time_Lag", "Indicator", fix(F.col("Difference")).alias("Value"))
+    return rows.unionByName(stats.select(F.lit(None).cast("string").alias("Time_Lag"), F.col("Metric").alias("Indicator"), fix(F.col("Value")).alias("Value")))
+
+
+def detect_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detection on snapshots with symbols without an exchange, in lower case or of another one, and with missing measures, by the day."""
+    day = F.dayofyear("bar_date") % 6
+    odd = all_snapshots(spark, sf_dir).withColumns({
+        "symbol": F.when(day == 0, F.element_at(F.split("symbol", ":"), 2)).when(day == 1, F.lower("symbol")).when(day == 2, F.concat(F.lit("LSE:"), F.element_at(F.split("symbol", ":"), 2))).otherwise(F.col("symbol")),
+        "change": F.when(day == 3, F.lit(None).cast("double")).otherwise(F.col("change")),
+        "rec_vol_m": F.when(day == 4, F.lit(0.1)), "relative_volume_10d_calc_alt": F.lit(0.9),
+        "relative_volume_10d_calc": F.when(day == 5, F.lit(float("nan"))).otherwise(F.col("relative_volume_10d_calc")),
+    })
+    return fixed(detect.detect_history(odd, dataclasses.replace(P, exchanges=("NASDAQ", "NYSE"))), "Price", "Change_%")
+
+
+def repeated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw data where some candidates come twice, the second time without an exchange."""
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
+    found = pipeline.stored(pipeline.events_of_bars(bars, P), name="found")
+    again = found.where(F.dayofmonth("Date") % 3 == 0).withColumn("Exchange", F.lit(None).cast("string"))
+    rows = lags.collect(found.unionByName(again), bars, P)
+    return fixed(rows.groupBy("Symbol", "Event_Date", "Exchange", "Time_Lag").agg(F.count("*").alias("rows"), F.max("close").alias("close")), "close")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison. Small tables have few bars a day, so the look-back is a year."""
     p = dataclasses.replace(P, lookback_days=365)
@@ -234,6 +309,6 @@ QUERIES = {
     for f in (
         bars_daily, bars_by_nation, snapshot, screener_filter, universe_filter, exchange_filter, top_movers, detect_events, detect_snapshot, event_counts, event_history, event_coverage,
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
-        indicator_correlations, retained_raw, stage_round_trip,
+        indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
     )
 } | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()}

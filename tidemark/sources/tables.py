@@ -7,6 +7,7 @@ leaves the others.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -20,8 +21,8 @@ def read_table(spark: SparkSession, root: str, name: str, schema: str | StructTy
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     try:
         return spark.read.schema(schema).parquet(f"{root}/{name}")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
@@ -41,6 +42,9 @@ def write_table(df: DataFrame, root: str, name: str) -> None:
 
 
 def append_table(df: DataFrame, root: str, name: str) -> None:
+    """Rows beside those that are there. Spark commits them once, but a caller that runs the
+    append again adds them again: write under a new name where that may happen.
+    """
     df.write.mode("append").parquet(f"{root}/{name}")
 
 
@@ -73,8 +77,8 @@ def write_raw_data(df: DataFrame, root: str) -> None:
 
 
 def write_report(analysis: DataFrame, stats: DataFrame, root: str) -> None:
-    """Two CSV tables, each sorted in its reading order."""
-    analysis.withColumn("_lag", F.substring_index("Time_Lag", "-", -1).cast("int")).orderBy("_lag", "Indicator").drop("_lag").write.mode("overwrite").option("header", True).csv(f"{root}/summary_comparison")
+    """Two CSV tables in the order of their rows."""
+    analysis.write.mode("overwrite").option("header", True).csv(f"{root}/summary_comparison")
     stats.write.mode("overwrite").option("header", True).csv(f"{root}/statistics")
 
 
@@ -83,6 +87,11 @@ def write_backup(raw: DataFrame, root: str) -> None:
     raw.write.mode("overwrite").option("header", True).csv(f"{root}/raw_data_csv")
 
 
+def read_report(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+    read = lambda schema, name: spark.read.schema(schema).option("header", True).csv(f"{root}/{name}")
+    return read(ANALYSIS, "summary_comparison"), read(STATS, "statistics")
+
+
 def list_tables(spark: SparkSession, database: str | None = None) -> list[str]:
     """Names of the tables saved in the catalog."""
     return sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary)
