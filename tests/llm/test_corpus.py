@@ -183,7 +183,7 @@ def test_similar_texts(spark, monkeypatch):
     r.shuffle(texts)
     rows = [(1000 - i, t, "en") for i, t in enumerate(texts)] + [(None, texts[0], "en"), (1000, texts[0], "en")]
     pairs = [(i, (brute_fingerprint(t), t)) for i, t, _ in rows]
-    alike = lambda a, b: (a[0] ^ b[0]).bit_count() <= 10 and brute_similarity(a[1], b[1]) >= 0.8
+    alike = lambda a, b: (a[0] ^ b[0]).bit_count() <= 12 and brute_similarity(a[1], b[1]) >= 0.8
     want = {i for (i, _), c in zip(pairs, brute_components(pairs, alike), strict=True) if i is not None and i == c}
     by_two = {i for (i, _), c in zip(pairs, brute_components(pairs, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2), strict=True) if i is not None and i == c}
     import corpus_pipeline
@@ -196,19 +196,33 @@ def test_similar_texts(spark, monkeypatch):
 
 @pytest.mark.parametrize("tile", [4096, 50])
 def test_candidates_are_complete(spark, monkeypatch, tile):
+    """Candidates join what all pairs do that share a band, computed number by number, and are within the radius."""
     monkeypatch.setattr(simhash, "CANDIDATES", tile)
     r = random.Random(9)
-    prints = {r.getrandbits(64) for _ in range(150)}
-    for x in sorted(prints)[:60]:
-        for at in r.sample(range(64), 1 + r.randrange(2)):
-            x ^= 1 << at
-        for at in r.sample(range(64), 9):
-            x ^= 1 << at
-        prints.add(x)
-    pairs = [(simhash.signed(x), x) for x in sorted(prints)]
-    edges = simhash.candidate_links(spark.createDataFrame([(i,) for i, _ in pairs], "fp long"))
-    got = {x["node"]: x["root"] for x in simhash.components(edges).collect()}
-    assert [got.get(i, i) for i, _ in pairs] == brute_components(pairs, lambda a, b: (a ^ b).bit_count() <= 10)
+    words = [f"w{i}" for i in range(300)]
+    texts = ["", "one", "x " * 300_000]
+    for _ in range(40):
+        base = [r.choice(words) for _ in range(200)]
+        for edits in (0, 1, 3, 6, 12, 40):
+            w = list(base)
+            for _ in range(edits):
+                w[r.randrange(len(w))] = r.choice(words)
+            texts.append(" ".join(w))
+    rows, own = [], []
+    multipliers = [xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(160)]
+    for i, t in enumerate(texts):
+        w = t.split()
+        shingles = {xxhash.xxh64_intdigest(" ".join(x), 42) for x in zip(*(w[k:] for k in range(5)), strict=False)} if len(w) >= 5 else {xxhash.xxh64_intdigest(t, 42)} if w else set()
+        least = [min((m * x % (1 << 64) for x in shingles), default=(1 << 64) - 1) for m in multipliers]
+        own.append((brute_fingerprint(t), {(k // 5, *least[k : k + 5]) for k in range(0, 160, 5)}))
+        rows.append((i, t))
+    table = simhash.sketches(spark.createDataFrame(rows, "node long, text string"), ["node"], "text", 3, 5)
+    got = {x["node"]: x["root"] for x in simhash.components(simhash.candidate_links(table, 12)).collect()}
+    met = lambda a, b: (a[0] ^ b[0]).bit_count() <= 12 and bool(a[1] & b[1])
+    want = brute_components(list(enumerate(own)), met)
+    assert [got.get(i, i) for i in range(len(own))] == want and len(set(want)) < len(want)
+    similar = [(i, j) for i in range(len(texts)) for j in range(i) if abs(len(texts[i]) - len(texts[j])) < 200 and brute_similarity(texts[i], texts[j]) >= 0.8]
+    assert len(similar) > 100 and all(own[i][1] & own[j][1] for i, j in similar)
 
 
 def test_components_of_a_long_chain(spark):

@@ -229,23 +229,37 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     found = in_components(docs, doc_id, text, width, radius).where(F.col("doc_id").isNotNull())
     each = written(found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "each")
-    return one_each(docs, each.groupBy("root").agg(F.min(F.struct("doc_id", "node", "n")).alias("stay")).select("stay.*"), doc_id, text)
+    return one_each(docs, each, each.groupBy("root").agg(F.min(F.struct("doc_id", "node", "n")).alias("stay")).select("stay.*"), doc_id, text)
 
 
-def one_each(docs: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row of docs for each row of stay (doc_id, node, and n, how many rows of docs are such), and all rows without an id."""
+def one_each(docs: DataFrame, each: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs for each row of stay, and all rows without an id.
+
+    each: doc_id and node of all rows with an id; stay: some of them, and n, how
+    many rows of docs are such. Those that go are named, not those that stay:
+    mostly they are few, and Spark then sends them to the documents.
+    """
     columns = docs.columns
-    own, doc, node, n, one = free_names(columns, "_own", "_doc", "_node", "_n", "_one")
-    stay = written(stay.select(F.col("doc_id").alias(doc), F.col("node").alias(node), F.col("n").alias(n)), "stay")
-    kept = docs.withColumn(own, content(text)).join(stay, (named(doc_id) == F.col(doc)) & (F.col(own) == F.col(node)))
-    if not stay.where(F.col(n) > 1).isEmpty():
+    own, doc, node, one = free_names(columns, "_own", "_doc", "_node", "_one")
+    stay = written(stay, "stay")
+    gone = written(each.select("doc_id", "node").join(stay, ["doc_id", "node"], "left_anti").distinct().withColumnsRenamed({"doc_id": doc, "node": node}), "gone")
+    same = (named(doc_id) == F.col(doc)) & (F.col(own) == F.col(node))
+    kept = docs.withColumn(own, content(text)).join(gone, same, "left_anti")
+    again = stay.where("n > 1")
+    if not again.isEmpty():
+        again = again.select(F.col("doc_id").alias(doc), F.col("node").alias(node))
         first = Window.partitionBy(named(doc_id), own).orderBy(F.xxhash64(*map(named, columns)))
-        kept = kept.withColumn(one, F.row_number().over(first)).where(F.col(one) == 1)
-    return kept.select(*map(named, columns)).unionByName(docs.where(named(doc_id).isNull()))
+        some = kept.join(again, same).withColumn(one, F.row_number().over(first)).where(F.col(one) == 1)
+        kept = kept.join(again, same, "left_anti").select(*map(named, columns)).unionByName(some.select(*map(named, columns)))
+    return kept.select(*map(named, columns))
 
 
 #: A candidate group holds about twice so many fingerprints, a confirmed one so many texts.
 CANDIDATES, TEXTS = 4096, 256
+#: Texts that share the least shingles in all orders of a band are candidates.
+BANDS, ROWS = 32, 5
+#: Orders of shingles: a rule, so that every task has the same.
+MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -298,50 +312,62 @@ def dealt_in_tiles(rows: DataFrame, keys: list[str], each: str, tile: int) -> Da
     return meets.repartition(*keys, "t", "u").sortWithinPartitions(*keys, "t", "u")
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band, of the least shingles in as many orders as there are multipliers."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(shingles), SHINGLES_AT_ONCE >> 3):
+        part = MULTIPLIERS[:, None] * shingles[None, at : at + (SHINGLES_AT_ONCE >> 3)]
+        np.minimum(least, part.min(axis=1), out=least)
+    rows = least.reshape(BANDS, ROWS) + np.arange(BANDS, dtype=np.uint64)[:, None]
+    return (rows * MULTIPLIERS[:ROWS]).sum(axis=1, dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, keep: list[str], text: str, width: int, words: int) -> DataFrame:
+    """``keep`` columns, fp and bands (keys of the sketch of ``words``-word shingles) for every row."""
+
+    def of(texts: list) -> list:
+        return [[signed(fingerprint(t, width)) for t in texts], [sketch(shingle_set(t, words)).view(np.int64) for t in texts]]
+
+    return map_texts(docs, keep, text, pa.schema([("fp", pa.int64()), ("bands", pa.list_(pa.int64()))]), lambda: of)
+
+
 def spanning(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between positions that join the same fingerprints as all pairs within the radius do."""
-    near: list[np.ndarray] = []
-    step = max(1, (1 << 20) // max(1, len(fp)))
-    for s in range(0, len(fp), step):  # which have a neighbour at all
-        hit = (np.bitwise_count(fp[s : s + step, None] ^ fp[None, :]) <= radius).sum(axis=1) > 1
-        near.append(np.flatnonzero(hit) + s)
-    left = np.concatenate(near) if near else np.zeros(0, np.int64)
-    links = []
-    while len(left):
+    """Links between positions that join the same fingerprints as all pairs within the radius do.
+
+    What the pivot table leaves of a fingerprint's pairs is verified; whatever is
+    joined already is not compared again.
+    """
+    table = np.bitwise_count(fp[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+    left, links = np.arange(len(fp)), []
+    while len(left) > 1:
         todo, left = [int(left[0])], left[1:]
         while todo and len(left):
             i = todo.pop()
-            ok = np.bitwise_count(fp[left] ^ fp[i]) <= radius
-            found, left = left[ok].tolist(), left[~ok]
+            at = np.flatnonzero((np.abs(table[left] - table[i]) <= radius).all(axis=1))
+            at = at[np.bitwise_count(fp[left[at]] ^ fp[i]) <= radius]
+            found, left = left[at].tolist(), np.delete(left, at)
             links += [(i, j) for j in found]
             todo += found
     return links
 
 
-def candidate_links(prints: DataFrame, radius: int = 10) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within a radius below 12.
+def candidate_links(sketched: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links whose components are those of all pairs within the radius that share a band.
 
-    prints: distinct fingerprints, column fp. Of 4 blocks of 16 bits one differs in
-    2 bits at most, and so in 2 of its 4 nibbles at most: the others, one of 6 pairs
-    of nibbles, are equal. A fingerprint is thus sent 24 times, to those that share
-    the 8 bits, where all are compared.
+    sketched: node, fp and bands, one row a node. Two texts of similarity s share
+    one of 32 bands of 5 with probability 1 - (1 - s^5)^32: all but three pairs in
+    a million at 0.8, one in 13 at 0.3, one in 3000 at 0.1.
     """
-    if radius > 11:
-        raise ValueError("4 blocks of 16 bits find pairs within 11 bits")
-    pairs = [(16 * block + 4 * i, 16 * block + 4 * j) for block in range(4) for i in range(4) for j in range(i)]
-    nibble = lambda at: F.shiftrightunsigned("fp", at).bitwiseAND(F.lit(15))
-    keys = F.array(*[F.lit(256 * k) + 16 * nibble(i) + nibble(j) for k, (i, j) in enumerate(pairs)])
-    sent = prints.select("fp", F.explode(keys).alias("bits"))
-    meets = dealt_in_tiles(sent, ["bits"], "fp", CANDIDATES).select("bits", "t", "u", "fp")
+    sent = sketched.select("node", "fp", F.explode("bands").alias("band"))
+    meets = dealt_in_tiles(sent, ["band"], "node", CANDIDATES).select("band", "t", "u", "node", "fp")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ("bits", "t", "u")):
-            fp = t["fp"].to_numpy()
-            both = fp[np.array(spanning(fp.view(np.uint64), radius), np.int64).reshape(-1, 2)]
+        for t in by_group(batches, ("band", "t", "u")):
+            both = t["node"].to_numpy()[np.array(spanning(t["fp"].to_numpy().view(np.uint64), radius), np.int64).reshape(-1, 2)]
             if len(both):
                 yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
-    return meets.mapInArrow(join, "a long, b long").distinct()
+    return meets.mapInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -358,26 +384,29 @@ def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: f
     return links
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 10, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 12, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with their columns, that stay when each group of similar texts keeps its smallest id.
 
     Two texts are similar if their fingerprints (of ``width``-word shingles) are
     within the radius and the Jaccard similarity of their ``words``-word shingles
-    is at least ``similarity``; groups are the components of that. Candidate links
-    give components that hold all such pairs; within them, in tiles, texts are
-    compared pair by pair unless already joined. Texts without words are alike.
-    Rows without an id and repeated ids are as in ``drop_near_duplicates``.
+    is at least ``similarity``; groups are the components of that. Texts that share
+    a band of least shingles meet; pivot tables discard their pairs, and what is
+    left is compared by fingerprints. Those links' components hold all similar
+    pairs that met; within them, in tiles, texts are compared pair by pair unless
+    already joined. Texts without words are alike. Rows without an id and
+    repeated ids are as in ``drop_near_duplicates``.
     """
     texts = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"), content(text).alias("node"))
-    rows = fingerprints(texts, ["doc_id", "node"], "text", width)
+    rows = written(sketches(texts, ["doc_id", "node"], "text", width, words), "sketches")
     each = written(rows.groupBy("node", "doc_id").agg(F.count("*").alias("n"), F.min("fp").alias("fp")), "each")
     own = F.struct("doc_id", "node", "n")
     prints = written(each.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"), F.min("fp").alias("fp")), "prints")
-    rough = components(candidate_links(prints.select("fp").distinct(), radius)).withColumnRenamed("node", "fp").withColumnRenamed("root", "part")
-    parts = written(prints.join(rough, "fp", "left").select("node", "fp", F.coalesce("part", "fp").alias("part")), "parts")
-    many = written(parts.groupBy("part").agg(F.count("*").alias("n")).where("n > 1").select("part"), "many")
-    wanted = written(parts.join(many, "part").select("node", "fp", "part"), "wanted")
-    found = texts.groupBy("node").agg(F.first("text").alias("text")).join(wanted, "node")  # copies meet within each task first
+    sketched = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "bands")
+    rough = components(candidate_links(sketched, radius)).withColumnRenamed("root", "part")
+    # a component's root is no node of its own list; each node is read from one row of its id
+    parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", "part", F.col("first.doc_id").alias("doc_id")), "parts")
+    same = (texts["node"] == parts["node"]) & texts["doc_id"].eqNullSafe(parts["doc_id"])
+    found = texts.join(parts, same).select(parts["node"], "fp", "part", "text").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")])
     sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
     meets = dealt_in_tiles(written(sets, "shingles"), ["part"], "node", TEXTS).select("part", "t", "u", "node", "fp", "shingles")
 
@@ -391,4 +420,4 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     roots = components(meets.mapInArrow(confirm, "a long, b long").distinct())
     stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("stay")).where("stay is not null").select("stay.*")
-    return one_each(docs, stay, doc_id, text)
+    return one_each(docs, each.where("doc_id is not null"), stay, doc_id, text)
