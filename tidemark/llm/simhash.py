@@ -384,7 +384,7 @@ def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: f
     return links
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 12, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 16, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of docs, with their columns, that stay when each group of similar texts keeps its smallest id.
 
     Two texts are similar if their fingerprints (of ``width``-word shingles) are
