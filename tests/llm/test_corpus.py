@@ -192,6 +192,7 @@ def test_similar_texts(spark, monkeypatch):
     got = [x["doc_id"] for x in out.collect()]
     assert out.columns == docs(spark, rows).columns and len(want) < len(by_two)
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 1
+    assert sorted(map(str, simhash.drop_similar(docs(spark, rows), broadcast_bytes=-1).collect())) == sorted(map(str, out.collect()))
 
 
 @pytest.mark.parametrize("tile", [4096, 50])

@@ -44,6 +44,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(rows: DataFrame, most_bytes: int) -> DataFrame:
+    """A written table of ids and integers, to be broadcast if its measured size is at most that, else as it is."""
+    ids = [F.coalesce(F.octet_length(named(c).cast("string")), F.lit(0)) + 12 for c in rows.columns]
+    size = rows.agg(F.sum(sum(ids, F.lit(16)))).first()[0] or 0
+    return F.broadcast(rows) if size <= most_bytes else rows
+
+
 def free_names(taken: list[str], *stems: str) -> list[str]:
     """Column names made of the stems that no column of ``taken`` has."""
     used, out = {c.lower() for c in taken}, []

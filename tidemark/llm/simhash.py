@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_names, map_texts, named, written
+from .common import free_names, map_texts, named, sent_if_small, written
 
 BITS = 64
 #: Reference fingerprints: a rule, so that every task has the same.
@@ -232,19 +232,23 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     return one_each(docs, each, each.groupBy("root").agg(F.min(F.struct("doc_id", "node", "n")).alias("stay")).select("stay.*"), doc_id, text)
 
 
-def one_each(docs: DataFrame, each: DataFrame, stay: DataFrame, doc_id: str, text: str) -> DataFrame:
+#: What is measured to be no larger is broadcast; beyond it documents are shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def one_each(docs: DataFrame, each: DataFrame, stay: DataFrame, doc_id: str, text: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row of docs for each row of stay, and all rows without an id.
 
     each: doc_id and node of all rows with an id; stay: some of them, and n, how
-    many rows of docs are such. Those that go are named, not those that stay:
-    mostly they are few, and Spark then sends them to the documents.
+    many rows of docs are such. Those that go are named, not those that stay: if
+    they take at most ``broadcast_bytes`` they are sent to the documents.
     """
     columns = docs.columns
     own, doc, node, one = free_names(columns, "_own", "_doc", "_node", "_one")
     stay = written(stay, "stay")
     gone = written(each.select("doc_id", "node").join(stay, ["doc_id", "node"], "left_anti").distinct().withColumnsRenamed({"doc_id": doc, "node": node}), "gone")
     same = (named(doc_id) == F.col(doc)) & (F.col(own) == F.col(node))
-    kept = docs.withColumn(own, content(text)).join(gone, same, "left_anti")
+    kept = docs.withColumn(own, content(text)).join(sent_if_small(gone, broadcast_bytes), same, "left_anti")
     again = stay.where("n > 1")
     if not again.isEmpty():
         again = again.select(F.col("doc_id").alias(doc), F.col("node").alias(node))
@@ -384,7 +388,7 @@ def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: f
     return links
 
 
-def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 16, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 16, words: int = 5, similarity: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The rows of docs, with their columns, that stay when each group of similar texts keeps its smallest id.
 
     Two texts are similar if their fingerprints (of ``width``-word shingles) are
@@ -394,7 +398,9 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     left is compared by fingerprints. Those links' components hold all similar
     pairs that met; within them, in tiles, texts are compared pair by pair unless
     already joined. Texts without words are alike. Rows without an id and
-    repeated ids are as in ``drop_near_duplicates``.
+    repeated ids are as in ``drop_near_duplicates``. Which texts to compare, and
+    which rows go, is sent to the documents by broadcast if that takes at most
+    ``broadcast_bytes``, else by a shuffle.
     """
     texts = docs.select(named(doc_id).alias("doc_id"), F.coalesce(named(text), F.lit("")).alias("text"), content(text).alias("node"))
     rows = written(sketches(texts, ["doc_id", "node"], "text", width, words), "sketches")
@@ -406,7 +412,7 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     # a component's root is no node of its own list; each node is read from one row of its id
     parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", "part", F.col("first.doc_id").alias("doc_id")), "parts")
     same = (texts["node"] == parts["node"]) & texts["doc_id"].eqNullSafe(parts["doc_id"])
-    found = texts.join(parts, same).select(parts["node"], "fp", "part", "text").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")])
+    found = texts.join(sent_if_small(parts, broadcast_bytes), same).select(parts["node"], "fp", "part", "text").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")])
     sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
     meets = dealt_in_tiles(written(sets, "shingles"), ["part"], "node", TEXTS).select("part", "t", "u", "node", "fp", "shingles")
 
@@ -420,4 +426,4 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     roots = components(meets.mapInArrow(confirm, "a long, b long").distinct())
     stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("stay")).where("stay is not null").select("stay.*")
-    return one_each(docs, each.where("doc_id is not null"), stay, doc_id, text)
+    return one_each(docs, each.where("doc_id is not null"), stay, doc_id, text, broadcast_bytes)
