@@ -12,6 +12,10 @@ fingerprints is dealt into tiles of bounded size, and each pair of tiles is one
 small task group. A group returns a spanning forest of its links, never the
 pairs, so copies of a text cost links in proportion to their number. Components
 follow by alternating large and small stars.
+
+Near copies at a similarity of shingles, which lie up to 16 bits apart, share no
+bit blocks: ``drop_similar`` lets texts meet that share a band of least shingles,
+passes their pairs through the pivot tables, and confirms them by their shingles.
 """
 
 from __future__ import annotations
