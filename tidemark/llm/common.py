@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -84,6 +86,15 @@ def text_chunks(batches: Iterator[pa.RecordBatch], column: str, chars: int = CHA
             yield piece, piece[column].to_pylist()
 
 
+def give_back() -> None:
+    """What a task has freed goes back to the system: Python workers live on for the next tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def map_texts(df: DataFrame, keep: list[str], text: str, schema: pa.Schema, make: Callable[[], Callable[[list], list]], chars: int = CHARS_AT_ONCE) -> DataFrame:
     """One output row for each row of df: its ``keep`` columns and the columns of
     ``schema`` that a function computes from the text.
@@ -102,6 +113,8 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: pa.Schema, make
         for piece, texts in text_chunks(batches, own, chars):
             made = [pa.array(v, f.type) for v, f in zip(of(texts), schema, strict=True)]
             yield pa.RecordBatch.from_arrays([*piece.columns[: len(keep)], *made], names=[*keep, *schema.names])
+        of = piece = texts = made = None
+        give_back()
 
     return cut.mapInArrow(run, out)
 
@@ -113,5 +126,7 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], l
         keep = make()
         for piece, texts in text_chunks(batches, text):
             yield piece.filter(pa.array(keep(texts), pa.bool_()))
+        keep = piece = texts = None
+        give_back()
 
     return df.mapInArrow(run, df.schema)
