@@ -414,9 +414,12 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     sketched = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "bands")
     rough = components(candidate_links(sketched, radius)).withColumnRenamed("root", "part")
     # a component's root is no node of its own list; each node is read from one row of its id
-    parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", "part", F.col("first.doc_id").alias("doc_id")), "parts")
+    parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", "part", F.col("first.doc_id").alias("doc_id"), (F.coalesce("first.n", F.lit(2)) > 1).alias("again")), "parts")
     same = (texts["node"] == parts["node"]) & texts["doc_id"].eqNullSafe(parts["doc_id"])
-    found = texts.join(sent_if_small(parts, broadcast_bytes), same).select(parts["node"], "fp", "part", "text").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")])
+    met = texts.join(sent_if_small(parts, broadcast_bytes), same).select(parts["node"], "fp", "part", "again", "text")
+    found = met.where(~F.col("again")).select("node", "fp", "part", "text")
+    if not parts.where("again").isEmpty():  # only rows that repeat must be brought together
+        found = found.unionByName(met.where("again").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")]))
     sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
     meets = dealt_in_tiles(written(sets, "shingles"), ["part"], "node", TEXTS).select("part", "t", "u", "node", "fp", "shingles")
 
