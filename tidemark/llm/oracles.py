@@ -62,4 +62,47 @@ SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(len(kept), 0)::BIGINT A
 FROM documents LEFT JOIN k USING (doc_id)
 """
 
-ORACLES = {"op2_decontaminate": OP2, "op3_secret_ledger": OP3, "op9_warc": OP9, "op10_line_dedup": OP10}
+#: Rows are kept if no component is missing; parts as lists of whole numbers, which doubles hold exactly.
+OP11_ROWS = """kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, q[p * 16 + 1:p * 16 + 16] AS x FROM kept, range(0, 4) r(p)),
+e0 AS MATERIALIZED (SELECT p, e, x FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e FROM parts) WHERE e < 256)"""
+
+
+def op11() -> str:
+    """Four rounds written out, each an assignment and the means."""
+    d = "list_inner_product(a.x, a.x) + list_inner_product(b.x, b.x) - 2 * list_inner_product(a.x, b.x)"
+    near = lambda r: f"n{r} AS MATERIALIZED (SELECT vec_id, label, a.p, any_value(a.x) AS x, arg_min(b.e, ({d}, b.e)) AS e, min({d}) AS d FROM parts a JOIN e{r} b ON a.p = b.p GROUP BY vec_id, label, a.p)"
+    means = lambda r: f"""m{r} AS (SELECT p, e, list(floor(v / n) ORDER BY i) AS x FROM (SELECT p, e, i, sum(x[i]) AS v, count(*) AS n FROM n{r}, range(1, 17) t(i) GROUP BY ALL) GROUP BY p, e),
+e{r + 1} AS MATERIALIZED (SELECT o.p, o.e, coalesce(m{r}.x, o.x) AS x FROM e{r} o LEFT JOIN m{r} ON o.p = m{r}.p AND o.e = m{r}.e)"""
+    rounds = ", ".join(f"{near(r)}, {means(r)}" for r in range(4))
+    return f"""WITH {OP11_ROWS}, {rounds}, {near(4)},
+codes AS (SELECT vec_id, label, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM n4 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: v::BIGINT), ','), ',' ORDER BY p, e)) AS h FROM e4)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, (SELECT h FROM books) AS codebooks_sha256 FROM codes"""
+
+
+#: Distinct sets meet if their sizes allow the similarity; components by repeated steps to smaller ids.
+OP12 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+c AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS id FROM s WHERE len(s) > 0 GROUP BY s),
+l AS MATERIALIZED (SELECT a, b FROM (SELECT a.id AS a, b.id AS b, a.n + b.n AS total, len(list_intersect(a.s, b.s)) AS common FROM c a JOIN c b ON a.id < b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n) WHERE 100 * common >= 80 * (total - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT id AS a, id AS r FROM c UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.a WHERE reach.r < e.b),
+root AS (SELECT a, min(r) AS r FROM reach GROUP BY a)
+SELECT doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(r, doc_id) AS component_id, coalesce(r, doc_id) = doc_id AS kept
+FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN root ON root.a = c.id
+"""
+
+OP13 = """
+WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+ORACLES = {"op2_decontaminate": OP2, "op3_secret_ledger": OP3, "op9_warc": OP9, "op10_line_dedup": OP10, "op11_vector_codes": op11(), "op12_minmax": OP12, "op13_hard_negatives": OP13}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language_id, lines, media, personal_data, secrets, simhash, tokens, warc
+from . import decontaminate, hard_negatives, html_text, language_id, lines, media, minmax, personal_data, secrets, simhash, tokens, vector_codes, warc
 from .common import fresh_dir
 from .oracles import ORACLES  # noqa: F401
 
@@ -75,4 +75,27 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_kept", F.array_join(F.col("kept").cast("array<string>"), ",").alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontaminate, op3_secret_ledger, op4_personal_data, op5_media_columns, op6_html_text, op7_sentencepiece, op8_simhash, op9_warc, op10_line_dedup)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    digits = F.array_join(F.transform("code", lambda x: F.lower(F.lpad(F.hex(x), 2, "0"))), "")
+    return vector_codes.with_label_errors(codes).select("vec_id", digits.alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+def op12_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids divisible by 7 are moved to the next one; anchors are the ids divisible by 50."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_decontaminate, op3_secret_ledger, op4_personal_data, op5_media_columns, op6_html_text, op7_sentencepiece, op8_simhash, op9_warc, op10_line_dedup,
+        op11_vector_codes, op12_minmax, op13_hard_negatives,
+    )
+}
