@@ -60,6 +60,3 @@ def ema(x: Column, seen: Column, alpha: float, n: int, w: WindowSpec) -> Column:
     first = F.first(x, ignorenulls=True).over(cumulative(w))
     return F.when(seen >= n, F.pow(F.lit(beta), i) * (alpha * total + beta * first))
 
-
-def wilder(x: Column, seen: Column, n: int, w: WindowSpec) -> Column:
-    return ema(x, seen, 1.0 / n, n, w)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tidemark.operators.quantiles import exact_medians
+
 META = ("Symbol", "Event_Date", "Event_Type", "Exchange", "Time_Lag")
 
 
@@ -51,17 +53,12 @@ def first_named(raw: DataFrame, parts: tuple[str, ...], whole: bool) -> str | No
     return None
 
 
-#: percentile_approx errs by a rank in so many at most.
-ACCURACY = 10_000
-
-
 def statistics(raw: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     """(Metric, Value) over the first lag that has rows; counts of 0 and ratios of 0 without any.
 
     One aggregation gives a row for each lag, of which the first in the order of
-    ``lags`` is taken. It brackets the medians as well: approximate quantiles just below and
-    above the middle hold the exact one between them, and of the values there, a 2 500th of
-    all, the middle is counted off in a second pass over three columns of raw.
+    ``lags`` is taken. Exact medians of its prices are selected, from brackets that are narrowed
+    until they hold few values.
     """
     change, price, volume = first_named(raw, ("change", "cambio"), False), first_named(raw, ("price", "close"), True), first_named(raw, ("volume",), True)
     kinds = (("spiker", "Spiker"), ("grinder", "Grinder"))
@@ -69,10 +66,6 @@ def statistics(raw: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     aggregates = {f"total_{k}s": F.count_if(F.col("Event_Type") == kind).cast("double") for k, kind in kinds}
     for c, name in ((change, "avg_{}_change_pct"), (price, "avg_{}_price"), (volume, "avg_{}_volume")):
         aggregates |= {name.format(k): F.avg(of(kind, c)) for k, kind in kinds if c}
-    around = [0.5 - 2 / ACCURACY, 0.5 + 2 / ACCURACY]
-    if price:
-        aggregates |= {f"{k}_around": F.percentile_approx(of(kind, price).cast("double"), around, ACCURACY) for k, kind in kinds}
-        aggregates |= {f"{k}_values": F.count(of(kind, price)) for k, kind in kinds}
     each = raw.groupBy("Time_Lag").agg(*[m.alias(k) for k, m in aggregates.items()]).withColumn("_order", order[F.col("Time_Lag")]).where("_order is not null")
     names = ["Time_Lag", *aggregates]
     first = each.agg(F.min_by(F.struct(*names), "_order").alias("first"))  # a row for each lag comes here
@@ -82,24 +75,13 @@ def statistics(raw: DataFrame, lags: tuple[int, ...]) -> DataFrame:
     metrics |= {name: F.col(f"first.{name}") for name in aggregates if name.startswith("avg_")}
     one = first
     if price:
-        one = first.crossJoin(F.broadcast(medians(raw, first, price, kinds)))  # a row by a row
+        rows = raw.join(F.broadcast(first.select("first.Time_Lag")), "Time_Lag").where(F.col("Event_Type").isin([kind for _, kind in kinds]))
+        medians = exact_medians(rows, ["Event_Type"], price)
+        mine = lambda kind: F.max(F.when(F.col("Event_Type") == kind, F.col("median")))
+        one = first.crossJoin(F.broadcast(medians.agg(*[mine(kind).alias(f"median_{k}") for k, kind in kinds])))  # a row by a row
         metrics |= {f"median_{k}_price": F.col(f"median_{k}") for k, _ in kinds}
     return one.select(*[m.alias(k) for k, m in metrics.items()]).selectExpr(f"stack({len(metrics)}, " + ", ".join(f"{text(k)}, {k}" for k in metrics) + ") as (Metric, Value)")
 
 
-def medians(raw: DataFrame, first: DataFrame, price: str, kinds: tuple) -> DataFrame:
-    """One row with the exact median of each kind at the first lag."""
-    bracket = first.select("first.Time_Lag", F.explode(F.array(*[F.struct(F.lit(kind).alias("Event_Type"), F.col(f"first.{k}_around").alias("around"), F.col(f"first.{k}_values").alias("values")) for k, kind in kinds])).alias("b")).select("Time_Lag", "b.*")
-    rows = raw.select("Time_Lag", "Event_Type", F.col(f"`{price}`").cast("double").alias("x")).where("x is not null").join(F.broadcast(bracket), ["Time_Lag", "Event_Type"])
-    inside = F.when(F.col("x") >= F.col("around")[0], F.col("x"))  # what lies below counts as one row
-    some = rows.where(F.col("x") <= F.col("around")[1]).groupBy("Event_Type", "values", inside.alias("x")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("Event_Type").orderBy(F.col("x").asc_nulls_first()))
-    holds = lambda rank: F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("x"))
-    ranked = some.withColumn("upto", upto)
-    low, high = holds(F.floor((F.col("values") - 1) / 2)), holds(F.floor(F.col("values") / 2))
-    mine = lambda c, kind: F.max(F.when(F.col("Event_Type") == kind, c))
-    return ranked.agg(*[((mine(low, kind) + mine(high, kind)) / 2).alias(f"median_{k}") for k, kind in kinds])
-
-
 def distinct_lags(raw: DataFrame) -> DataFrame:
     return raw.select("Time_Lag").distinct()

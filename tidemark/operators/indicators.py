@@ -2,7 +2,7 @@
 
 Columns whose frame has a fixed length don't depend on where a slice begins, but for
 the rows too near its beginning, where they are NULL. They are computed once a bar, over
-the symbol's history, and joined to the rows that are wanted. Recursive averages, the VWAP,
+the symbol's history in blocks with halos, and joined to the rows that are wanted. Recursive averages, the VWAP,
 the extremes of a year and what looks at a slice's first bar are computed in each slice: windows
 partitioned by event and ordered by day, so that one shuffle and one sort serve them all.
 Columns have plain names here; ``NAMES`` gives the published ones, in their order.
@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import cumulative, ema, flag, full, percent, trailing, wilder
+from tidemark.functions.columns import cumulative, ema, flag, full, percent, trailing
+from tidemark.operators import blocks
+from tidemark.operators.blocks import Average
 
 EVENT = ("symbol", "event_date")
 EMAS = (5, 10, 20, 50, 100, 200)
@@ -49,11 +51,19 @@ DEPTH = (
 )
 
 
-def bar_frame(bars: DataFrame) -> DataFrame:
-    """symbol, bar_date and the columns of DEPTH, once for each bar, over the symbol's history (a row a day)."""
-    w = Window.partitionBy("symbol").orderBy("bar_date")
+#: The bars whose columns of DEPTH a task computes; as many as the longest frame precede them.
+BLOCK_ROWS = 2048
+
+
+def bar_frame(bars: DataFrame, rows: int = BLOCK_ROWS) -> DataFrame:
+    """symbol, bar_date and the columns of DEPTH, once for each bar, over the symbol's history (a row a day).
+
+    A history is cut into blocks of ``rows`` bars with the bars before that the frames reach back to.
+    """
+    w = Window.partitionBy("symbol", "block").orderBy("bar_date")
     c, v, tp, hl2 = F.col("close"), F.col("volume"), F.col("tp"), F.col("hl2")
-    base = bars.select("symbol", "bar_date", "open", "high", "low", "close", "volume").withColumns(
+    placed = blocks.positions(bars.select("symbol", "bar_date", "open", "high", "low", "close", "volume"), ["symbol"], "bar_date", blocks.days("bar_date", rows))
+    base = blocks.with_halo(placed, rows, max(DEPTH.values())).withColumns(
         {f"c{k}": F.lag("close", k).over(w) for k in (1, 3, 5, 10, 20)} | {"tp": (F.col("high") + F.col("low") + c) / 3, "hl2": (F.col("high") + F.col("low")) / 2}
     )
     changed = base.withColumns({f"price_change_{k}d": percent(c, F.col(f"c{k}")) for k in (1, 3, 5, 10, 20)} | {"gap_pct": F.try_divide(F.col("open") - F.col("c1"), F.col("c1")) * 100})
@@ -73,24 +83,28 @@ def bar_frame(bars: DataFrame) -> DataFrame:
         "bb_width": F.try_divide(F.col("bb_upper") - F.col("bb_lower"), F.col("bb_middle")) * 100, "bb_power": F.try_divide(c - F.col("bb_lower"), F.col("bb_upper") - F.col("bb_lower")),
         "stoch_d": full(F.avg, F.col("stoch_k"), w, 3),
     }).withColumns({"stoch_k_1": F.lag("stoch_k").over(w), "stoch_d_1": F.lag("stoch_d").over(w)})
-    return out.select("symbol", "bar_date", *DEPTH)
+    return out.where(~F.col("in_halo")).select("symbol", "bar_date", *DEPTH)
 
 
-def base(sliced: DataFrame) -> DataFrame:
-    """What columns of a slice share: last values, differences, ranges, counts."""
-    w = window()
+def movements(bars: DataFrame, w) -> DataFrame:
+    """What a bar shows beside the one before it: gains, losses, directional movement, true range."""
     c = F.col("close")
-    lagged = sliced.withColumns({"place": F.row_number().over(w) - 1, "c1": F.lag("close").over(w), "h1": F.lag("high").over(w), "l1": F.lag("low").over(w)})
+    lagged = bars.withColumns({"c1": F.lag("close").over(w), "h1": F.lag("high").over(w), "l1": F.lag("low").over(w)})
     delta, up, down = c - F.col("c1"), F.col("high") - F.col("h1"), F.col("l1") - F.col("low")
     zero = F.lit(0.0)
-    made = lagged.withColumns({
+    return lagged.withColumns({
         "gain": F.when(delta.isNotNull(), F.greatest(delta, zero)), "loss": F.when(delta.isNotNull(), F.greatest(-delta, zero)),
         "plus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((up > down) & (up > 0), up).otherwise(zero)),
         "minus_dm": F.when(up.isNotNull() & down.isNotNull(), F.when((down > up) & (down > 0), down).otherwise(zero)),
         "tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("c1")), F.abs(F.col("low") - F.col("c1"))),
-        "bp": c - F.least(F.col("low"), F.col("c1")), "tp": (F.col("high") + F.col("low") + c) / 3,
     })
-    return made.withColumns({f"n_{x}": F.count(x).over(cumulative(w)) for x in ("close", "gain", "plus_dm", "tr")})
+
+
+def base(sliced: DataFrame) -> DataFrame:
+    """What columns of a slice share."""
+    w = window()
+    made = movements(sliced.withColumn("place", F.row_number().over(w) - 1), w)
+    return made.withColumns({"bp": F.col("close") - F.least(F.col("low"), F.col("c1")), "tp": (F.col("high") + F.col("low") + F.col("close")) / 3})
 
 
 def from_the_start(df: DataFrame, longest: int | None) -> DataFrame:
@@ -106,26 +120,62 @@ def from_the_start(df: DataFrame, longest: int | None) -> DataFrame:
     return out.withColumns({"price_vs_high_52w": percent(F.col("close"), F.col("high_52w")), "price_vs_low_52w": percent(F.col("close"), F.col("low_52w"))})
 
 
-def recursive(df: DataFrame) -> DataFrame:
-    """Exponential averages and what rests on them."""
+#: Averages of what a bar shows, and those of what rests on them.
+FIRST = (
+    [Average(f"ema{k}", "close", 2 / (k + 1), k) for k in EMAS] + [Average("fast", "close", 2 / 13, 12), Average("slow", "close", 2 / 27, 26), Average("atr", "tr", 1 / 14, 14)]
+    + [Average(f"avg_{x}", x, 1 / 14, 14) for x in ("gain", "loss", "plus_dm", "minus_dm")]
+)
+SECOND = [Average("macd_signal", "macd", 0.2, 9), Average("adx", "dx", 1 / 14, 14)]
+#: A slice has a bar a day at most, and (2/3) ** -1700 is the last power of its kind that a double holds well.
+LONGEST_SUM = 1700
+
+
+def averages_in_slices(df: DataFrame, series: list[Average], longest: int | None) -> DataFrame:
+    """The averages over each slice: as running sums where slices are known to be short enough, else block by block."""
+    if not longest or longest > LONGEST_SUM:
+        cut = df.withColumn("block", F.floor(F.col("place") / blocks.BLOCK_ROWS))
+        return blocks.averages(cut, series, list(EVENT), "bar_date").drop("block")
     w = window()
-    c, n = F.col("close"), F.col("n_close")
-    fast = df.withColumns(
-        {f"ema{k}": ema(c, n, 2 / (k + 1), k, w) for k in EMAS}
-        | {"macd": ema(c, n, 2 / 13, 12, w) - ema(c, n, 2 / 27, 26, w), "atr": wilder(F.col("tr"), F.col("n_tr"), 14, w)}
-        | {"avg_gain": wilder(F.col("gain"), F.col("n_gain"), 14, w), "avg_loss": wilder(F.col("loss"), F.col("n_gain"), 14, w)}
-        | {f"avg_{x}": wilder(F.col(x), F.col("n_plus_dm"), 14, w) for x in ("plus_dm", "minus_dm")}
-    )
-    derived = fast.withColumns({
+    values = list(dict.fromkeys(s.value for s in series))
+    seen = {v: f"_seen{i}" for i, v in enumerate(values)}
+    counted = df.withColumns({seen[v]: F.count(v).over(cumulative(w)) for v in values})
+    return counted.withColumns({s.name: ema(F.col(s.value), F.col(seen[s.value]), s.alpha, s.least, w) for s in series}).drop(*seen.values())
+
+
+def between_averages(df: DataFrame) -> DataFrame:
+    """What rests on the first averages."""
+    c = F.col("close")
+    made = df.withColumns({
+        "macd": F.col("fast") - F.col("slow"),
         "rsi": F.when(F.col("avg_loss") == 0, 100.0).otherwise(100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("avg_gain", "avg_loss"))),
         "di_plus": F.try_divide("avg_plus_dm", "atr") * 100, "di_minus": F.try_divide("avg_minus_dm", "atr") * 100,
         "ema20_above_ema50": flag(F.col("ema20") > F.col("ema50")), "ema50_above_ema200": flag(F.col("ema50") > F.col("ema200")),
         "price_above_ema20": flag(c > F.col("ema20")), "ema10_above_ema20": flag(F.col("ema10") > F.col("ema20")),
     })
-    dx = F.try_divide(F.abs(F.col("di_plus") - F.col("di_minus")), F.col("di_plus") + F.col("di_minus")) * 100
-    counted = derived.withColumns({"dx": dx, "rsi_1": F.lag("rsi").over(w)}).withColumns({"n_macd": F.count("macd").over(cumulative(w)), "n_dx": F.count("dx").over(cumulative(w))})
-    signal = ema(F.col("macd"), F.col("n_macd"), 0.2, 9, w)
-    return counted.withColumns({"macd_signal": signal, "macd_diff": F.col("macd") - signal, "adx": wilder(F.col("dx"), F.col("n_dx"), 14, w)})
+    return made.withColumn("dx", F.try_divide(F.abs(F.col("di_plus") - F.col("di_minus")), F.col("di_plus") + F.col("di_minus")) * 100)
+
+
+def recursive(df: DataFrame, longest: int | None) -> DataFrame:
+    """Exponential averages of slices and what rests on them."""
+    derived = between_averages(averages_in_slices(df, FIRST, longest)).withColumn("rsi_1", F.lag("rsi").over(window()))
+    return averages_in_slices(derived, SECOND, longest).withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+
+
+#: Columns of whole_histories.
+RECURSIVE = (*[f"ema{k}" for k in EMAS], "macd", "macd_signal", "macd_diff", "rsi", "atr", "di_plus", "di_minus", "adx")
+
+
+def whole_histories(bars: DataFrame, rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+    """symbol, bar_date and the columns of RECURSIVE for every bar, over the symbol's history from its first bar on.
+
+    Histories of any length: tasks hold blocks of ``rows`` bars.
+    """
+    placed = blocks.positions(bars.select("symbol", "bar_date", "high", "low", "close"), ["symbol"], "bar_date", blocks.days("bar_date", rows))
+    w = Window.partitionBy("symbol", "block").orderBy("bar_date")
+    made = movements(blocks.with_halo(placed, rows, 1), w).where(~F.col("in_halo"))
+    derived = between_averages(blocks.averages(made, FIRST, ["symbol"], "bar_date"))
+    out = blocks.averages(derived, SECOND, ["symbol"], "bar_date").withColumn("macd_diff", F.col("macd") - F.col("macd_signal"))
+    return out.select("symbol", "bar_date", *RECURSIVE)
 
 
 def slice_frame(sliced: DataFrame, longest: int | None = None) -> DataFrame:
@@ -134,7 +184,7 @@ def slice_frame(sliced: DataFrame, longest: int | None = None) -> DataFrame:
     sliced: bars of events, dealt by event. Columns that a later select leaves
     out are pruned with their windows.
     """
-    made = recursive(from_the_start(base(sliced), longest))
+    made = recursive(from_the_start(base(sliced), longest), longest)
     return made.select(*EVENT, "bar_date", "place", *[c for c in NAMES.values() if c not in DEPTH])
 
 

@@ -6,10 +6,6 @@ import datetime
 from dataclasses import dataclass
 
 
-#: A slice has a bar a day at most, and (2/3) ** -1700 is the last power of its kind that a double holds well.
-LONGEST_LOOKBACK = 1700
-
-
 @dataclass(frozen=True)
 class Params:
     exchanges: tuple[str, ...] = ("NASDAQ", "NYSE", "AMEX")
@@ -29,10 +25,9 @@ class Params:
     #: The day a snapshot stands for; None is today.
     as_of: datetime.date | None = None
 
-
     def __post_init__(self) -> None:
-        if not 0 < self.lookback_days <= LONGEST_LOOKBACK:
-            raise ValueError(f"lookback_days must be 1 to {LONGEST_LOOKBACK}: the recursive averages leave a double's range beyond")
+        if self.lookback_days < 1:
+            raise ValueError("lookback_days must be 1 or more")
 
 
 #: For bars made of the order lines: volumes there average about a hundred.

@@ -162,7 +162,68 @@ CORRELATED = ("close", "volume", "SMA20", "price_change_5d", "RSI", "MACD.macd",
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]]
 RUN = "(PARTITION BY bare ORDER BY bar_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 
+
+
+def whole(bars: str) -> str:
+    """Recursive averages of whole histories, a bar after the other: h holds each symbol's state after its bar i."""
+    step = lambda y, x, a: f"CASE WHEN {x} IS NULL THEN {y} WHEN {y} IS NULL THEN {x} ELSE {1 - a!r} * {y} + {a!r} * {x} END"
+    plain = [(f"e{n}", "close", 2 / (n + 1)) for n in (*EMAS, 12, 26)] + [(f"w_{x}", x, 1 / 14) for x in ("tr", "gain", "loss", "pdm", "mdm")]
+    later = [("sig", "macd", 0.2), ("wdx", "dx", 1 / 14)]
+    macd = "CASE WHEN i >= 26 THEN e12 - e26 END"
+    di = lambda m: f"CASE WHEN i >= 15 THEN 100 * w_{m} / nullif(w_tr, 0) END"
+    dx = f"100 * abs(({di('pdm')}) - ({di('mdm')})) / nullif(({di('pdm')}) + ({di('mdm')}), 0)"
+    names = [n for n, _, _ in plain]
+    start = ", ".join(f"{x} AS {n}" for n, x, _ in plain)
+    more = ", ".join(f"{step('h.' + n, 'b.' + x, a)} AS {n}" for n, x, a in plain)
+    second = ", ".join(f"{step('s.' + n, 't.' + x, a)} AS {n}" for n, x, a in later)
+    return f"""WITH RECURSIVE bars AS ({bars}),
+    lagged AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS c1, lag(high) OVER w AS h1, lag(low) OVER w AS l1 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)),
+    b AS MATERIALIZED (SELECT symbol, bar_date, i, close, CASE WHEN c1 IS NOT NULL THEN greatest(close - c1, 0) END AS gain, CASE WHEN c1 IS NOT NULL THEN greatest(c1 - close, 0) END AS loss,
+      CASE WHEN h1 IS NOT NULL THEN CASE WHEN high - h1 > l1 - low AND high - h1 > 0 THEN high - h1 ELSE 0 END END AS pdm, CASE WHEN h1 IS NOT NULL THEN CASE WHEN l1 - low > high - h1 AND l1 - low > 0 THEN l1 - low ELSE 0 END END AS mdm,
+      greatest(high - low, abs(high - c1), abs(low - c1)) AS tr FROM lagged),
+    h AS (SELECT symbol, bar_date, i, {start} FROM b WHERE i = 1 UNION ALL SELECT b.symbol, b.bar_date, b.i, {more} FROM h JOIN b ON b.symbol = h.symbol AND b.i = h.i + 1),
+    t AS MATERIALIZED (SELECT symbol, bar_date, i, {', '.join(names)}, {macd} AS macd, {dx} AS dx FROM h),
+    s AS (SELECT symbol, i, macd AS sig, dx AS wdx FROM t WHERE i = 1 UNION ALL SELECT t.symbol, t.i, {second} FROM s JOIN t ON t.symbol = s.symbol AND t.i = s.i + 1),
+    d AS (SELECT t.*, s.sig, s.wdx, count(dx) OVER (PARTITION BY t.symbol ORDER BY t.i) AS n_dx FROM t JOIN s ON s.symbol = t.symbol AND s.i = t.i)
+    SELECT symbol, bar_date, {', '.join(f"{fix(f'CASE WHEN i >= {n} THEN e{n} END')} AS ema{n}" for n in EMAS)}, {fix('macd')} AS macd, {fix('CASE WHEN i >= 34 THEN sig END')} AS macd_signal,
+      {fix('CASE WHEN i >= 34 THEN macd - sig END')} AS macd_diff, {fix('CASE WHEN i >= 15 THEN CASE WHEN w_loss = 0 THEN 100 ELSE 100 - 100 / (1 + w_gain / nullif(w_loss, 0)) END END')} AS rsi,
+      {fix('CASE WHEN i >= 14 THEN w_tr END')} AS atr, {fix(di('pdm'))} AS di_plus, {fix(di('mdm'))} AS di_minus, {fix('CASE WHEN n_dx >= 14 THEN wdx END')} AS adx FROM d"""
+
+
+def over_symbol(sql: str) -> str:
+    """Frames of slices as frames of whole histories."""
+    return sql.replace("PARTITION BY symbol, event_date", "PARTITION BY symbol")
+
+
+BAR_STEP = f"""bars AS ({BARS}), step AS (SELECT *, (high + low) / 2 AS hl2, (close / nullif(lag(close) OVER w, 0) - 1) * 100 AS chg, close - lag(close, 10) OVER w AS mom FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)),
+  k AS (SELECT *, 100 * (close - ({over_symbol(LL)})) / nullif(({over_symbol(HH)}) - ({over_symbol(LL)}), 0) AS k FROM step), d AS (SELECT *, {over_symbol(full('avg', 'k', 3))} AS d FROM k)"""
+BAR_FRAME = {
+    "sma50": full("avg", "close", 50), "sma200": full("avg", "close", 200), "price_change_20d": "(close / nullif(lag(close, 20) OVER w, 0) - 1) * 100", "stoch_d_1": "lag(d) OVER w",
+    "ao": f"({full('avg', 'hl2', 5)}) - ({full('avg', 'hl2', 34)})", "volatility_20d": f"({full('stddev_samp', 'chg', 20)}) * sqrt(252)", "mom_1": "lag(mom) OVER w", "volume_sma20": full("avg", "volume", 20),
+}
+YEAR_SLICES = SLICES.replace("e.event_date - 90", "e.event_date - 400")
+YEAR_EMA = f"""WITH {YEAR_SLICES}, l AS (SELECT symbol, event_date, count(*) AS bars, max(bar_date) AS day, list(close ORDER BY bar_date) AS xs FROM slices GROUP BY ALL),
+  e AS (SELECT symbol, event_date, bars, {', '.join(f"{fold('xs', 2 / (n + 1), n)} AS e{n}" for n in (50, 100, 200))} FROM l)
+  SELECT symbol, event_date, bars, {fix('e100')} AS EMA100, {fix('e200')} AS EMA200, coalesce(e50 > e200, false)::INT::DOUBLE AS EMA50_above_EMA200 FROM e"""
+
+
+def of_last(columns: dict[str, str]) -> str:
+    """Aggregates over the last rows of slices of 400 days."""
+    made = ", ".join(f'{fix(e)} AS "{c}"' for c, e in columns.items())
+    return f"WITH {YEAR_SLICES}, r AS (SELECT *, row_number() OVER (PARTITION BY symbol, event_date ORDER BY bar_date DESC) AS k FROM slices) SELECT symbol, event_date, count(*) AS bars, {made} FROM r GROUP BY symbol, event_date"
+
+
+LAST_CLOSE, TOP, BOTTOM = "max(close) FILTER (k = 1)", "max(high) FILTER (k <= 252)", "min(low) FILTER (k <= 252)"
+QUARTILES = " UNION ".join(f"SELECT l_returnflag, l_linestatus, ((n - 1) * {k} // 4)::BIGINT AS rank, xs[(n - 1) * {k} // 4 + 1]::DOUBLE AS price FROM l" for k in range(5))
+
 ORACLES = INDICATORS | {
+    "recursive_histories": whole(BARS),
+    "recursive_by_nation": whole(NATION_BARS),
+    "frames_in_blocks": f"WITH {BAR_STEP} SELECT symbol, bar_date, " + ", ".join(f"{fix(over_symbol(e))} AS {c}" for c, e in BAR_FRAME.items()) + " FROM d WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)",
+    "exact_quartiles": f"WITH l AS (SELECT l_returnflag, l_linestatus, count(*) AS n, list(l_extendedprice ORDER BY l_extendedprice) AS xs FROM lineitem GROUP BY ALL) {QUARTILES}",
+    "year_ema": YEAR_EMA,
+    "year_sma": of_last({f"SMA{n}": f"CASE WHEN count(*) >= {n} THEN avg(close) FILTER (k <= {n}) END" for n in (100, 200)}),
+    "year_extremes": of_last({"high_52w": TOP, "low_52w": BOTTOM, "price_vs_high_52w": f"({LAST_CLOSE} / nullif({TOP}, 0) - 1) * 100", "price_vs_low_52w": f"({LAST_CLOSE} / nullif({BOTTOM}, 0) - 1) * 100"}),
     "bars_daily": BARS,
     "bars_by_nation": NATION_BARS,
     "snapshot": f"WITH {SNAP} SELECT bar_date, market, symbol, {fix('close')} AS close, {fix('change')} AS change, {fix('change_abs')} AS change_abs, volume, {fix('rel')} AS relative_volume_10d_calc FROM snap",

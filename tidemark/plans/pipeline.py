@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators import analyze, detect, lags
 from tidemark.params import Params
 from tidemark.sources import bars as bar_source
 from tidemark.sources import tables
+from tidemark.sources.shared import shared_root, stored  # noqa: F401
 
 
 def events_of_bars(bars: DataFrame, p: Params) -> DataFrame:
@@ -18,24 +16,6 @@ def events_of_bars(bars: DataFrame, p: Params) -> DataFrame:
     return detect.detect_history(bar_source.snapshots(bars), p)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """A new folder below the one that driver and executors share, from ``spark.checkpoint.dir``;
-    only where the session names none (tests on one machine) is a temporary one made and set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        shared = tempfile.mkdtemp(prefix="spark-tables-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-        spark.sparkContext.setCheckpointDir(shared)
-    return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, root: str | None = None, name: str = "bars") -> DataFrame:
-    """df as a stage table, read again: several branches of a plan read it then, and nothing stays in memory."""
-    root = root or shared_root(df.sparkSession)
-    tables.write_table(df, root, name)
-    return tables.read_table(df.sparkSession, root, name, df.schema)
-
-
 def raw_of_bars(bars: DataFrame, p: Params) -> DataFrame:
     """Raw data for every event of a table of bars, which two branches read."""
     return lags.collect(events_of_bars(bars, p), bars, p)

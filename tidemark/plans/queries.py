@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite_columns
-from tidemark.operators import analyze, detect, extensions, history, indicators, lags
+from tidemark.operators import analyze, detect, extensions, history, indicators, lags, quantiles
 from tidemark.params import LINE_BARS, Params
 from tidemark.plans import pipeline
 from tidemark.plans.oracles import ORACLES  # noqa: F401
@@ -298,6 +298,56 @@ def repeated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed(rows.groupBy("Symbol", "Event_Date", "Exchange", "Time_Lag").agg(F.count("*").alias("rows"), F.max("close").alias("close")), "close")
 
 
+def recursive_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive averages of every bar over its symbol's whole history, in blocks of 100 bars."""
+    found = indicators.whole_histories(pipeline.stored(bar_source.line_bars(spark, sf_dir)), rows=100)
+    return fixed(found, *indicators.RECURSIVE)
+
+
+def recursive_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the larger universe, in blocks of the default size."""
+    found = indicators.whole_histories(pipeline.stored(bar_source.supplier_bars(spark, sf_dir)))
+    return fixed(found, *indicators.RECURSIVE)
+
+
+def frames_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of fixed frames for every bar, computed in blocks of 250 bars with halos."""
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
+    found = indicators.bar_frame(bars, 250).select("symbol", "bar_date", "sma50", "sma200", "price_change_20d", "stoch_d_1", "ao", "volatility_20d", "mom_1", "volume_sma20")
+    return fixed(found, *found.columns[2:])
+
+
+def exact_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quartiles of the line prices by flag and status, selected in rounds down to 500 values at most."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_returnflag", "l_linestatus", "l_extendedprice")
+    ranks = F.array(*[F.floor((F.col("n") - 1) * k / 4) for k in range(5)])
+    found = quantiles.order_statistics(lines, ["l_returnflag", "l_linestatus"], "l_extendedprice", ranks, 500)
+    return found.withColumnRenamed("answer", "price")
+
+
+#: A look-back over which averages of 200 bars and the extremes of 252 are there.
+YEAR = dataclasses.replace(P, lookback_days=400)
+
+
+def year_query(*names: str):
+    """The named indicators on the last bar before each event, over slices of 400 days."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = indicators.indicators(*sliced(spark, sf_dir, YEAR), names, YEAR.lookback_days)
+        row = F.struct(*[F.col(f"`{c}`") for c in names])
+        last = frame.groupBy("symbol", "event_date").agg(F.max_by(row, "bar_date").alias("row"), F.count("*").alias("bars"))
+        return last.select("symbol", "event_date", "bars", *[fix(F.col(f"row.`{c}`")).alias(c) for c in names])
+
+    return query
+
+
+YEAR_QUERIES = {
+    "year_ema": ("EMA100", "EMA200", "EMA50_above_EMA200"),
+    "year_sma": ("SMA100", "SMA200"),
+    "year_extremes": ("high_52w", "low_52w", "price_vs_high_52w", "price_vs_low_52w"),
+}
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole comparison. Small tables have few bars a day, so the look-back is a year."""
     p = dataclasses.replace(P, lookback_days=365)
@@ -310,5 +360,6 @@ QUERIES = {
         bars_daily, bars_by_nation, snapshot, screener_filter, universe_filter, exchange_filter, top_movers, detect_events, detect_snapshot, event_counts, event_history, event_coverage,
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
         indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
+        recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles,
     )
-} | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()}
+} | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()} | {k: year_query(*names) for k, names in YEAR_QUERIES.items()}
