@@ -69,7 +69,7 @@ def test_tables(spark, some, tmp_path):
     assert spark.read.csv(f"{root}/raw_data_csv", header=True).count() == some.count()
     wide = some.drop("Time_Lag")
     tables.write_raw_data(wide, f"{root}/plain")
-    assert spark.read.parquet(f"{root}/plain/raw_data").count() == some.count()
+    assert tables.read_raw_data(spark, f"{root}/plain", wide.schema).count() == some.count()
 
 
 def test_extensions(spark, some):

@@ -78,12 +78,18 @@ def classify(rows: DataFrame, p: Params, day: Column) -> DataFrame:
 def detect(snapshot: DataFrame, p: Params, dedupe: bool = False) -> DataFrame:
     """Candidates of one snapshot, as of ``p.as_of`` or today.
 
-    Duplicates stay unless ``dedupe`` is set.
+    Duplicates of a symbol stay unless ``dedupe`` is set.
     """
     day = F.lit(p.as_of) if p.as_of else F.current_date()
     rows = top_movers(screener(finite_columns(snapshot), p), p.top_k)
     found = classify(universe(by_exchange(rows, p.exchanges), p), p, day)
-    return found.dropDuplicates(["Date", "Symbol"]) if dedupe else found
+    return first_of_each(found) if dedupe else found
+
+
+def first_of_each(candidates: DataFrame) -> DataFrame:
+    """One candidate for each day and symbol: the first exchange by name, then the lower price."""
+    w = Window.partitionBy("Date", "Symbol").orderBy("Exchange", "Price", "Volume")
+    return candidates.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") == 1).drop("_rank")
 
 
 def detect_history(snapshots: DataFrame, p: Params) -> DataFrame:

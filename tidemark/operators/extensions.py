@@ -5,9 +5,10 @@ from __future__ import annotations
 import datetime
 import statistics
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import finite
 from tidemark.operators.analyze import numeric_columns, of, text
 from tidemark.params import Params
 
@@ -57,12 +58,22 @@ def welch(raw: DataFrame, p: Params) -> DataFrame:
     return tested.withColumn("critical", critical_t(p.confidence_level, F.col("freedom"))).withColumn("significant", F.abs("t") > F.col("critical"))
 
 
-def correlations(raw: DataFrame, names: list[str]) -> DataFrame:
-    """Pearson correlation of each pair of indicators per lag, in one aggregation."""
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    wide = raw.groupBy("Time_Lag").agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    stacked = ", ".join(f"{text(a)}, {text(b)}, r{i}" for i, (a, b) in enumerate(pairs))
-    return wide.selectExpr("Time_Lag", f"stack({len(pairs)}, {stacked}) as (Indicator_A, Indicator_B, Correlation)")
+def correlations(raw: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of each pair of indicators (all, by default) per lag, over the rows that have both.
+
+    A row's pairs are exploded and met at once by partial aggregation, whose co-moments merge: a task sends a
+    row for each lag and pair, and the plan is the same for any number of indicators. Pairs
+    of which one doesn't vary are left out.
+    """
+    names = numeric_columns(raw) if names is None else names
+    listed = F.array(*[F.lit(c) for c in names])
+    values = raw.select("Time_Lag", F.array(*[F.col(f"`{c}`").cast("double") for c in names]).alias("v"))
+    left = values.select("Time_Lag", "v", F.posexplode("v").alias("i", "x")).where("x is not null")
+    pairs = left.select("Time_Lag", "i", "x", F.posexplode(F.slice("v", F.col("i") + 2, len(names))).alias("k", "y")).where("y is not null")
+    moments = pairs.groupBy("Time_Lag", "i", (F.col("i") + F.col("k") + 1).alias("j")).agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    name = lambda c: F.element_at(listed, F.col(c) + 1)
+    found = moments.select("Time_Lag", name("i").alias("Indicator_A"), name("j").alias("Indicator_B"), finite(F.try_divide("xy", F.sqrt(F.col("xx") * F.col("yy")))).alias("Correlation"))
+    return found.where("Correlation is not null")
 
 
 def retained(raw: DataFrame, as_of: datetime.date, p: Params) -> DataFrame:

@@ -9,6 +9,8 @@ from tidemark.functions.columns import finite
 from tidemark.operators.history import event_keys, slices, with_history
 from tidemark.operators.indicators import EVENT, PUBLISHED, published, slice_frame, window
 from tidemark.params import Params
+from tidemark.sources import versions
+from tidemark.sources.shared import stored
 
 
 def as_of_lags(frame: DataFrame, lags: tuple[int, ...]) -> DataFrame:
@@ -48,6 +50,40 @@ def collect(candidates: DataFrame, bars: DataFrame, p: Params) -> DataFrame:
     return raw_rows(candidates, samples(sliced, bars, p))
 
 
+#: A memo's key, and the marker of an event that was computed, which has no lag.
+MEMO_KEY = (*EVENT, "print")
+
+
+def slice_prints(sliced: DataFrame, p: Params) -> DataFrame:
+    """symbol, event_date, print: a fingerprint of each slice's bars and of what else its samples depend on."""
+    bar = F.xxhash64("bar_date", "open", "high", "low", "close", "volume")
+    said = F.concat_ws(":", F.lit(f"{p.lookback_days}:{p.min_bars}:{','.join(map(str, p.lags))}"), F.count("*"), F.bit_xor(bar), F.sum(bar.cast("decimal(38,0)")))
+    return sliced.groupBy(*EVENT).agg(said.alias("print"))
+
+
+def remembered_samples(events: DataFrame, bars: DataFrame, p: Params, root: str, name: str = "memo") -> tuple[DataFrame, int]:
+    """(samples of all events, number of events computed in this run).
+
+    events: symbol, event_date. A versioned table below root remembers the samples of every
+    slice ever computed, by event and fingerprint. What it lacks, because the event is new or its bars have changed, is computed
+    and added in one commit, with a row without a lag for each event, so that events too short for samples are remembered as well.
+    """
+    spark = bars.sparkSession
+    prints = stored(slice_prints(slices(events, bars, p.lookback_days), p), name="prints")
+    known = versions.read(spark, root, name)
+    new = prints if known is None else prints.join(known.where("lag is null").select(*MEMO_KEY), list(MEMO_KEY), "left_anti")
+    new = stored(new, name="new")
+    n = new.count()
+    if n:
+        sliced = with_history(slices(new.select(*EVENT), bars, p.lookback_days), p.min_bars)
+        made = samples(sliced, bars, p).join(new, list(EVENT))
+        versions.write(made.unionByName(new, allowMissingColumns=True), root, name, keep=lambda v, _: True)
+        known = versions.read(spark, root, name)
+    if known is None:
+        return samples(with_history(slices(events.limit(0), bars, p.lookback_days), p.min_bars), bars, p), 0
+    return known.where("lag is not null").join(prints, list(MEMO_KEY)).drop("print"), n
+
+
 def samples(sliced: DataFrame, bars: DataFrame, p: Params, names: tuple[str, ...] = tuple(PUBLISHED)) -> DataFrame:
     """Indicators as of each lag: only the rows that serve one are joined with what is computed once a bar."""
     return published(as_of_lags(slice_frame(sliced, p.lookback_days), p.lags), bars, names)

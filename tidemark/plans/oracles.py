@@ -221,6 +221,15 @@ ORACLES = INDICATORS | {
     "recursive_by_nation": whole(NATION_BARS),
     "frames_in_blocks": f"WITH {BAR_STEP} SELECT symbol, bar_date, " + ", ".join(f"{fix(over_symbol(e))} AS {c}" for c, e in BAR_FRAME.items()) + " FROM d WINDOW w AS (PARTITION BY symbol ORDER BY bar_date)",
     "exact_quartiles": f"WITH l AS (SELECT l_returnflag, l_linestatus, count(*) AS n, list(l_extendedprice ORDER BY l_extendedprice) AS xs FROM lineitem GROUP BY ALL) {QUARTILES}",
+    "all_correlations": f"""WITH {EVERY_RAW}, numbered AS (SELECT *, row_number() OVER () AS rid FROM raw), long AS MATERIALIZED (UNPIVOT (SELECT rid, Time_Lag, {', '.join(f'"{c}"::DOUBLE AS "{c}"' for c in EVERY)} FROM numbered) ON COLUMNS(* EXCLUDE (rid, Time_Lag)) INTO NAME Indicator VALUE x),
+      r AS (SELECT a.Time_Lag, a.Indicator AS Indicator_A, b.Indicator AS Indicator_B, corr(a.x, b.x) AS r FROM long a JOIN long b ON a.rid = b.rid AND a.Indicator < b.Indicator GROUP BY ALL)
+      SELECT Time_Lag, Indicator_A, Indicator_B, {fix('r')} AS Correlation FROM r WHERE r IS NOT NULL AND isfinite(r)""",
+    "memo_rerun": f"""WITH {SAMPLED}, every AS (SELECT e.Symbol, e.Date, count(*) FILTER (year(b.bar_date) = 1996 AND day(b.bar_date) = 13) AS late, count(*) AS n FROM (SELECT DISTINCT Symbol, Date FROM events) e
+      JOIN bars b ON b.symbol = e.Symbol AND b.bar_date >= e.Date - 90 AND b.bar_date < e.Date GROUP BY ALL)
+      SELECT lag, count(*) AS rows, sum(volume) AS volume, {fix('avg(close)')} AS close, (SELECT count(*) FROM every WHERE n > late) AS first_run, (SELECT count(*) FROM every WHERE late > 0) AS second_run, 0::BIGINT AS third_run FROM sampled GROUP BY lag""",
+    "stage_retained": f"WITH {RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close FROM raw WHERE Event_Date >= DATE '1998-06-01' - 90",
+    "stage_versions": f"WITH {RAW} SELECT v AS version, Time_Lag, Event_Type, count(*) AS rows, {fix('avg(close)')} AS close FROM raw, (VALUES (1), (2)) t(v) WHERE v = 1 OR Time_Lag <> 'T-3' OR Event_Type = 'Spiker' GROUP BY ALL",
+    "stage_listing": f"SELECT 'candidates' AS name, count(*) AS rows FROM (WITH {EVENTS} SELECT * FROM events) UNION ALL SELECT 'raw_data', count(*) FROM (WITH {RAW} SELECT * FROM raw) UNION ALL SELECT 'analysis', count(*) FROM ({ANALYSIS}) UNION ALL SELECT 'stats', count(*) FROM ({stats()})",
     "year_ema": YEAR_EMA,
     "year_sma": of_last({f"SMA{n}": f"CASE WHEN count(*) >= {n} THEN avg(close) FILTER (k <= {n}) END" for n in (100, 200)}),
     "year_extremes": of_last({"high_52w": TOP, "low_52w": BOTTOM, "price_vs_high_52w": f"({LAST_CLOSE} / nullif({TOP}, 0) - 1) * 100", "price_vs_low_52w": f"({LAST_CLOSE} / nullif({BOTTOM}, 0) - 1) * 100"}),

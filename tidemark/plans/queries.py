@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import datetime
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tidemark.params import LINE_BARS, Params
 from tidemark.plans import pipeline
 from tidemark.plans.oracles import ORACLES  # noqa: F401
 from tidemark.sources import bars as bar_source
-from tidemark.sources import tables
+from tidemark.sources import tables, versions
 
 P = LINE_BARS
 #: The day of queries about one snapshot.
@@ -245,8 +246,7 @@ def stage_raw_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = pipeline.shared_root(spark)
     rows = raw(spark, sf_dir).select(*analyze.META, "close")
     tables.write_raw_data(rows, root)
-    less = pipeline.stored(tables.read_raw_data(spark, root, rows.schema, (3,)).where("Event_Type = 'Spiker'"), root, "less")
-    tables.write_raw_data(less, root)
+    tables.write_raw_data(tables.read_raw_data(spark, root, rows.schema, (3,)).where("Event_Type = 'Spiker'"), root)
     return tables.read_raw_data(spark, root, rows.schema).groupBy("Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), fix(F.avg("close")).alias("close"))
 
 
@@ -325,6 +325,52 @@ def exact_quartiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("answer", "price")
 
 
+def all_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of the 62 indicators per lag, from the stored raw data."""
+    found = extensions.correlations(pipeline.stored(raw(spark, sf_dir), name="raw"))
+    return fixed(found, "Correlation")
+
+
+def memo_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples through a memo: a run before the bars of some days came late, one after, and one more; what each computed and the last one's samples."""
+    root = pipeline.shared_root(spark)
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
+    keys = pipeline.stored(history.event_keys(pipeline.events_of_bars(bars, P)), name="keys")
+    early = bars.where(~((F.year("bar_date") == 1996) & (F.dayofmonth("bar_date") == 13)))
+    computed = [lags.remembered_samples(keys, b, P, root)[1] for b in (early, bars)]
+    found, again = lags.remembered_samples(keys, bars, P, root)
+    total = found.groupBy("lag").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"), fix(F.avg("close")).alias("close"))
+    return total.select("lag", "rows", "volume", "close", *[F.lit(n).cast("long").alias(c) for c, n in (("first_run", computed[0]), ("second_run", computed[1]), ("third_run", again))])
+
+
+def stage_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw table after its old events were dropped: whole months by the commit, the border's written again."""
+    root = pipeline.shared_root(spark)
+    rows = raw(spark, sf_dir).select(*analyze.META, "close")
+    tables.write_raw_data(rows, root)
+    tables.retain_raw_data(spark, root, datetime.date(1998, 6, 1), P.retention_days)
+    return fixed(tables.read_raw_data(spark, root, rows.schema), "close")
+
+
+def stage_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of the raw table, read side by side: the second replaced one lag."""
+    root = pipeline.shared_root(spark)
+    rows = raw(spark, sf_dir).select(*analyze.META, "close")
+    tables.write_raw_data(rows, root)
+    tables.write_raw_data(tables.read_raw_data(spark, root, rows.schema, (3,)).where("Event_Type = 'Spiker'"), root)
+    each = [versions.read(spark, root, "raw_data", rows.schema, number=n).withColumn("version", F.lit(n)) for n in (1, 2)]
+    return each[0].unionByName(each[1]).groupBy("version", "Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), fix(F.avg("close")).alias("close"))
+
+
+def stage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of a run as the catalog lists them, with their rows as it reads them."""
+    root = ran(spark, sf_dir)
+    database = f"run_{root.rpartition('-')[2]}"
+    tables.register_tables(spark, root, database)
+    counts = [spark.table(f"`{database}`.`{t}`").agg(F.count("*").alias("rows")).select(F.lit(t).alias("name"), "rows") for t in tables.list_tables(spark, database)]
+    return functools.reduce(DataFrame.unionByName, counts)
+
+
 #: A look-back over which averages of 200 bars and the extremes of 252 are there.
 YEAR = dataclasses.replace(P, lookback_days=400)
 
@@ -360,6 +406,6 @@ QUERIES = {
         bars_daily, bars_by_nation, snapshot, screener_filter, universe_filter, exchange_filter, top_movers, detect_events, detect_snapshot, event_counts, event_history, event_coverage,
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
         indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
-        recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles,
+        recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles, all_correlations, memo_rerun, stage_retained, stage_versions, stage_listing,
     )
 } | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()} | {k: year_query(*names) for k, names in YEAR_QUERIES.items()}
