@@ -480,7 +480,7 @@ def test_revisits(spark, broadcast_bytes):
 # the pipeline
 
 
-def test_pipeline_is_its_stages(spark):
+def test_pipeline_is_its_stages(spark, tmp_path):
     path = "/root/testdata/sf0.001"
     if not os.path.isdir(path):
         pytest.skip("no tables here")
@@ -489,16 +489,37 @@ def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
     from tidemark.llm import language_id, tokens
 
+    # near copies within and beyond 2 bits, and texts below 0.8, so that other rules would give other results
     table = spark.read.parquet(f"{path}/documents.parquet")
-    known = {r["doc_id"] for r in language_id.identify(table).where("lang_pred != 'und' and known >= 0.02").collect()}
+    r = random.Random(8)
+    long = [x for x in table.collect() if x["text"] and x["lang"] and 150 < len(x["text"].split()) < 800][:40]
+    changed = []
+    for k, x in enumerate(long):
+        w = x["text"].split()
+        for _ in range(max(1, round(len(w) * (0.004, 0.012, 0.02, 0.08)[k % 4]))):
+            w[r.randrange(len(w))] = r.choice(w)
+        cut_at = sorted(r.sample(range(5, len(w) - 5), 3))  # lines of their own, so that line dedup leaves them
+        lines_ = [" ".join(w[s:e]) for s, e in zip([0, *cut_at], [*cut_at, len(w)], strict=True)]
+        changed.append({**x.asDict(), "doc_id": 10**6 + k, "text": "\n".join(lines_)})
+    table = table.unionByName(spark.createDataFrame(changed, table.schema))
+    shutil.copytree(path, f"{tmp_path}/in", ignore=shutil.ignore_patterns("documents.parquet"))
+    path = f"{tmp_path}/in"
+    table.write.parquet(f"{path}/documents.parquet")
+    table = spark.read.parquet(f"{path}/documents.parquet")
+    model = language_id.learn(table)
+    bound = language_id.least_known_of(table, model)
+    assert bound > 0.3
+    predict = model.predictor()
+    known = {r["doc_id"] for r, lang, share in zip(table.collect(), *[predict([r["text"] for r in table.collect()])[k] for k in (0, 2)], strict=True) if lang != "und" and share >= bound}
     rows = sorted((r["doc_id"], r["text"]) for r in table.collect() if r["doc_id"] in known)
     cut = []
     for (i, t), k in zip(rows, brute_lines(rows), strict=True):
         left = "\n".join(t.split("\n")[n] for n in k)
         if left.split() or not t.split():
             cut.append((i, left))
-    prints = [(i, brute_fingerprint(t)) for i, t in cut]
-    stay = {i for (i, _), c in zip(prints, brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 2), strict=True) if i == c}
+    sets = [(i, (brute_fingerprint(t), frozenset(tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))) if t.split() else frozenset())) for i, t in cut]
+    alike = lambda a, b: (a[0] ^ b[0]).bit_count() <= 16 and (a[1] == b[1] or 5 * len(a[1] & b[1]) >= 4 * len(a[1] | b[1]))
+    stay = {i for (i, _), c in zip(sets, brute_components(sets, alike), strict=True) if i == c}
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()]
     windows = {tuple(w[i : i + 10]) for w in (decontaminate.words_of(t) for _, t in items) if w for i in range(max(1, len(w) - 9))}
 
@@ -508,6 +529,9 @@ def test_pipeline_is_its_stages(spark):
 
     judge = sentencepiece.SentencePieceProcessor(model_file=tokens.MODEL)
     want = {i: judge.encode(t) for i, t in cut if i in stay and not leaks(t)}
+    least = {i for (i, _), c in zip(sets, brute_components(sets, lambda a, b: (a[0] ^ b[0]).bit_count() <= 2), strict=True) if i == c}
+    wide = {i for (i, _), c in zip(sets, brute_components(sets, lambda a, b: (a[0] ^ b[0]).bit_count() <= 16), strict=True) if i == c}
+    assert stay not in (least, wide) and stay < {i for i, _ in cut}  # the rules differ here
     got = {r["doc_id"]: r["tokens"] for r in corpus_pipeline.run(spark, path).collect()}
     assert got == want and len(want) < len(rows)
 
@@ -526,7 +550,7 @@ def test_stages_take_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
     spark.createDataFrame([(None, "some leaked words"), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    names = ("kept", "n_lines", "fp", "component_id", "tokens", "score", "spans", "lang_pred", "_text", "items", "parity")
+    names = ("kept", "n_lines", "fp", "component_id", "tokens", "score", "spans", "lang_pred", "_text", "items", "parity", "a.b", "c0")
     extra = "e"
     rows = [
         (None, None, None, None, None), (1, None, "en", None, 0), (2, "", None, "s", None), (3, " \n ", "en", "s", 3), (4, "the cat sat on the mat\nthe dog sat on the mat", "en", "s", 44),
@@ -534,6 +558,7 @@ def test_stages_take_odd_rows(spark, tmp_path):
         (7, "the " * 20_000, "en", "s", 80_000), (8, "123 456", "en", "s", 7), (8, "789", "en", None, 7),
     ]
     df = spark.createDataFrame([r + (extra,) * len(names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    df = df.withColumn("some map", F.create_map(F.lit("k"), F.lit(1)))
     counts = {}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, str(tmp_path))

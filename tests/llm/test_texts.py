@@ -146,13 +146,14 @@ def test_predictions_by_brute_force(monkeypatch, full):
         assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1:] for g in got], [w[1:] for w in want])
 
 
-def test_labels_and_characters_are_bounded(spark):
-    rows = docs(spark, [(i, say(EN, i), "en") for i in range(90)] + [(1000 + i, say(DE, i), "de") for i in range(60)] + [(2000 + i, "odd words", f"x{i}") for i in range(40)])
-    assert language_id.learn(rows, max_langs=2).langs == ("de", "en")
-    pair = rows.select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("_text"))
-    some, _ = language_id.sampled(pair, 10**6, 2000, 2, "s")
+def test_every_label_counts_and_characters_are_bounded(spark):
+    rows = docs(spark, [(i, say(EN, i), "en") for i in range(90)] + [(1000 + i, say(DE, i), "de") for i in range(60)] + [(2000 + i, "odd words", f"x{i}") for i in range(300)])
+    model = language_id.learn(rows, filter_bytes=1 << 15)
+    assert len(model.langs) > 200 and {"en", "de"} <= set(model.langs) and model.table.size <= 1 << 15
+    pair = rows.select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("_text")).union(spark.createDataFrame([(9, "long", "xyz " * 500_000)], "id long, lang string, _text string"))
+    some, _ = language_id.sampled(pair, 10**6, 2000, "s")
     n = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.sum(F.length("_text")).alias("n")).collect()}
-    assert set(n) <= {"de", "en"} and all(x < 6000 for x in n.values())
+    assert {"en", "de", "long"} <= set(n) and n["long"] == 2000 and all(x <= 2100 for x in n.values())
 
 
 # secrets

@@ -22,11 +22,13 @@ CHARS_AT_ONCE = 1 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) is a temporary
-    folder made and set.
+    Where the session names none, a temporary folder is made and set if the master
+    is local, as in tests; on a cluster, whose executors wouldn't see it, that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -119,14 +121,21 @@ def map_texts(df: DataFrame, keep: list[str], text: str, schema: pa.Schema, make
     return cut.mapInArrow(run, out)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with its columns named by their place, as mapInArrow doesn't resolve every name."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
     """The rows of df, with all their columns, for whose text a function of ``make`` says true."""
+    own = f"c{df.columns.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = make()
-        for piece, texts in text_chunks(batches, text):
+        for piece, texts in text_chunks(batches, own):
             yield piece.filter(pa.array(keep(texts), pa.bool_()))
         keep = piece = texts = None
         give_back()
 
-    return df.mapInArrow(run, df.schema)
+    placed = by_place(df)
+    return placed.mapInArrow(run, placed.schema).toDF(*df.columns)

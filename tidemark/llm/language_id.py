@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_texts, named, text_chunks, written
+from .common import filter_texts, map_texts, named, sent_if_small, text_chunks, written
 
 ORDERS = (2, 3, 4)
 HASHES = 2
@@ -135,31 +135,42 @@ class LanguageModel:
         return predict
 
 
-def sampled(rows: DataFrame, docs_per_lang: int, chars_per_lang: int, max_langs: int, salt: str) -> tuple[DataFrame, tuple[str, ...]]:
+def sampled(rows: DataFrame, docs_per_lang: int, chars_per_lang: int, salt: str) -> tuple[DataFrame, tuple[str, ...]]:
     """(about so many rows (id, lang, _text) and characters of each language, chosen by a hash of the id; the languages, in order).
 
-    Of more than ``max_langs`` labels the most frequent count.
+    Every label counts. Where a language's chosen texts would have more characters, long ones are cut to a
+    piece, at a place that the hash chooses; none is left out for its length.
     """
-    each = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
-    if not each:
-        return rows.limit(0), ()
-    chance = F.create_map(*[F.lit(x) for r in each for x in (r["lang"], min(1.0, docs_per_lang / r["n"], chars_per_lang / max(1, r["chars"])))])
-    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(salt)), F.lit(1_000_003))
-    return rows.where(part < F.try_element_at(chance, F.col("lang")) * 1_000_003), tuple(sorted(r["lang"] for r in each))
+    n, size = F.col("n"), F.length("_text")
+    each = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("chars"))
+    limits = each.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), docs_per_lang / n).alias("chance"), F.ceil(chars_per_lang / F.least(n, F.lit(docs_per_lang))).cast("int").alias("piece"), (F.col("chars") * F.least(F.lit(1.0), docs_per_lang / n) > chars_per_lang).alias("long"))
+    limits = written(limits, "langs")
+    langs = tuple(sorted(r["_lang"] for r in limits.select("_lang").collect()))
+    drawn = F.xxhash64(F.col("id").cast("string"), F.lit(salt))
+    part = F.pmod(drawn, F.lit(1_000_003))
+    chosen = rows.join(sent_if_small(limits, 8 << 20), F.col("lang") == F.col("_lang")).where(part < F.col("chance") * 1_000_003)
+    at = F.pmod(drawn, F.greatest(size - F.col("piece") + 1, F.lit(1))).cast("int") + 1
+    piece = F.when(F.col("long") & (size > F.col("piece")), F.substring("_text", at, F.col("piece"))).otherwise(F.col("_text"))
+    return chosen.select("id", "lang", piece.alias("_text")), langs
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, max_langs: int = 256, share: float = 0.5, least: int = 3, bits_per_gram: int = 12) -> LanguageModel:
+#: A filter takes at most so many bytes; its positions are fewer with very many languages.
+FILTER_BYTES = 32 << 20
+
+
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, share: float = 0.5, least: int = 3, bits_per_gram: int = 12, filter_bytes: int = FILTER_BYTES) -> LanguageModel:
     """Fit the filter on rows with a label, an id and a text that aren't held out.
 
-    ``docs_per_lang``, ``chars_per_lang`` and ``max_langs`` bound the sample: about so many documents and characters of each
-    language, chosen by a hash of the id, and the most frequent labels. An n-gram enters a language's filter
+    ``docs_per_lang`` and ``chars_per_lang`` bound the sample: about so many documents and characters of each
+    language, of which there may be any number, chosen by a hash of the id. An n-gram enters a language's filter
     if it occurs ``least`` times there and its rate is at least ``share`` of the
     highest rate in any language. The driver receives the filter's set
-    positions only, whose number the sample bounds.
+    positions only. The filter, which is broadcast, has about ``bits_per_gram`` positions for each n-gram of the language with most, but takes
+    ``filter_bytes`` at most: with very many languages its positions are fewer and its false positives more, for which counts are corrected.
     """
     spark = docs.sparkSession
     rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("id")))
-    sample, langs = sampled(rows, docs_per_lang, chars_per_lang, max_langs, "sample")
+    sample, langs = sampled(rows, docs_per_lang, chars_per_lang, "sample")
     if not langs:
         return LanguageModel((), 4, np.zeros((16, 1), np.uint8))
     number = {k: i for i, k in enumerate(langs)}
@@ -180,7 +191,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     top = rated.groupBy("h").agg(F.max("rate").alias("top"))
     chosen = written(rated.join(top, "h").where((F.col("n") >= least) & (F.col("rate") >= share * F.col("top"))).select("h", "k"), "chosen")
     each = [r["n"] for r in chosen.groupBy("k").agg(F.count("*").alias("n")).collect()]
-    bits = max(10, int(np.ceil(np.log2(max(each, default=1) * bits_per_gram))))
+    most = int(np.log2(max(1 << 10, filter_bytes // -(-len(langs) // 8))))
+    bits = min(most, max(10, int(np.ceil(np.log2(max(each, default=1) * bits_per_gram)))))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -221,9 +233,9 @@ def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", la
     tells rightly: held-out ones, about ``docs_per_lang`` a language, or where
     there are none those it learned from. 0 if there are none either.
     """
-    rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isin(*model.langs) & F.col("_text").isNotNull())
+    rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull())
     for held in (True, False) if model.langs else ():
-        sample, _ = sampled(rows.where(held_out(F.col("id")) == held), docs_per_lang, chars_per_lang, len(model.langs), "bound")
+        sample, _ = sampled(rows.where(held_out(F.col("id")) == held), docs_per_lang, chars_per_lang, "bound")
         found = predict(sample, model, ["lang"], "_text").where("lang = lang_pred").agg(F.percentile("known", quantile)).first()[0]
         if found is not None:
             return part * found

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import free_names, named, text_chunks, written
+from .common import by_place, free_names, named, text_chunks, written
 
 #: Where a line stands, in the order that tells the earliest: of one document by its line.
 PLACE = ("doc_id", "line", "key")
@@ -224,10 +224,14 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
     known = F.when(named(doc_id).isNotNull(), F.coalesce(kept, F.array().cast(NO_LINES))).alias(kept)
     joined = docs.withColumn(key, F.xxhash64(named(text))).join(found, (named(doc_id) == F.col(doc)) & (F.col(key) == F.col(of)), "left").select(*map(named, columns), known)
 
+    joined = by_place(joined)
+    names = joined.columns
+    own_text, own_count = names[columns.index(text)], names[columns.index(n_chars)] if n_chars in columns else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in text_chunks(batches, text):
+        for piece, texts in text_chunks(batches, own_text):
             new = []
-            for t, numbers in zip(texts, piece[kept].to_pylist(), strict=True):
+            for t, numbers in zip(texts, piece[names[-1]].to_pylist(), strict=True):
                 if t is None or numbers is None:
                     new.append((t, True))
                     continue
@@ -235,11 +239,11 @@ def drop_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_ch
                 worded = [bool(x.encode("utf-8", "surrogatepass").split()) for x in cut]
                 left = [x for i, (x, w) in enumerate(zip(cut, worded, strict=True)) if not w or i in stays]
                 new.append((t if len(left) == len(cut) else "\n".join(left), bool(stays) or not any(worded)))
-            changed = {text: pa.array([x for x, _ in new], piece[text].type)}
-            if n_chars in columns:
-                same = piece[n_chars].to_pylist()
-                changed[n_chars] = pa.array([n if x is t else len(x) for n, (x, _), t in zip(same, new, texts, strict=True)], piece[n_chars].type)
-            out = pa.RecordBatch.from_arrays([changed.get(c, piece[c]) for c in columns], names=columns)
+            changed = {own_text: pa.array([x for x, _ in new], piece[own_text].type)}
+            if own_count:
+                same = piece[own_count].to_pylist()
+                changed[own_count] = pa.array([n if x is t else len(x) for n, (x, _), t in zip(same, new, texts, strict=True)], piece[own_count].type)
+            out = pa.RecordBatch.from_arrays([changed.get(c, piece[c]) for c in names[:-1]], names=names[:-1])
             yield out.filter(pa.array([stays for _, stays in new], pa.bool_()))
 
-    return joined.mapInArrow(run, StructType(joined.schema.fields[: len(columns)]))
+    return joined.mapInArrow(run, StructType(joined.schema.fields[: len(columns)])).toDF(*columns)

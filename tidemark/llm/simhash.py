@@ -156,7 +156,8 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
             out = []
             for s, e in zip([0, *cuts], [*cuts, len(fp)], strict=True):
                 if e - s == 2:
-                    if int(fp[s] ^ fp[s + 1]).bit_count() <= radius and np.abs(np.bitwise_count(fp[s] ^ PIVOTS).astype(np.int8) - np.bitwise_count(fp[s + 1] ^ PIVOTS).astype(np.int8)).max() <= radius and (key[s, 2] == key[s, 3] or first[s] != first[s + 1]):
+                    away = np.bitwise_count(fp[s] ^ PIVOTS).astype(np.int8) - np.bitwise_count(fp[s + 1] ^ PIVOTS).astype(np.int8)
+                    if (key[s, 2] == key[s, 3] or first[s] != first[s + 1]) and np.abs(away).max() <= radius and int(fp[s] ^ fp[s + 1]).bit_count() <= radius:
                         out.append(fp[s : s + 2].reshape(1, 2))
                 elif e - s > 2:
                     g, f = fp[s:e], first[s:e]
@@ -200,8 +201,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def content(text: str) -> Column:
-    """A text's hash, by which rows of one id are told apart; null is the empty text."""
-    return F.xxhash64(F.coalesce(named(text), F.lit("")))
+    """A text's address (SHA-256), by which texts are told apart; null is the empty text."""
+    return F.unhex(F.sha2(F.coalesce(named(text), F.lit("")).cast("binary"), 256))
 
 
 def in_components(docs: DataFrame, doc_id: str, text: str, width: int, radius: int) -> DataFrame:
@@ -229,7 +230,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """The rows of docs, with their columns, that stay when each component keeps its smallest id.
 
     Of several rows of that id in one component a single row stays, that of the
-    smallest content hash. A row without an id has no place in that order and stays as it is.
+    smallest address. A row without an id has no place in that order and stays as it is.
     """
     found = in_components(docs, doc_id, text, width, radius).where(F.col("doc_id").isNotNull())
     each = written(found.groupBy("root", "doc_id", "node").agg(F.count("*").alias("n")), "each")
@@ -256,7 +257,8 @@ def one_each(docs: DataFrame, each: DataFrame, stay: DataFrame, doc_id: str, tex
     again = stay.where("n > 1")
     if not again.isEmpty():
         again = again.select(F.col("doc_id").alias(doc), F.col("node").alias(node))
-        first = Window.partitionBy(named(doc_id), own).orderBy(F.xxhash64(*map(named, columns)))
+        plain = [F.to_json(F.struct(named(c))) if "map<" in kind else named(c) for c, kind in docs.dtypes]
+        first = Window.partitionBy(named(doc_id), own).orderBy(F.xxhash64(*plain))
         some = kept.join(again, same).withColumn(one, F.row_number().over(first)).where(F.col(one) == 1)
         kept = kept.join(again, same, "left_anti").select(*map(named, columns)).unionByName(some.select(*map(named, columns)))
     return kept.select(*map(named, columns))
@@ -359,6 +361,14 @@ def spanning(fp: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
+def linked(t: pa.Table, pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """The nodes of pairs of a table's rows, as a and b; nothing without pairs."""
+    if pairs:
+        a, b = np.array(pairs, np.int64).T
+        node = t["node"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b))], names=["a", "b"])
+
+
 def candidate_links(sketched: DataFrame, radius: int) -> DataFrame:
     """(a, b): links whose components are those of all pairs within the radius that share a band.
 
@@ -371,11 +381,10 @@ def candidate_links(sketched: DataFrame, radius: int) -> DataFrame:
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ("band", "t", "u")):
-            both = t["node"].to_numpy()[np.array(spanning(t["fp"].to_numpy().view(np.uint64), radius), np.int64).reshape(-1, 2)]
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield from linked(t, spanning(t["fp"].to_numpy().view(np.uint64), radius))
 
-    return meets.mapInArrow(join, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    kind = sketched.schema["node"].dataType.simpleString()
+    return meets.mapInArrow(join, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
@@ -413,8 +422,8 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     prints = written(each.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"), F.min("fp").alias("fp")), "prints")
     sketched = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "bands")
     rough = components(candidate_links(sketched, radius)).withColumnRenamed("root", "part")
-    # a component's root is no node of its own list; each node is read from one row of its id
-    parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", "part", F.col("first.doc_id").alias("doc_id"), (F.coalesce("first.n", F.lit(2)) > 1).alias("again")), "parts")
+    # a component's root is no node of its own list; each node is read from one row of its id; components that share a hash are compared together
+    parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", F.xxhash64("part").alias("part"), F.col("first.doc_id").alias("doc_id"), (F.coalesce("first.n", F.lit(2)) > 1).alias("again")), "parts")
     same = (texts["node"] == parts["node"]) & texts["doc_id"].eqNullSafe(parts["doc_id"])
     met = texts.join(sent_if_small(parts, broadcast_bytes), same).select(parts["node"], "fp", "part", "again", "text")
     found = met.where(~F.col("again")).select("node", "fp", "part", "text")
@@ -425,12 +434,9 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ("part", "t", "u")):
-            node = t["node"].to_numpy()
             own = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-            both = node[np.array(confirmed(t["fp"].to_numpy().view(np.uint64), own, radius, similarity), np.int64).reshape(-1, 2)]
-            if len(both):
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            yield from linked(t, confirmed(t["fp"].to_numpy().view(np.uint64), own, radius, similarity))
 
-    roots = components(meets.mapInArrow(confirm, "a long, b long").distinct())
+    roots = components(meets.mapInArrow(confirm, "a binary, b binary").distinct())
     stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("stay")).where("stay is not null").select("stay.*")
     return one_each(docs, each.where("doc_id is not null"), stay, doc_id, text, broadcast_bytes)
