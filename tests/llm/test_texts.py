@@ -365,11 +365,7 @@ def test_all_parts_of_the_cluster_stay(body, want):
 
 def brute_main(html):
     """Ratio, smoothing, cluster and choice of parts in plain Python, from the parser's lines."""
-    p = html_text.Lines()
-    p.feed(html)
-    p.close()
-    p.cut()
-    lines = p.lines
+    lines = lines_of(html)
     ratio = [len(t) / (1 + n) for t, n, *_ in lines]
     smooth = []
     for i in range(len(lines)):
@@ -378,7 +374,7 @@ def brute_main(html):
     mean = sum(smooth) / max(1, len(smooth))
     bound = math.sqrt(sum((x - mean) ** 2 for x in smooth) / max(1, len(smooth)))
     stretches, label = [], []
-    for i, (_, _, region, out) in enumerate(lines):
+    for i, (_, _, region, out, _) in enumerate(lines):
         if out:
             label.append(None)
         elif region:
@@ -390,7 +386,13 @@ def brute_main(html):
     chosen = {k for k, x in zip(label, smooth, strict=True) if k and x >= bound * (1 - 1e-9)} or {k for k in label if k}
     body = [k[1] for k in chosen if k[0] == "body"]
     if body:
-        chosen |= {("body", n) for n in range(min(body), max(body) + 1)}
+        low, high = min(body), max(body)
+        plain = lambda n: 0 <= n < len(stretches) and all(x[4] for k, x in zip(label, lines, strict=True) if k == ("body", n))
+        while plain(low - 1):
+            low -= 1
+        while plain(high + 1):
+            high += 1
+        chosen |= {("body", n) for n in range(low, high + 1)}
     return "\n".join(t for (t, *_), k in zip(lines, label, strict=True) if k in chosen)
 
 
@@ -401,16 +403,38 @@ def test_pages_by_brute_force():
         part = lambda d: r.choice(["<p>%s</p>", "<div>%s</div>", "<article>%s</article>", "<main>%s</main>", "<nav>%s</nav>", "<ul><li>%s</ul>", "<div class='ad'>%s</div>", "<section id='related-work'>%s</section>"]) % "".join(part(d - 1) if d and r.random() < 0.6 else r.choice(["word ", "<a href='#'>x</a>", LONG + " ", "<b>few</b> words "]) for _ in range(r.randrange(1, 5)))
         page = "<body>" + "".join(part(3) for _ in range(r.randrange(1, 7))) + "</body>"
         assert html_text.main_text(page) == brute_main(page)
-        decided += len(html_text.main_text(page)) < len("\n".join(t for t, _, _, out in lines_of(page) if not out))
+        decided += len(html_text.main_text(page)) < len("\n".join(t for t, _, _, out, _ in lines_of(page) if not out))
     assert decided > 50  # pages of which the cluster leaves parts out
 
 
 def lines_of(page):
-    p = html_text.Lines()
-    p.feed(page)
-    p.close()
-    p.cut()
-    return p.lines
+    return html_text.read(page).lines
+
+
+ARTICLE = f"<article><h1>Head</h1>{TEXT}</article>"
+
+
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        (f"<div class='content-with-sidebar'>{ARTICLE}</div>", f"Head\n{LINES}"),
+        (f"<form id='aspnetForm'><nav>Home</nav><h1>Head</h1>{TEXT}</form>", f"Head\n{LINES}"),
+        (f"<form><div class='page'>{TEXT}</div></form>", LINES),
+        (f"<div class='ad-free story'><h1>Head</h1>{TEXT}</div>", f"Head\n{LINES}"),
+        (f"<div class='page with nav'>{ARTICLE}<div class='nav'>Home</div></div>", f"Head\n{LINES}"),
+        (f"<div class='article-comment'>{TEXT}</div><p>x</p>", f"{LINES}\nx"),
+        (f"<div class='product-promo'>{TEXT}</div><p>x</p>", f"{LINES}\nx"),
+        (f"<h1>Head</h1><div class='share'>Share this</div>{TEXT}", f"Head\n{LINES}"),
+        (f"<article><header><h1>Head</h1><p>By X</p></header>{TEXT}</article>", f"Head\n{LINES}"),
+        (f"{TEXT}<div class='ad'>Buy</div><p>The end.</p><div class='ad'>Buy</div><p><a href='#'>More.</a></p>", f"{LINES}\nThe end."),
+        (f"<article><p>Short.</p></article><div class='comments'><h1>All</h1>{TEXT}</div>", "Short."),
+        (f"<article><p>Short.</p></article><div class='sidebar'>{TEXT}</div>", "Short."),
+        (f"<div class='related'><article>A card</article></div>{ARTICLE}<form><input><p>Write</p></form>", f"Head\n{LINES}"),
+        (f"<div class='cookie-notice'>We use cookies.</div><div class='site-header'>Site</div>{ARTICLE}", f"Head\n{LINES}"),
+    ],
+)
+def test_wrappers_are_no_notices(body, want):
+    assert html_text.main_text(f"<html><head><title>T</title></head><body>{body}<footer>&copy; Us</footer></body></html>") == want
 
 
 def test_ids_headings_and_depth():
