@@ -230,6 +230,8 @@ ORACLES = INDICATORS | {
     "stage_retained": f"WITH {RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close FROM raw WHERE Event_Date >= DATE '1998-06-01' - 90",
     "stage_versions": f"WITH {RAW} SELECT v AS version, Time_Lag, Event_Type, count(*) AS rows, {fix('avg(close)')} AS close FROM raw, (VALUES (1), (2)) t(v) WHERE v = 1 OR Time_Lag <> 'T-3' OR Event_Type = 'Spiker' GROUP BY ALL",
     "stage_listing": f"SELECT 'candidates' AS name, count(*) AS rows FROM (WITH {EVENTS} SELECT * FROM events) UNION ALL SELECT 'raw_data', count(*) FROM (WITH {RAW} SELECT * FROM raw) UNION ALL SELECT 'analysis', count(*) FROM ({ANALYSIS}) UNION ALL SELECT 'stats', count(*) FROM ({stats()})",
+    "markets": f"WITH bars AS ({NATION_BARS}) SELECT CASE WHEN starts_with(symbol, 'NATION_1') THEN 'america' ELSE lower(symbol) END AS market, count(*) AS bars, sum(volume) AS volume FROM bars GROUP BY ALL",
+    "rows_without_values": f"WITH {RAW} SELECT Time_Lag, Event_Type, count(*) AS rows, sum(volume) AS volume FROM raw WHERE day(Event_Date) % 4 <> 0 GROUP BY ALL",
     "year_ema": YEAR_EMA,
     "year_sma": of_last({f"SMA{n}": f"CASE WHEN count(*) >= {n} THEN avg(close) FILTER (k <= {n}) END" for n in (100, 200)}),
     "year_extremes": of_last({"high_52w": TOP, "low_52w": BOTTOM, "price_vs_high_52w": f"({LAST_CLOSE} / nullif({TOP}, 0) - 1) * 100", "price_vs_low_52w": f"({LAST_CLOSE} / nullif({BOTTOM}, 0) - 1) * 100"}),

@@ -371,6 +371,23 @@ def stage_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, counts)
 
 
+def markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars by the market of their exchange: eleven nations are listed on American ones, the others on their own."""
+    listed = F.when(F.col("symbol").startswith("NATION_1"), "NYSEAmerican").otherwise(F.col("symbol"))
+    bars = bar_source.supplier_bars(spark, sf_dir).withColumn("market", bar_source.market(listed))
+    return bars.groupBy("market").agg(F.count("*").alias("bars"), F.sum("volume").alias("volume"))
+
+
+def rows_without_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw rows of samples of which some have no finite value at all, and so no row."""
+    slices, bars = sliced(spark, sf_dir)
+    sampled = lags.samples(slices, bars, P, ("close", "volume"))
+    none = F.dayofmonth("event_date") % 4 == 0
+    odd = sampled.withColumns({"close": F.when(none, F.lit(float("nan"))).otherwise(F.col("close")), "volume": F.when(none, F.lit(float("inf"))).otherwise(F.col("volume"))})
+    rows = lags.raw_rows(pipeline.events_of_bars(bars, P), odd)
+    return rows.groupBy("Time_Lag", "Event_Type").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"))
+
+
 #: A look-back over which averages of 200 bars and the extremes of 252 are there.
 YEAR = dataclasses.replace(P, lookback_days=400)
 
@@ -407,5 +424,6 @@ QUERIES = {
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
         indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
         recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles, all_correlations, memo_rerun, stage_retained, stage_versions, stage_listing,
+        markets, rows_without_values,
     )
 } | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()} | {k: year_query(*names) for k, names in YEAR_QUERIES.items()}
