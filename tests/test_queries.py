@@ -10,7 +10,7 @@ from tidemark.plans.queries import QUERIES
 
 DATA = "/root/testdata"
 #: Queries that need slices of 50 bars have rows only at 0.01.
-SMALL = ("bars_daily", "bars_by_nation", "snapshot", "exchange_filter", "top_movers", "detect_events", "detect_snapshot", "event_counts", "event_coverage", "grinder_consecutive", "sanitized", "renamed")
+SMALL = ("bars_daily", "bars_by_nation", "snapshot", "exchange_filter", "top_movers", "detect_events", "detect_snapshot", "event_counts", "event_coverage", "grinder_consecutive", "sanitized", "renamed", "asof_purchases", "asof_orders")
 LARGE = ("event_history", "lag_summary", "overall_stats", "ind_macd", "ind_adx", "ind_rsi", "stage_round_trip")
 
 

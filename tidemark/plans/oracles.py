@@ -160,6 +160,15 @@ def stats() -> str:
 
 CORRELATED = ("close", "volume", "SMA20", "price_change_5d", "RSI", "MACD.macd", "ATR", "volatility_20d", "gap_up")
 PAIRS = [(a, b) for i, a in enumerate(CORRELATED) for b in CORRELATED[i + 1 :]]
+STEPS = 4000
+
+
+def simpson(end: str) -> str:
+    """The integral of cos(x) ^ (f - 1) from 0 to an end, by Simpson's rule: of Student's t with f degrees of freedom, by the angle."""
+    power = "coalesce(pow(greatest(cos({0}), 0), f - 1), 0)".format
+    return f"""(({end}) / {3 * STEPS} * list_sum(list_transform(range({STEPS + 1}), lambda i: {power(f"({end}) * i / {STEPS}")} * CASE WHEN i IN (0, {STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)))"""
+
+
 RUN = "(PARTITION BY bare ORDER BY bar_date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 
 
@@ -260,6 +269,17 @@ ORACLES = INDICATORS | {
     "renamed": f"WITH {SNAP} SELECT bar_date, symbol, {fix('close')} AS price, {fix('change')} AS gain FROM snap",
     "enough_samples": f"WITH {SIZES} SELECT Time_Lag, Indicator, ns AS n_spikers, ng AS n_grinders FROM sizes",
     "welch_test": f"WITH {SIZES}, t AS (SELECT Time_Lag, Indicator, (s - g) / nullif(sqrt(vs + vg), 0) AS t, (vs + vg) * (vs + vg) / nullif(vs * vs / (ns - 1) + vg * vg / (ng - 1), 0) AS f FROM sizes) SELECT Time_Lag, Indicator, {fix('t')} AS t, {fix('f')} AS freedom, {fix(CRITICAL)} AS critical, abs(t) > {CRITICAL} AS significant FROM t",
+    "welch_discoveries": f"""WITH {SIZES}, t AS (SELECT Time_Lag, Indicator, (s - g) / nullif(sqrt(vs + vg), 0) AS t, (vs + vg) * (vs + vg) / nullif(vs * vs / (ns - 1) + vg * vg / (ng - 1), 0) AS f FROM sizes),
+      p AS (SELECT *, CASE WHEN f IS NULL OR t IS NULL THEN NULL ELSE greatest(0, 1 - {simpson('atan(abs(t) / sqrt(f))')} / {simpson('pi() / 2')}) END AS p FROM t),
+      b AS (SELECT *, p * count(p) OVER (PARTITION BY Time_Lag) / CASE WHEN p IS NOT NULL THEN (SELECT count(*) FROM p o WHERE o.Time_Lag = p.Time_Lag AND o.p <= p.p) END AS rate FROM p),
+      q AS (SELECT b.*, CASE WHEN b.p IS NOT NULL THEN (SELECT least(1, min(o.rate)) FROM b o WHERE o.Time_Lag = b.Time_Lag AND o.p >= b.p) END AS q FROM b)
+      SELECT Time_Lag, Indicator, {fix('t')} AS t, {fix('f')} AS freedom, {fix('p')} AS p_value, {fix('q')} AS fdr, q <= 0.05 AS discovery FROM q""",
+    "asof_bars": f"""WITH {EVENTS.replace(BARS, NATION_BARS)}, k AS (SELECT DISTINCT Symbol AS symbol, Date AS event_date, Date - 365 AS year_before FROM events)
+      SELECT k.symbol, k.event_date, k.year_before, b.bar_date, {fix('b.close')} AS close, b.volume AS bar_volume FROM k ASOF LEFT JOIN bars b ON k.symbol = b.symbol AND k.year_before >= b.bar_date""",
+    "asof_purchases": """WITH c AS (SELECT user_id, ts, max(event_id) AS click_id, arg_max(value, event_id) AS click_value FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+      SELECT e.event_id, e.user_id, e.ts, e.value, c.ts AS click_ts, c.click_id, c.click_value FROM (FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN c ON e.user_id = c.user_id AND e.ts >= c.ts""",
+    "asof_orders": """WITH l AS (SELECT l_linestatus, l_shipdate::DATE AS shipped, arg_max((l_orderkey, l_extendedprice), (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) AS r FROM lineitem GROUP BY ALL)
+      SELECT o_orderkey, o_orderstatus, o_orderdate::DATE AS day, shipped, r[1] AS l_orderkey, r[2] AS l_extendedprice FROM orders ASOF LEFT JOIN l ON o_orderstatus = l_linestatus AND o_orderdate::DATE >= shipped""",
     "indicator_correlations": f"WITH {EVERY_RAW} " + " UNION ALL ".join(f"""SELECT Time_Lag, '{a}' AS Indicator_A, '{b}' AS Indicator_B, {fix(f'corr("{a}", "{b}")')} AS Correlation FROM raw GROUP BY Time_Lag""" for a, b in PAIRS),
     "retained_raw": f"WITH {RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close FROM raw WHERE Event_Date >= DATE '1998-06-01' - 90",
     "stage_round_trip": f"WITH {RAW} SELECT Time_Lag, Event_Type, count(*) AS rows, sum(volume) AS volume FROM raw WHERE Time_Lag IN ('T-1', 'T-30') GROUP BY Time_Lag, Event_Type",

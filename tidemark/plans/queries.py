@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite_columns
-from tidemark.operators import analyze, detect, extensions, history, indicators, lags, quantiles
+from tidemark.operators import analyze, asof, detect, extensions, history, indicators, lags, quantiles, significance
 from tidemark.params import LINE_BARS, Params
 from tidemark.plans import pipeline
 from tidemark.plans.oracles import ORACLES  # noqa: F401
@@ -200,6 +200,35 @@ def welch_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed(extensions.welch(raw(spark, sf_dir), P), "t", "freedom", "critical")
 
 
+def welch_discoveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every indicator's p-value and the rate of false discoveries within its lag."""
+    return fixed(significance.discoveries(raw(spark, sf_dir), P), "t", "freedom", "p_value", "fdr")
+
+
+def asof_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its symbol's last bar of a year before or earlier, of any age."""
+    bars = pipeline.stored(bar_source.supplier_bars(spark, sf_dir))
+    keys = history.event_keys(pipeline.events_of_bars(bars, P)).withColumn("year_before", F.date_sub("event_date", 365))
+    found = asof.as_of_join(keys, bars.select("symbol", "bar_date", "close", F.col("volume").alias("bar_volume")), ["symbol"], "year_before", "bar_date")
+    return fixed(found, "close")
+
+
+def asof_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each purchase with its user's last click before it, in buckets of an hour."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    clicks = events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts", "value")
+    return asof.as_of_join(purchases, clicks, ["user_id"], "ts", "click_ts", ["click_id"])
+
+
+def asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order with the last line of its status shipped by its day: three keys hold all rows, and many share a day."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_linestatus").alias("o_orderstatus"), F.to_date("l_shipdate").alias("shipped"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", F.to_date("o_orderdate").alias("day"))
+    found = asof.as_of_join(orders, lines, ["o_orderstatus"], "day", "shipped", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], width=16)
+    return found.select("o_orderkey", "o_orderstatus", "day", "shipped", "l_orderkey", "l_extendedprice")
+
+
 CORRELATED = ("close", "volume", "SMA20", "price_change_5d", "RSI", "MACD.macd", "ATR", "volatility_20d", "gap_up")
 
 
@@ -424,6 +453,6 @@ QUERIES = {
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
         indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
         recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles, all_correlations, memo_rerun, stage_retained, stage_versions, stage_listing,
-        markets, rows_without_values,
+        markets, rows_without_values, welch_discoveries, asof_bars, asof_purchases, asof_orders,
     )
 } | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()} | {k: year_query(*names) for k, names in YEAR_QUERIES.items()}
