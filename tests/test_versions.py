@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import extensions, lags
 from tidemark.params import Params
+from tidemark.plans import pipeline
 from tidemark.sources import tables, versions
 from tidemark.sources.bars import BARS
 
@@ -122,3 +123,15 @@ def test_correlations_of_all_pairs(spark):
     mx, my = sum(xs) / 3, sum(ys) / 3
     r = sum((x - mx) * (y - my) for x, y in zip(xs, ys, strict=True)) / math.sqrt(sum((x - mx) ** 2 for x in xs) * sum((y - my) ** 2 for y in ys))
     assert math.isclose(found["a", "b.x"], r)
+
+
+def test_stages_alone(spark, tmp_path):
+    """Detection adds only what its table lacks, and analysis without raw data writes nothing."""
+    root, day = str(tmp_path), datetime.date(2001, 1, 1)
+    made = [(s, day + datetime.timedelta(days=i), 1.0, 1.0, 1.0, 1.0 + i * k, 1e6) for s, k in (("A", 1.0), ("B", 0.01)) for i in range(9)]
+    bars, p = spark.createDataFrame(made, BARS), Params(min_bars=2, lags=(1, 3))
+    early = bars.where("bar_date < DATE '2001-01-05'")
+    assert not pipeline.analyze_stage(spark, root, p) and not pipeline.detect_stage(bars.limit(0), root, p, fresh=False)
+    counts = [(pipeline.detect_stage(b, root, p, fresh=False), tables.read_candidates(spark, root).count()) for b in (early, early, bars, bars)]
+    assert counts == [(True, 6), (False, 6), (True, 16), (False, 16)]
+    assert pipeline.events_of_bars(bars, p).exceptAll(tables.read_candidates(spark, root)).count() == 0

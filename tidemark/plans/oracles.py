@@ -288,6 +288,8 @@ ORACLES = INDICATORS | {
     "stage_raw_all": f"WITH {RAW} SELECT Time_Lag, Event_Type, count(*) AS rows, {fix('avg(close)')} AS close FROM raw WHERE Time_Lag <> 'T-3' OR Event_Type = 'Spiker' GROUP BY Time_Lag, Event_Type",
     "stage_backup": f"WITH {EVERY_RAW} SELECT Symbol, Event_Date, Event_Type, Exchange, Time_Lag, {fix('close')} AS close, volume, {fix('RSI')} AS RSI, gap_up FROM raw",
     "stage_analysis": ANALYSIS,
+    "stage_by_stage": f"""SELECT a.*, computed FROM ({ANALYSIS}) a, (WITH {EVENTS} SELECT count(DISTINCT (Symbol, Date)) AS computed FROM events e
+      WHERE Date >= DATE '1997-01-01' AND EXISTS (FROM bars b WHERE b.symbol = e.Symbol AND b.bar_date >= e.Date - 90 AND b.bar_date < e.Date))""",
     "stage_report": f"SELECT Time_Lag, Indicator, Difference AS Value FROM ({ANALYSIS}) UNION ALL SELECT NULL, Metric, Value FROM ({stats()})",
     "detect_odd": f"""WITH {SNAP}, o AS (SELECT bar_date, bare, close, volume, change_abs, dayofyear(bar_date) % 6 AS k, exchange, CASE WHEN k = 3 THEN NULL ELSE change END AS change, CASE WHEN k = 4 THEN 0.1 WHEN k = 5 OR rel IS NULL THEN 0.9 ELSE rel END AS rel FROM snap),
       l AS (SELECT o.*, x.e AS listed FROM o, (VALUES ('NASDAQ'), ('NYSE')) x(e) WHERE k = 0 OR (k <> 2 AND upper(exchange) = x.e)),

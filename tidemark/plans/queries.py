@@ -306,6 +306,20 @@ def stage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.unionByName(stats.select(F.lit(None).cast("string").alias("Time_Lag"), F.col("Metric").alias("Indicator"), fix(F.col("Value")).alias("Value")))
 
 
+def stage_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage alone over what earlier ones left: detection adds the days that came later, collection computes
+    only what is new, and the analysis that follows with the number of events computed anew."""
+    root = pipeline.shared_root(spark)
+    bars = pipeline.stored(bar_source.line_bars(spark, sf_dir))
+    pipeline.analyze_stage(spark, root, P)  # there is nothing yet
+    for known in (bars.where("bar_date < DATE '1997-01-01'"), bars):
+        pipeline.detect_stage(known, root, P, fresh=False)
+        computed = pipeline.collect_stage(spark, known, root, P, memo=True)
+    pipeline.analyze_stage(spark, root, P)
+    found = fixed(tables.read_table(spark, root, "analysis", tables.ANALYSIS), "AVG_Spikers", "AVG_Grinders", "Difference", "Ratio")
+    return found.withColumn("computed", F.lit(computed).cast("long"))
+
+
 def detect_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection on snapshots with symbols without an exchange, in lower case or of another one, and with missing measures, by the day."""
     day = F.dayofyear("bar_date") % 6
@@ -453,6 +467,6 @@ QUERIES = {
         lag_asof, raw_data, lag_summary, overall_stats, distinct_lags, latest_per_symbol, grinder_consecutive, detect_lookback, sanitized, renamed, enough_samples, welch_test,
         indicator_correlations, retained_raw, stage_round_trip, stage_candidates, stage_append, stage_raw_all, stage_backup, stage_analysis, stage_report, detect_odd, repeated_candidates,
         recursive_histories, recursive_by_nation, frames_in_blocks, exact_quartiles, all_correlations, memo_rerun, stage_retained, stage_versions, stage_listing,
-        markets, rows_without_values, welch_discoveries, asof_bars, asof_purchases, asof_orders,
+        markets, rows_without_values, welch_discoveries, asof_bars, asof_purchases, asof_orders, stage_by_stage,
     )
 } | {k: indicator_query(*names) for k, names in INDICATOR_QUERIES.items()} | {k: year_query(*names) for k, names in YEAR_QUERIES.items()}
