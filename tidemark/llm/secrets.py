@@ -138,9 +138,10 @@ def scan(paths: DataFrame, ledger: str | None = None, text: str = "text", rules=
     entry = F.struct(F.col("s.start").alias("start"), order[F.col("s.kind")].alias("k"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"))
     current = read_ledger(spark, ledger).where(F.arrays_overlap("rules", tags) & (F.size("spans") > 0))
     spans = current.select("blob", "rules", F.explode("spans").alias("s")).where(F.col("s.rule").isin([r.tag for r in rules]))
-    # a blob's findings are bounded by its own text; those of copies are equal
+    # a blob's findings are bounded by its own text; those of copies are equal. They are a table before
+    # the join, so that Spark can split the paths of one blob that stands at a share of them all
     blob, spans_of, own = free_names(paths.columns, "_blob", "_found", "_own")
-    found = spans.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_set(entry)).alias(spans_of))
+    found = written(spans.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.collect_set(entry)).alias(spans_of)), "findings")
     plain = F.transform(spans_of, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
     keep = [named(c) for c in paths.columns if c not in (text, "blob", "spans")]
     left = paths.select(*keep, address.alias(own))
