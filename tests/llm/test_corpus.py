@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, lines, media, simhash, warc
+from tidemark.llm import decontaminate, lines, media, meetings, simhash, warc
 from tidemark.llm.common import fresh_dir
 from tidemark.llm.stores import Stretch, filesystem, list_files
 
@@ -167,7 +167,7 @@ def brute_similarity(a, b):
 
 def test_similar_texts(spark, monkeypatch):
     """Near copies at 0.8 or more over five-word shingles go though many are further apart than 2 bits; others stay."""
-    monkeypatch.setattr(simhash, "TEXTS", 7)  # several tiles
+    monkeypatch.setattr(meetings, "TILE_BYTES", 7000)  # several tiles
     monkeypatch.setattr(simhash, "CANDIDATES", 20)
     r = random.Random(7)
     words = [f"w{i}" for i in range(300)]

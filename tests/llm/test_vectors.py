@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import hard_negatives, minmax, vector_codes
+from tidemark.llm import hard_negatives, meetings, minmax, vector_codes
 from tidemark.llm.vectors import LARGEST, floored, matrix
 
 NAN, INF = float("nan"), float("inf")
@@ -154,7 +154,7 @@ ODD_TEXTS = [(900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "ONE ")
 
 @pytest.mark.parametrize(("tile", "broadcast"), [(1 << 22, 1 << 20), (400, 0)])
 def test_minmax(spark, monkeypatch, tile, broadcast):
-    monkeypatch.setattr(minmax, "TILE_BYTES", tile)
+    monkeypatch.setattr(meetings, "TILE_BYTES", tile)
     rows = [(i + 10, t) for i, t in enumerate(copies(3))] + ODD_TEXTS + [(990, "w " * 30_000), (991, "w " * 20_000 + "v")]
     docs = spark.createDataFrame([(i, t, "x", 1, True) for i, t in rows], "doc_id long, text string, node string, n int, kept boolean")
     out = minmax.near_duplicates(docs, broadcast_bytes=broadcast).collect()
@@ -186,7 +186,7 @@ def test_links_are_a_forest_of_what_is_alike():
     sets = [np.arange(s, s + 100, dtype=np.uint64) for s in (0, 2, 4, 50, 300, 302)]
     n = len(sets)
     ask, outside = np.array([True] * n + [False] * n), np.ones(2 * n, bool)
-    links = minmax.joined_in_block(ask, outside, np.tile(np.arange(n), 2), np.tile(np.arange(n), 2), sets + sets, 80)
+    links = meetings.joined_in_block(ask, outside, np.tile(np.arange(n), 2), np.tile(np.arange(n), 2), sets + sets, 80)
     assert sorted({(min(a % n, b % n), max(a % n, b % n)) for a, b in links}) == [(0, 1), (0, 2), (4, 5)]
 
 
@@ -244,3 +244,37 @@ def test_covering_radii_hold_and_skip(spread):
     if 0 < spread < 1:  # clusters: most nodes lie outside a narrow window
         s = np.sort(scores[:, 0])
         assert ((upper[0] < s[-100]) | (lower[0] > s[-1])).mean() > 0.5
+
+
+@pytest.mark.parametrize("tile", [200, 1 << 20])
+def test_groups_are_joined_as_by_all_pairs(spark, monkeypatch, tile):
+    """Whatever the leaders, groups of copies, chains and strangers get the components of all alike pairs within the radius."""
+    monkeypatch.setattr(meetings, "TILE_BYTES", tile)
+    r = random.Random(4)
+    rows, sets = [], {}
+    for g in range(6):
+        base = set(r.sample(range(1, 10_000), 40))
+        for k in range(14):
+            own = set(base)
+            if k % 3 == 0:  # a chain
+                base = set(list(base)[4:]) | set(r.sample(range(1, 10_000), 3))
+            elif k % 5 == 0:
+                own = set(r.sample(range(1, 10_000), 40))
+            node, fp = b"%d-%d" % (g, k), r.choice([0, 1, 3, (1 << 40) - 1])
+            sets[node] = (g, fp, own)
+            rows.append((node, fp, len(own), bytearray(np.sort(np.array(list(own), np.uint64)).tobytes()), g))
+    table = spark.createDataFrame(rows, "node binary, fp long, n int, shingles binary, g long")
+    leaders = spark.createDataFrame([(n, r.choice([m for m in sets if sets[m][0] == sets[n][0]])) for n in sets if r.random() < 0.7], "node binary, leader binary")
+    leaders = leaders.where("node != leader")
+    for radius in (None, 2):
+        own = table.drop("g") if radius else table.drop("g", "fp")
+        links = meetings.joined_in_groups(own, leaders, table.select("g", "node"), 80, radius)
+        got = {bytes(x["node"]): bytes(x["root"]) for x in meetings.components(links).collect()}
+        root = {n: n for n in sets}
+        for a in sorted(sets):
+            for b in sorted(sets):
+                (g, p, s), (h, q, t) = sets[a], sets[b]
+                if a < b and g == h and (not radius or (p ^ q).bit_count() <= 2) and 5 * len(s & t) >= 4 * len(s | t) and root[a] != root[b]:
+                    lo, hi = sorted((root[a], root[b]))
+                    root = {n: lo if x == hi else x for n, x in root.items()}
+        assert {n: got.get(n, n) for n in sets} == root and len(set(root.values())) < len(sets)

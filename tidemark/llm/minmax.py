@@ -18,16 +18,14 @@ being alike, not the size of groups of copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, named, sent_if_small, written
-from .simhash import by_group, components
+from .meetings import components, joined_in_groups
 
 #: Bands of minima, as many of maxima, and permutations of each.
 BANDS, ROWS = 16, 5
@@ -37,8 +35,6 @@ MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"permutation {i}") | 1 for i in
 AT_ONCE = 1 << 13
 #: Words whose hashes a task remembers.
 REMEMBERED = 1 << 18
-#: Two tiles of about so many bytes of shingles meet in a block.
-TILE_BYTES = 4 << 20
 
 
 class Shingles:
@@ -103,68 +99,6 @@ def sketched(texts: DataFrame, width: int) -> DataFrame:
     return map_texts(texts, ["doc_id", "node"], "text", pa.schema([("n", pa.int64()), ("bands", pa.list_(pa.int64()))]), make)
 
 
-def joined_in_block(query: np.ndarray, outside: np.ndarray, rank: np.ndarray, label: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (positions) between queries and others of a block that join what all its alike pairs do.
-
-    label: rows of equal label are joined from the start. Of two rows that are both
-    queries somewhere (outside) only one meets the other, by rank.
-    """
-    sizes = np.array([len(s) for s in sets], np.int64)
-    starts = np.cumsum(sizes) - sizes
-    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    flag = np.zeros(len(words), np.int32)
-    links = []
-    for a in np.flatnonzero(query).tolist():
-        may = ~query & (label != label[a]) & (100 * np.minimum(sizes, sizes[a]) >= percent * np.maximum(sizes, sizes[a])) & (~outside | (rank > rank[a]))
-        at = np.flatnonzero(may)
-        if not len(at):
-            continue
-        own = ids[starts[a] : starts[a] + sizes[a]]
-        flag[own] = 1
-        if 4 * sizes[at].sum() < len(ids):
-            some = np.concatenate([ids[s : s + n] for s, n in zip(starts[at].tolist(), sizes[at].tolist(), strict=True)])
-            common = np.add.reduceat(flag[some], np.cumsum(sizes[at]) - sizes[at])
-        else:
-            common = np.add.reduceat(flag[ids], starts)[at]
-        flag[own] = 0
-        for b in at[100 * common >= percent * (sizes[at] + sizes[a] - common)].tolist():
-            if label[b] != label[a]:
-                links.append((a, b))
-                label[label == label[b]] = label[a]
-    return links
-
-
-def met_in_blocks(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found when the queries of each group meet its rows, block by block.
-
-    rows: g (the group), node, part (nodes of one part are joined already), query, n, shingles.
-    groups: g, queries and others, the bytes of its queries' and of its other rows' sets. A group's queries are dealt into
-    tiles of ``TILE_BYTES``, and so are all its rows; every tile of queries meets every tile of rows.
-    """
-    tiles = lambda c: F.ceil(F.col(c) / TILE_BYTES).cast("int")
-    dealt = rows.join(groups.select("g", F.greatest(tiles("queries"), F.lit(1)).alias("is"), F.greatest(F.ceil((F.col("queries") + F.col("others")) / TILE_BYTES).cast("int"), F.lit(1)).alias("js")), "g")
-    tile = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_row = F.transform(every("is"), lambda i: F.struct(i.alias("i"), tile("js").alias("j"), F.lit(False).alias("asks")))
-    as_query = F.transform(every("js"), lambda j: F.struct(tile("is").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
-    sent = dealt.withColumn("b", F.explode(F.when(F.col("query"), F.concat(as_row, as_query)).otherwise(as_row)))
-    blocks = sent.select("g", "b.i", "b.j", "b.asks", F.col("query").alias("outside"), "node", "part", "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ("g", "i", "j")):
-            asks = t["asks"].to_numpy()
-            if not asks.any() or asks.all():
-                continue
-            nodes = t["node"].to_pylist()
-            number = lambda values: np.unique(np.array(values, object), return_inverse=True)[1]
-            sets = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-            links = joined_in_block(asks, t["outside"].to_numpy(), number(nodes), number(t["part"].to_pylist()), sets, percent)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-    return blocks.mapInArrow(run, "a binary, b binary")
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2, percent: int = 80, broadcast_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs.
 
@@ -188,19 +122,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if sets.count() > wanted.count():  # rows that repeat an id and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
     led = met.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("times")).groupBy("node").agg(F.max(F.struct("times", "leader")).alias("m"))
-    stars = led.select("node", F.col("m.leader").alias("leader"))
-    stars = written(stars.unionByName(stars.select(F.col("leader").alias("node"), "leader").distinct()).select(F.xxhash64("leader").alias("g"), "node", (F.col("node") == F.col("leader")).alias("query")), "leaders")
-    sized = stars.join(sets.select("node", "n"), "node").groupBy("g").agg(bytes_of(F.col("query")).alias("queries"), bytes_of(~F.col("query")).alias("others"))
-    first = met_in_blocks(stars.join(sets, "node").withColumn("part", F.col("node")), written(sized, "groups"), percent)
-    first = written(first, "links")
-    parts = written(sets.select("node", "n").join(components(first), "node", "left").select("node", "n", F.coalesce("root", "node").alias("part")), "parts")
-    placed = written(met.select("band", "node").join(parts, "node"), "placed")
-    each = placed.groupBy("band", "part").agg(F.count("*").alias("times"), F.sum("n").alias("n"))
-    mixed = each.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("times", "part", "n")).alias("main"), F.sum("n").alias("n")).where("parts > 1")
-    mixed = written(mixed.select(F.col("band").alias("g"), F.col("main.part").alias("main"), ((F.col("n") - F.col("main.n")) * 8).alias("queries"), (F.col("main.n") * 8).alias("others")), "mixed")
-    asked = placed.withColumnRenamed("band", "g").join(mixed.select("g", "main"), "g").select("g", "node", "part", (F.col("part") != F.col("main")).alias("query"))
-    second = met_in_blocks(written(asked, "asked").join(sets, "node"), mixed.drop("main"), percent)
-    roots = components(first.unionByName(written(second, "links")))
+    links = joined_in_groups(sets, led.select("node", F.col("m.leader").alias("leader")), met.select(F.col("band").alias("g"), "node"), percent)
+    roots = components(links)
     rooted = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     firsts = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     found = written(rooted.join(firsts, "root").select("node", "component_id"), "found")
@@ -209,10 +132,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def bytes_of(which: Column) -> Column:
-    return F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0)) * 8
-
-
 def sets_of(texts: DataFrame, wanted: DataFrame, width: int, broadcast_bytes: int) -> DataFrame:
     """node, n and shingles of the wanted nodes (node, first), each read from rows of its smallest id."""
     own = wanted.select(F.col("node").alias("_node"), "first")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_names, map_texts, named, sent_if_small, written
+from .meetings import by_group, components, joined_in_groups
 
 BITS = 64
 #: Reference fingerprints: a rule, so that every task has the same.
@@ -179,27 +180,6 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return meets.mapInArrow(join, "a long, b long").where(F.col("a") != F.col("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node of each component, for nodes with an edge.
-
-    Large stars hang a node's larger neighbours on its smallest; small stars hang
-    the smaller ones. Every round is written, and ends when the edges stay.
-    """
-    edges = written(edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi != lo").distinct(), "stars")
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        before = now
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct()
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi").select(F.explode(F.array(F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.*").where("hi != lo").distinct()
-        edges = written(small, "stars")
-
-
 def content(text: str) -> Column:
     """A text's address (SHA-256), by which texts are told apart; null is the empty text."""
     return F.unhex(F.sha2(F.coalesce(named(text), F.lit("")).cast("binary"), 256))
@@ -264,14 +244,18 @@ def one_each(docs: DataFrame, each: DataFrame, stay: DataFrame, doc_id: str, tex
     return kept.select(*map(named, columns))
 
 
-#: A candidate group holds about twice so many fingerprints, a confirmed one so many texts.
-CANDIDATES, TEXTS = 4096, 256
+#: A candidate group holds about twice so many fingerprints.
+CANDIDATES = 4096
 #: Texts that share the least shingles in all orders of a band are candidates.
 BANDS, ROWS = 32, 5
 #: Orders of shingles: a rule, so that every task has the same.
 MULTIPLIERS = np.array([xxhash.xxh64_intdigest(f"order {i}") | 1 for i in range(BANDS * ROWS)], np.uint64)
 
 
+#: The set of a text without words, where a set must not be empty.
+WORDLESS = np.zeros(1, np.uint64)
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted hashes of a text's shingles; a text of fewer words is one shingle, one without words has none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -280,46 +264,14 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.fromiter((h(s, 42) for s in shingles), np.uint64))
 
 
-def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether the Jaccard similarity of two sorted sets is at least so high; two empty sets are equal."""
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    union = len(a) + len(b) - both
-    return not union or both / union >= similarity
-
-
-def by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
-    """Tables of rows with equal integers in ``names``, from batches sorted by them."""
-    rest: list[pa.Table] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t = pa.Table.from_batches([batch])
-        key = np.stack([t[c].to_numpy().astype(np.int64) for c in names], axis=1)
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
-        if last is not None and (key[0] != last).any():
-            yield pa.concat_tables(rest)
-            rest = []
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s:
-                yield pa.concat_tables(rest)
-                rest = []
-            rest.append(t.slice(s, e - s))
-        last = key[-1]
-    if rest:
-        yield pa.concat_tables(rest)
-
-
 def dealt_in_tiles(rows: DataFrame, keys: list[str], each: str, tile: int) -> DataFrame:
-    """rows with t and u, sorted by keys, t, u within their partitions: a group of n rows is
+    """rows with t and u, sorted by keys, t, u and each within their partitions: a group of n rows is
     dealt into n / tile tiles, and every two tiles meet once; a single tile meets itself."""
     sizes = written(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").withColumn("tiles", F.ceil(F.col("n") / tile).cast("int")).drop("n"), "sizes")
     dealt = rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64(each), F.col("tiles")).cast("int"))
     meets = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).where("own != other or tiles = 1")
     meets = meets.withColumn("t", F.least("own", "other")).withColumn("u", F.greatest("own", "other")).drop("tiles", "own", "other")
-    return meets.repartition(*keys, "t", "u").sortWithinPartitions(*keys, "t", "u")
+    return meets.repartition(*keys, "t", "u").sortWithinPartitions(*keys, "t", "u", each)
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
@@ -370,7 +322,7 @@ def linked(t: pa.Table, pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch
 
 
 def candidate_links(sketched: DataFrame, radius: int) -> DataFrame:
-    """(a, b): links whose components are those of all pairs within the radius that share a band.
+    """(a, b, times): links whose components are those of all pairs within the radius that share a band; a < b, times in bands.
 
     sketched: node, fp and bands, one row a node. Two texts of similarity s share
     one of 32 bands of 5 with probability 1 - (1 - s^5)^32: all but three pairs in
@@ -384,21 +336,7 @@ def candidate_links(sketched: DataFrame, radius: int) -> DataFrame:
             yield from linked(t, spanning(t["fp"].to_numpy().view(np.uint64), radius))
 
     kind = sketched.schema["node"].dataType.simpleString()
-    return meets.mapInArrow(join, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def confirmed(fp: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
-    """Links that join the same texts as all pairs do that are within the radius and alike."""
-    label = np.arange(len(fp))
-    links = []
-    for i in range(1, len(fp)):
-        near = np.flatnonzero(np.bitwise_count(fp[:i] ^ fp[i]) <= radius)
-        while len(near := near[label[near] != label[i]]):
-            j, near = int(near[0]), near[1:]
-            if alike(sets[i], sets[j], similarity):
-                links.append((i, j))
-                label[label == label[i]] = label[j]
-    return links
+    return meets.mapInArrow(join, f"a {kind}, b {kind}").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("times"))
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, radius: int = 16, words: int = 5, similarity: float = 0.8, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -409,8 +347,9 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     is at least ``similarity``; groups are the components of that. Texts that share
     a band of least shingles meet; pivot tables discard their pairs, and what is
     left is compared by fingerprints. Those links' components hold all similar
-    pairs that met; within them, in tiles, texts are compared pair by pair unless
-    already joined. Texts without words are alike. Rows without an id and
+    pairs that met. In them every text is compared with its leader, the smaller text it was linked
+    with in most bands; then what is outside a component's largest group of
+    similar texts is compared with all of it, in blocks of bounded bytes. Texts without words are alike. Rows without an id and
     repeated ids are as in ``drop_near_duplicates``. Which texts to compare, and
     which rows go, is sent to the documents by broadcast if that takes at most
     ``broadcast_bytes``, else by a shuffle.
@@ -421,7 +360,8 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     own = F.struct("doc_id", "node", "n")
     prints = written(each.groupBy("node").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("first"), F.min("fp").alias("fp")), "prints")
     sketched = written(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands")), "bands")
-    rough = components(candidate_links(sketched, radius)).withColumnRenamed("root", "part")
+    edges = written(candidate_links(sketched, radius), "candidates")
+    rough = components(edges).withColumnRenamed("root", "part")
     # a component's root is no node of its own list; each node is read from one row of its id; components that share a hash are compared together
     parts = written(rough.unionByName(rough.select(F.col("part").alias("node"), "part")).distinct().join(prints, "node").select("node", "fp", F.xxhash64("part").alias("part"), F.col("first.doc_id").alias("doc_id"), (F.coalesce("first.n", F.lit(2)) > 1).alias("again")), "parts")
     same = (texts["node"] == parts["node"]) & texts["doc_id"].eqNullSafe(parts["doc_id"])
@@ -429,14 +369,14 @@ def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     found = met.where(~F.col("again")).select("node", "fp", "part", "text")
     if not parts.where("again").isEmpty():  # only rows that repeat must be brought together
         found = found.unionByName(met.where("again").groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "part", "text")]))
-    sets = map_texts(found, ["node", "fp", "part"], "text", pa.schema([("shingles", pa.binary())]), lambda: lambda ts: [[shingle_set(t, words).tobytes() for t in ts]])
-    meets = dealt_in_tiles(written(sets, "shingles"), ["part"], "node", TEXTS).select("part", "t", "u", "node", "fp", "shingles")
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_group(batches, ("part", "t", "u")):
-            own = [np.frombuffer(x, np.uint64) for x in t["shingles"].to_pylist()]
-            yield from linked(t, confirmed(t["fp"].to_numpy().view(np.uint64), own, radius, similarity))
+    def of(ts: list) -> list:
+        sets = [shingle_set(t, words) for t in ts]
+        sets = [s if len(s) else WORDLESS for s in sets]
+        return [[len(s) for s in sets], [s.tobytes() for s in sets]]
 
-    roots = components(meets.mapInArrow(confirm, "a binary, b binary").distinct())
+    sets = written(map_texts(found, ["node", "fp", "part"], "text", pa.schema([("n", pa.int64()), ("shingles", pa.binary())]), lambda: of), "shingles")
+    leaders = edges.groupBy(F.col("b").alias("node")).agg(F.min(F.struct(-F.col("times"), "a")).alias("m")).select("node", F.col("m.a").alias("leader"))
+    roots = components(joined_in_groups(sets.drop("part"), leaders, sets.select(F.col("part").alias("g"), "node"), 100 * similarity, radius))
     stay = prints.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("stay")).where("stay is not null").select("stay.*")
     return one_each(docs, each.where("doc_id is not null"), stay, doc_id, text, broadcast_bytes)
