@@ -537,6 +537,24 @@ def test_ids_that_differ_are_replaced(monkeypatch, by_word):
         assert ids == want[part] and same == [a == b for a, b in zip(own[part], want[part], strict=True)] and not all(same) and any(same)
 
 
+def test_unseen_words_are_judged_together_and_a_codec_is_kept():
+    """Words are met once a call, joined for both libraries; a worker's next task has the codec, and its words, of the last."""
+    judge, codec = need_model(), tokens.codec_of(tokens.MODEL, 2)
+    assert tokens.codec_of(tokens.MODEL, 2) is codec
+    asked = []
+
+    class Judge:
+        def encode(self, texts, **how):
+            asked.extend([texts] if isinstance(texts, str) else texts)
+            return judge.encode(texts, **how)
+
+    codec = tokens.Codec(tokens.MODEL, judge=Judge())
+    texts = [" ".join(f"w{n}ord{k * n % 991}" for n in range(100)) for k in range(40)] + TEXTS
+    assert codec.verified(texts) == (judge.encode(texts), [True] * len(texts)) and len(asked) < 100
+    del asked[:]
+    assert codec.encode(texts) == judge.encode(texts) and len(asked) <= 1
+
+
 def message(*fields):
     """A protobuf message of (number, bytes or int or float)."""
 
