@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -156,6 +157,21 @@ def test_every_label_counts_and_characters_are_bounded(spark):
     assert {"en", "de", "long"} <= set(n) and n["long"] == 2000 and all(x <= 2100 for x in n.values())
 
 
+def test_the_model_and_the_bound_come_from_all_rows(spark, monkeypatch):
+    """Words that stand in three documents of thousands are learned, and the bound is the quantile over every held-out document."""
+    import numpy as np
+
+    monkeypatch.setattr(language_id, "HELD_GRAMS", 500)
+    odd = [f"{a}q{b}x{a}j{b}" for a in "bcdfgh" for b in "klmnp"]
+    train = [i for i in range(12000) if zlib.crc32(str(i).encode()) % 5]
+    extra = {i: odd[k % len(odd)] for k, i in enumerate(train[:: len(train) // (3 * len(odd))][: 3 * len(odd)])}
+    table = docs(spark, [(i, f"{say(EN, i, 6)} {extra.get(i, i % 7 * 'zq')}", "en") for i in range(12000)])
+    model = language_id.learn(table)
+    assert all(x == 1 for x in model.predictor()(odd)[2])
+    share = [k for k, in language_id.predict(table.where(language_id.held_out(F.col("doc_id"))), model, ["doc_id"]).select("known").collect()]
+    assert len(share) > 1500 and abs(language_id.least_known_of(table, model) - 0.55 * np.quantile(share, 0.05)) < 1e-12
+
+
 # secrets
 
 

@@ -6,8 +6,7 @@ languages that contain it. A text's n-grams are looked up together, bits are
 counted for each language, counts are corrected for the filter's false
 positives, and the largest decides.
 
-Learning uses a bounded sample of the labelled rows (``docs_per_lang``, a
-parameter); prediction reads every whole text and nothing else.
+Learning counts the n-grams of all labelled rows; prediction reads every whole text and nothing else.
 """
 
 from __future__ import annotations
@@ -21,7 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, map_texts, named, sent_if_small, text_chunks, written
+from tidemark.operators.quantiles import order_statistics
+
+from .common import filter_texts, give_back, map_texts, named, sent_if_small, text_chunks, written
 
 ORDERS = (2, 3, 4)
 HASHES = 2
@@ -154,42 +155,84 @@ def sampled(rows: DataFrame, docs_per_lang: int, chars_per_lang: int, salt: str)
     return chosen.select("id", "lang", piece.alias("_text")), langs
 
 
+def labelled(rows: DataFrame, docs_per_lang: int | None, chars_per_lang: int, salt: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """(all rows, or about so many of each language; the languages, in order)."""
+    if docs_per_lang is not None:
+        return sampled(rows, docs_per_lang, chars_per_lang, salt)
+    return rows, tuple(sorted(r["lang"] for r in rows.select("lang").distinct().collect()))
+
+
+#: A task holds counts of about so many n-grams before it sends them on.
+HELD_GRAMS = 1 << 21
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts, from lists of both."""
+    if len(parts) == 1:
+        return parts[0]
+    h, own = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    return h, np.bincount(own, np.concatenate([n for _, n in parts]), len(h)).astype(np.int64)
+
+
 #: A filter takes at most so many bytes; its positions are fewer with very many languages.
 FILTER_BYTES = 32 << 20
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, share: float = 0.5, least: int = 3, bits_per_gram: int = 12, filter_bytes: int = FILTER_BYTES) -> LanguageModel:
-    """Fit the filter on rows with a label, an id and a text that aren't held out.
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int | None = None, chars_per_lang: int = 16_000_000, share: float = 0.5, least: int = 3, least_rate: float = 2.5e-7, bits_per_gram: int = 12, filter_bytes: int = FILTER_BYTES) -> LanguageModel:
+    """Fit the filter on all rows with a label, an id and a text that aren't held out.
 
-    ``docs_per_lang`` and ``chars_per_lang`` bound the sample: about so many documents and characters of each
-    language, of which there may be any number, chosen by a hash of the id. An n-gram enters a language's filter
-    if it occurs ``least`` times there and its rate is at least ``share`` of the
-    highest rate in any language. The driver receives the filter's set
+    N-grams are counted on every whole text of them. An n-gram enters a language's filter
+    if it occurs ``least`` times there, at a rate of at least ``least_rate`` and of at least ``share`` of the
+    highest rate in any language. The least rate keeps out what random letters and foreign words of a large table
+    repeat a few times, and bounds the n-grams of a language however many rows there are. The driver receives the filter's set
     positions only. The filter, which is broadcast, has about ``bits_per_gram`` positions for each n-gram of the language with most, but takes
     ``filter_bytes`` at most: with very many languages its positions are fewer and its false positives more, for which counts are corrected.
+    Only a caller that gives ``docs_per_lang`` learns from a sample: about so many documents, and ``chars_per_lang`` characters, of each
+    language, chosen by a hash of the id.
     """
     spark = docs.sparkSession
     rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull() & ~held_out(F.col("id")))
-    sample, langs = sampled(rows, docs_per_lang, chars_per_lang, "sample")
+    given, langs = labelled(rows, docs_per_lang, chars_per_lang, "sample")
     if not langs:
         return LanguageModel((), 4, np.zeros((16, 1), np.uint8))
     number = {k: i for i, k in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for k, parts in held.items():
+                h, n = summed(parts)
+                for s in range(0, len(h), 1 << 17):
+                    some = h[s : s + (1 << 17)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.view(np.int64)), pa.array(n[s : s + (1 << 17)])], names=["k", "h", "n"])
+            held.clear()
+
+        size = 0
         for piece, texts in text_chunks(batches, "_text", 1 << 22):
             own = [number[x] for x in piece["lang"].to_pylist()]
             for k in sorted(set(own)):
                 for pieces in pieces_of([letters(t) for x, t in zip(own, texts, strict=True) if x == k]):
                     h, n = np.unique(np.concatenate([h for h, _ in gram_hashes(pieces)]), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
-
-    counted = sample.select("lang", "_text").mapInArrow(count, "k int, h long, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
+                    held.setdefault(k, []).append((h, n.astype(np.int64)))
+                    size += len(h)
+                    if size > HELD_GRAMS:
+                        for x, parts in held.items():
+                            held[x] = [summed(parts)]
+                        size = sum(len(x) for ((x, _),) in held.values())
+                        if 2 * size > HELD_GRAMS:
+                            yield from sent()
+                            size = 0
+        yield from sent()
+        give_back()
+
+    counted = given.select("lang", "_text").mapInArrow(count, "k int, h long, n long").groupBy("h", "k").agg(F.sum("n").alias("n"))
     counted = written(counted, "grams")
     totals = {r["k"]: r["n"] for r in counted.groupBy("k").agg(F.sum("n").alias("n")).collect()}
     rate = F.col("n") / F.create_map(*[F.lit(x) for k in totals for x in (k, float(totals[k]))])[F.col("k")] if totals else F.lit(0.0)
     rated = counted.withColumn("rate", rate)
     top = rated.groupBy("h").agg(F.max("rate").alias("top"))
-    chosen = written(rated.join(top, "h").where((F.col("n") >= least) & (F.col("rate") >= share * F.col("top"))).select("h", "k"), "chosen")
+    chosen = written(rated.join(top, "h").where((F.col("n") >= least) & (F.col("rate") >= least_rate) & (F.col("rate") >= share * F.col("top"))).select("h", "k"), "chosen")
     each = [r["n"] for r in chosen.groupBy("k").agg(F.count("*").alias("n")).collect()]
     most = int(np.log2(max(1 << 10, filter_bytes // -(-len(langs) // 8))))
     bits = min(most, max(10, int(np.ceil(np.log2(max(each, default=1) * bits_per_gram)))))
@@ -226,19 +269,23 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     return out.select(doc_id, held_out(F.col(doc_id)).alias("held_out"), "lang_pred", "score", "known")
 
 
-def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int = 1500, chars_per_lang: int = 16_000_000, quantile: float = 0.05, part: float = 0.55) -> float:
+def least_known_of(docs: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", docs_per_lang: int | None = None, chars_per_lang: int = 16_000_000, quantile: float = 0.05, part: float = 0.55) -> float:
     """The share of known n-grams below which a text is in no learned language.
 
-    ``part`` of the ``quantile`` of ``known`` over labelled rows that the model
-    tells rightly: held-out ones, about ``docs_per_lang`` a language, or where
-    there are none those it learned from. 0 if there are none either.
+    ``part`` of the exact ``quantile`` (interpolated) of ``known`` over all labelled rows that the model
+    tells rightly: held-out ones, or where there are none those it learned from; about ``docs_per_lang`` a
+    language, if that is given. 0 if there are none either.
     """
     rows = docs.select(named(doc_id).alias("id"), named(lang).alias("lang"), named(text).alias("_text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("_text").isNotNull())
     for held in (True, False) if model.langs else ():
-        sample, _ = sampled(rows.where(held_out(F.col("id")) == held), docs_per_lang, chars_per_lang, "bound")
-        found = predict(sample, model, ["lang"], "_text").where("lang = lang_pred").agg(F.percentile("known", quantile)).first()[0]
-        if found is not None:
-            return part * found
+        given, _ = labelled(rows.where(held_out(F.col("id")) == held), docs_per_lang, chars_per_lang, "bound")
+        found = written(predict(given, model, ["lang"], "_text").where("lang = lang_pred").select(F.lit(0).alias("all"), "known"), "known")
+        n = found.count()
+        if n:
+            at = quantile * (n - 1)
+            low, high = int(np.floor(at)), int(np.ceil(at))
+            ranks = {r["rank"]: r["answer"] for r in order_statistics(found, ["all"], "known", F.array(F.lit(low), F.lit(high))).collect()}
+            return part * (ranks[low] if low == high else (high - at) * ranks[low] + (at - low) * ranks[high])
     return 0.0
 
 
