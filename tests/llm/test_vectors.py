@@ -246,6 +246,23 @@ def test_covering_radii_hold_and_skip(spread):
         assert ((upper[0] < s[-100]) | (lower[0] > s[-1])).mean() > 0.5
 
 
+@pytest.mark.parametrize("tile", [200, 1 << 20])
+def test_a_node_of_many_groups_is_sent_once(spark, monkeypatch, tile):
+    """Ten nodes, no two alike but one pair, that meet in 30 overlapping groups: their sets are sent once, or group by group where they fit no block."""
+    monkeypatch.setattr(meetings, "TILE_BYTES", tile)
+    sent = []
+    met = meetings.met_in_blocks
+    monkeypatch.setattr(meetings, "met_in_blocks", lambda rows, *rest: sent.append(rows.count()) or met(rows, *rest))
+    own = {b"%d" % k: np.arange(20 * k, 20 * k + 20, dtype=np.uint64) for k in range(9)} | {b"x": np.arange(1, 21, dtype=np.uint64)}
+    sets = spark.createDataFrame([(n, 20, bytearray(x.tobytes())) for n, x in own.items()], "node binary, n int, shingles binary")
+    r = random.Random(1)
+    members = spark.createDataFrame([(g, n) for g in range(30) for n in {b"0", b"x", *r.sample(sorted(own), 5)}], "g long, node binary")
+    leaders = spark.createDataFrame([(n, b"1") for n in own if n != b"1"], "node binary, leader binary")
+    links = meetings.joined_in_groups(sets, leaders, members, 80, overlapping=True).collect()
+    assert {frozenset((bytes(x["a"]), bytes(x["b"]))) for x in links} == {frozenset((b"0", b"x"))}
+    assert (sent[1] == len(own)) == (tile > 200)
+
+
 @pytest.mark.parametrize("tile", [200, 1 << 20])
 def test_groups_are_joined_as_by_all_pairs(spark, monkeypatch, tile):
     """Whatever the leaders, groups of copies, chains and strangers get the components of all alike pairs within the radius."""

@@ -97,13 +97,14 @@ def joined_in_block(query: np.ndarray, outside: np.ndarray, rank: np.ndarray, la
     return links
 
 
-def met_in_blocks(rows: DataFrame, groups: DataFrame, percent: float, radius: int | None = None) -> DataFrame:
+def met_in_blocks(rows: DataFrame, sets: DataFrame, groups: DataFrame, percent: float, radius: int | None = None) -> DataFrame:
     """(a, b): links found when the queries of each group meet its rows, block by block.
 
-    rows: g (the group), node, part (nodes of one part are joined already), query, n, shingles.
+    rows: g (the group), node, part (nodes of one part are joined already), query. sets: node, n, shingles; they are
+    joined when rows have their blocks, and shuffled to those only.
     groups: g, queries and others, the bytes of its queries' and of its other rows' sets. A group's queries are dealt into
     tiles of ``TILE_BYTES``, and so are all its rows; every tile of queries meets every tile of rows.
-    With a radius, rows have a fingerprint fp too, and only those within it link.
+    With a radius, sets have a fingerprint fp too, and only those within it link.
     """
     prints = [] if radius is None else ["fp"]
     tiles = lambda c: F.ceil(F.col(c) / TILE_BYTES).cast("int")
@@ -113,7 +114,8 @@ def met_in_blocks(rows: DataFrame, groups: DataFrame, percent: float, radius: in
     as_row = F.transform(every("is"), lambda i: F.struct(i.alias("i"), tile("js").alias("j"), F.lit(False).alias("asks")))
     as_query = F.transform(every("js"), lambda j: F.struct(tile("is").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
     sent = dealt.withColumn("b", F.explode(F.when(F.col("query"), F.concat(as_row, as_query)).otherwise(as_row)))
-    blocks = sent.select("g", "b.i", "b.j", "b.asks", F.col("query").alias("outside"), "node", "part", *prints, "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+    placed = sent.select("g", "b.i", "b.j", "b.asks", F.col("query").alias("outside"), "node", "part")
+    blocks = placed.join(sets, "node").select("g", "i", "j", "asks", "outside", "node", "part", *prints, "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ("g", "i", "j")):
@@ -131,9 +133,28 @@ def met_in_blocks(rows: DataFrame, groups: DataFrame, percent: float, radius: in
     return blocks.mapInArrow(run, "a binary, b binary")
 
 
-def joined_in_groups(sets: DataFrame, leaders: DataFrame, members: DataFrame, percent: float, radius: int | None = None) -> DataFrame:
+def united(placed: DataFrame) -> DataFrame:
+    """g, node, part and n of the groups (in placed) whose nodes are in several parts, where groups that a node or part links are one.
+
+    So a node that is in many groups is sent once. A union whose sets take more than ``TILE_BYTES`` keeps its groups as they are:
+    what meets in it is bounded by them.
+    """
+    mixed = placed.groupBy("g").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").drop("hi")
+    live = written(placed.join(mixed, "g"), "live")
+    roots = components(live.select(F.col("part").alias("a"), F.col("lo").alias("b")))
+    root = F.coalesce("root", "part")
+    nodes = written(live.select("node", "part", "n").distinct().join(roots.withColumnRenamed("node", "part"), "part", "left").withColumn("root", root), "united")
+    small = written(nodes.groupBy("root").agg(F.sum("n").alias("n")).where(F.col("n") * 8 <= TILE_BYTES).select("root"), "small")
+    one = nodes.join(small, "root").select(F.xxhash64("root").alias("g"), "node", "part", "n")
+    large = nodes.join(small, "root", "left_anti").select("node")
+    return one.unionByName(live.select("g", "node", "part", "n").join(large, "node"))
+
+
+def joined_in_groups(sets: DataFrame, leaders: DataFrame, members: DataFrame, percent: float, radius: int | None = None, overlapping: bool = False) -> DataFrame:
     """(a, b): links whose components are those of all alike pairs that share a group.
 
+    With ``overlapping``, for nodes that are in many groups, alike pairs that meet through other groups may link as well.
+
     sets: node, n, shingles (and fp, with a radius), a written table of one row a node; leaders: node, leader; members: g,
     node. First every node meets its leader, so a group of copies costs one comparison a node. Then only
     groups whose nodes are still in several components matter: of each, the nodes outside its largest component meet all its nodes.
@@ -141,13 +162,15 @@ def joined_in_groups(sets: DataFrame, leaders: DataFrame, members: DataFrame, pe
     stars = leaders.unionByName(leaders.select(F.col("leader").alias("node"), "leader").distinct())
     stars = written(stars.select(F.xxhash64("leader").alias("g"), "node", (F.col("node") == F.col("leader")).alias("query")), "leaders")
     sized = stars.join(sets.select("node", "n"), "node").groupBy("g").agg(bytes_of(F.col("query")).alias("queries"), bytes_of(~F.col("query")).alias("others"))
-    first = met_in_blocks(stars.join(sets, "node").withColumn("part", F.col("node")), written(sized, "groups"), percent, radius)
+    first = met_in_blocks(stars.withColumn("part", F.col("node")), sets, written(sized, "groups"), percent, radius)
     first = written(first, "links")
     parts = written(sets.select("node", "n").join(components(first), "node", "left").select("node", "n", F.coalesce("root", "node").alias("part")), "parts")
     placed = written(members.join(parts, "node"), "placed")
+    if overlapping:
+        placed = written(united(placed), "united")
     each = placed.groupBy("g", "part").agg(F.count("*").alias("times"), F.sum("n").alias("n"))
     mixed = each.groupBy("g").agg(F.count("*").alias("parts"), F.max(F.struct("times", "part", "n")).alias("main"), F.sum("n").alias("n")).where("parts > 1")
     mixed = written(mixed.select("g", F.col("main.part").alias("main"), ((F.col("n") - F.col("main.n")) * 8).alias("queries"), (F.col("main.n") * 8).alias("others")), "mixed")
     asked = placed.join(mixed.select("g", "main"), "g").select("g", "node", "part", (F.col("part") != F.col("main")).alias("query"))
-    second = met_in_blocks(written(asked, "asked").join(sets, "node"), mixed.drop("main"), percent, radius)
+    second = met_in_blocks(written(asked, "asked"), sets, mixed.drop("main"), percent, radius)
     return first.unionByName(written(second, "links"))

@@ -9,8 +9,9 @@ probability 1 - (1 - s^5)^32, all but three in a million at 0.8.
 Whatever shares a band is settled on full sets, in two passes that never list
 the pairs of a group. First every text meets one leader, the text of the least
 address in most of its bands, so a group of copies costs one comparison a text. Then only
-bands whose texts are still in several components matter: of each, the texts outside
-its largest component meet all its texts. Both are dealt into blocks
+bands whose texts are still in several components matter, and those that share a text are united as long as
+their sets fit a block, so that a text of many bands is sent once: of each union, the texts outside
+its largest component meet all its texts. Both passes are dealt into blocks
 of bounded bytes; a block compares by counting, joins what is alike, passes over what is joined already, and
 returns a spanning forest. What it costs so follows the texts that share a band without
 being alike, not the size of groups of copies.
@@ -122,7 +123,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     if sets.count() > wanted.count():  # rows that repeat an id and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
     led = met.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("times")).groupBy("node").agg(F.max(F.struct("times", "leader")).alias("m"))
-    links = joined_in_groups(sets, led.select("node", F.col("m.leader").alias("leader")), met.select(F.col("band").alias("g"), "node"), percent)
+    links = joined_in_groups(sets, led.select("node", F.col("m.leader").alias("leader")), met.select(F.col("band").alias("g"), "node"), percent, overlapping=True)
     roots = components(links)
     rooted = written(nodes.select("node", "first").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     firsts = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
