@@ -44,6 +44,13 @@ def test_a_write_that_dies_leaves_the_table(spark, tmp_path, monkeypatch):
     assert 1 <= len(gone) <= 2 and versions.read(spark, root, "t").count() == 2
 
 
+def test_a_part_gets_a_file_and_not_one_of_each_task(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.range(400).select(F.concat(F.lit("S"), F.col("id")).alias("Symbol"), F.date_add(F.lit(datetime.date(2024, 1, 1)), (F.col("id") % 90).cast("int")).alias("Event_Date"), F.lit("T-1").alias("Time_Lag"), F.col("id").cast("double").alias("close"))
+    tables.write_raw_data(rows.repartition(8), root)
+    assert len(list(tmp_path.glob("raw_data/data-*/*/*/*.parquet"))) == 3 and got(spark, root) == [float(i) for i in range(400)]
+
+
 def test_two_writers_and_old_versions(spark, tmp_path):
     root = str(tmp_path)
     df = spark.createDataFrame([(1,), (2,)], "x int")

@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 COMMITS = "_commits"
@@ -84,13 +85,19 @@ def commit(spark: SparkSession, root: str, name: str, made: Version) -> None:
 
 
 def write(df: DataFrame, root: str, name: str, by: dict[str, Column] | None = None, keep: Stays | None = None) -> Version:
-    """A new version: df's rows, in a folder for each value of the columns ``by``, and the parts of the last one that ``keep``."""
+    """A new version: df's rows, in a folder for each value of the columns ``by``, and the parts of the last one that ``keep``.
+
+    Rows are dealt by these columns before they are written, so that a folder gets a file or, if it is large,
+    a few, and not one from each task.
+    """
     spark = df.sparkSession
     last = version(spark, root, name)
     data = f"data-{uuid.uuid4().hex}"
     if by:
-        df.withColumns({f"by_{k}": c for k, c in by.items()}).write.partitionBy(*[f"by_{k}" for k in by]).parquet(f"{root}/{name}/{data}")
-        fs, p = files(spark, f"{root}/{name}/{data}/" + "/".join(f"by_{k}=*" for k in by))
+        keys = [f"by_{k}" for k in by]
+        dealt = df.withColumns({f"by_{k}": c for k, c in by.items()}).hint("rebalance", *[F.col(k) for k in keys])
+        dealt.write.partitionBy(*keys).parquet(f"{root}/{name}/{data}")
+        fs, p = files(spark, f"{root}/{name}/{data}/" + "/".join(f"{k}=*" for k in keys))
         found = sorted(x.getPath().toString().rpartition(f"/{name}/{data}/")[2] for x in fs.globStatus(p) or ())
         value = lambda x: None if x == NULL_PART else unquote(x)
         new = [(f"{data}/{x}", {y.partition("=")[0][3:]: value(y.partition("=")[2]) for y in x.split("/")}) for x in found]
