@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import finite, percent
+from tidemark.sources.shared import stored
 
 BARS = "symbol string, bar_date date, open double, high double, low double, close double, volume double"
 
@@ -16,36 +19,51 @@ def exchange_of(symbol: Column) -> Column:
     return F.when(kind.isin("ECONOMY", "STANDARD"), "NASDAQ").when(kind.isin("MEDIUM", "SMALL"), "NYSE").otherwise("AMEX")
 
 
-def bars_of(trades: DataFrame, order: list[str]) -> DataFrame:
-    """One bar for each symbol and day of trades (symbol, day, price, quantity).
+def bars_of(lines: DataFrame, trades: Callable[[DataFrame], DataFrame], order: list[str]) -> DataFrame:
+    """One bar for each symbol and day of the trades (symbol, day, price, quantity) that ``trades`` makes of lines.
 
-    ``order`` must order the trades of a day totally: the first gives open, the
-    last close. Partial aggregation leaves a row per symbol and day to shuffle.
+    ``order``, columns of lines that trades keep, must order the trades of a day totally: the first gives open, the
+    last close. Symbols and days aren't null. Aggregates of plain numbers are hashed, but those by a struct sort
+    all their rows. So a table of the former is written, with each bar's ends in the first column of ``order``, and
+    only lines at an end, be it of another bar, go on to be ordered by all columns.
     """
+    end, bar = F.col(f"`{order[0]}`"), ["symbol", "bar_date"]
+    dated = lambda some: trades(some).withColumnRenamed("day", "bar_date")
+    sums = (F.max("price").alias("high"), F.min("price").alias("low"), F.sum("quantity").alias("volume"))
+    plain = stored(dated(lines).groupBy(*bar).agg(*sums, F.min(end).alias("_first"), F.max(end).alias("_last"), F.count_if(end.isNull()).alias("_unknown")), name="plain")
+    # NULL comes before all values
+    ends = plain.select(F.explode(F.array("_first", "_last", F.when(F.col("_unknown") == 0, F.col("_first")))).alias("_end"))
     key = F.struct(*order)
-    return trades.groupBy("symbol", F.col("day").alias("bar_date")).agg(
-        F.min_by("price", key).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", key).alias("close"), F.sum("quantity").alias("volume")
-    )
+    both = dated(lines.join(ends, end.eqNullSafe(F.col("_end")), "left_semi")).groupBy(*bar).agg(F.min_by("price", key).alias("open"), F.max_by("price", key).alias("close"))
+    return plain.join(both, bar).select(*bar, "open", "high", "low", "close", "volume")
+
+
+#: What orders the lines of a day.
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*LINE_ORDER, "l_shipdate")
+
+
+def priced(lines: DataFrame) -> DataFrame:
+    """Trades of lines with a symbol."""
+    trades = lines.withColumns({"day": F.to_date("l_shipdate"), "price": finite(F.try_divide("l_extendedprice", "l_quantity")), "quantity": finite(F.col("l_quantity"))})
+    return trades.where("symbol is not null and day is not null and price is not null")
 
 
 def line_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of order lines, the part's type being the symbol."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_type").alias("symbol"))
-    trades = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumns(
-        {"day": F.to_date("l_shipdate"), "price": finite(F.try_divide("l_extendedprice", "l_quantity")), "quantity": finite(F.col("l_quantity"))}
-    )
-    return bars_of(trades.where("symbol is not null and day is not null and price is not null"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    return bars_of(order_lines(spark, sf_dir), lambda lines: priced(lines.join(part, F.col("l_partkey") == F.col("p_partkey"))), LINE_ORDER)
 
 
 def supplier_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars of order lines, the supplier's nation being the symbol: a larger universe."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_name").alias("symbol"))
-    trades = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
-    trades = trades.withColumns({"day": F.to_date("l_shipdate"), "price": finite(F.try_divide("l_extendedprice", "l_quantity")), "quantity": finite(F.col("l_quantity"))})
-    return bars_of(trades.where("symbol is not null and day is not null and price is not null"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"])
+    listed = lambda lines: lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    return bars_of(order_lines(spark, sf_dir), lambda lines: priced(listed(lines)), LINE_ORDER)
 
 
 SNAPSHOT = "market string, symbol string, close double, change double, change_abs double, volume double, rec_vol_m double, relative_volume_10d_calc double, relative_volume_10d_calc_alt double"
